@@ -47,6 +47,17 @@ def split_header(line: Column, tz: str = "UTC") -> Column:
     )
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The JSON parser stops after the first value and does not look at what
+    follows, so the text is put into an array before an end mark: only when
+    nothing else follows is the mark the second element.
+    """
+    array = F.concat(F.lit("["), text, F.lit(',"#end"]'))
+    return F.try_variant_get(F.try_parse_json(array), "$[1]", "string") == "#end"
+
+
 def split_json_tail(message: Column) -> Column:
     """``struct(message, context)``: a valid JSON object at the end is the context.
 
@@ -58,7 +69,7 @@ def split_json_tail(message: Column) -> Column:
     candidate = F.when(F.endswith(text, F.lit("}")), text)
     tail = F.regexp_extract(candidate, JSON_TAIL, 0)
     json = F.regexp_extract(candidate, JSON_TAIL, 1)
-    valid = (F.length(tail) > 0) & F.try_parse_json(json).isNotNull()
+    valid = F.coalesce((F.length(tail) > 0) & is_json(json), F.lit(False))
     return F.struct(
         F.when(valid, strip(F.substring(text, F.lit(1), F.length(text) - F.length(tail))))
         .otherwise(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("filtering", "searching", "listing")
+MODULES = ("filtering", "searching", "listing", "shaping", "textlogs", "triage", "failing", "streams")
 
 
 def load():

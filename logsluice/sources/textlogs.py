@@ -37,12 +37,12 @@ def _load(reader, paths: Paths) -> DataFrame | None:
         raise
 
 
-def list_log_files(spark: SparkSession, paths: Paths) -> DataFrame:
-    """``*.log`` files, newest first; a missing folder gives an empty frame.
+def list_log_files(spark: SparkSession, paths: Paths, pattern: str = "*.log") -> DataFrame:
+    """Log files, newest first; a missing folder gives an empty frame.
 
     Only listing columns are read, so no file is opened.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.log")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     files = _load(reader, paths)
     if files is None:
         return spark.createDataFrame([], _FILE_SCHEMA)

@@ -22,6 +22,7 @@ def follow_files(
     days: int = 0,
     tz: str = "UTC",
     trigger: dict | None = None,
+    pattern: str = "*.log",
 ) -> StreamingQuery:
     """Starts a stream of finished log files; a record lies within one file.
 
@@ -30,7 +31,8 @@ def follow_files(
     """
     names = (
         spark.readStream.format("binaryFile")
-        .option("pathGlobFilter", "*.log")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", FILES_PER_BATCH)
         .load(folder)
         .select("path")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.operators.failures import EVERY, FAILURE_KEY, keep_beat, occurrences
@@ -29,7 +30,7 @@ def heartbeat_stream(
     function called once per key could not do. A replayed micro-batch starts
     from the counters of the one before it and overwrites its own output.
     """
-    schema = failures.select(*key).schema.add("n", "bigint")
+    schema = failures.select(*key).schema.add("n", T.LongType())
 
     def beat(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
