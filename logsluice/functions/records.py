@@ -13,7 +13,7 @@ HEADER = (
 # Fixed patterns: where a record names its source, and a dated file name.
 SOURCE = r"in\s+([^\s:]+):(\d+)"
 DATED_NAME = r"^(.+?)-\d{4}-\d{2}-\d{2}$"
-JSON_TAIL = r"(?s)\s+(\{.*\})\s*$"
+JSON_TAIL = r"(?s)\s(\{.*\})$"
 
 BLANK = " \t\n\r\u0000\u000b"
 
@@ -37,13 +37,23 @@ def header_time(text: Column, tz: str = "UTC") -> Column:
     return zoned.try_cast("timestamp")
 
 
+def header_parts(line: Column) -> Column:
+    """Time, environment, level and text of a header line, matched once."""
+    marked = F.regexp_replace(line, HEADER, "$1\u0001$2\u0001$3\u0001$4")
+    return F.split(marked, "\u0001", 4)
+
+
 def split_header(line: Column, tz: str = "UTC") -> Column:
     """``struct(occurred_at, environment, level, rest)`` of a record's first line."""
+    return named_header(header_parts(line), tz)
+
+
+def named_header(parts: Column, tz: str = "UTC") -> Column:
     return F.struct(
-        header_time(F.regexp_extract(line, HEADER, 1), tz).alias("occurred_at"),
-        F.regexp_extract(line, HEADER, 2).alias("environment"),
-        F.lower(F.regexp_extract(line, HEADER, 3)).alias("level"),
-        F.regexp_extract(line, HEADER, 4).alias("rest"),
+        header_time(parts[0], tz).alias("occurred_at"),
+        parts[1].alias("environment"),
+        F.lower(parts[2]).alias("level"),
+        parts[3].alias("rest"),
     )
 
 
@@ -58,26 +68,35 @@ def is_json(text: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(array), "$[1]", "string") == "#end"
 
 
-def split_json_tail(message: Column) -> Column:
-    """``struct(message, context)``: a valid JSON object at the end is the context.
+def json_candidate(text: Column) -> Column:
+    """What looks like a JSON object at the end of stripped text, else null.
+
+    Checking the last character first keeps the regex away from long texts
+    that cannot match.
+    """
+    ends_so = F.when(F.endswith(text, F.lit("}")), text)
+    return F.nullif(F.regexp_extract(ends_so, JSON_TAIL, 1), F.lit(""))
+
+
+def without_tail(text: Column, json: Column) -> Column:
+    """``struct(message, context)`` of stripped text and its JSON tail, if any.
 
     Without one the message stays whole and the context is ``[]``.
     """
-    text = strip(message)
-    # Checking the last character first keeps the regex away from long texts
-    # that cannot match.
-    candidate = F.when(F.endswith(text, F.lit("}")), text)
-    tail = F.regexp_extract(candidate, JSON_TAIL, 0)
-    json = F.regexp_extract(candidate, JSON_TAIL, 1)
-    valid = F.coalesce((F.length(tail) > 0) & is_json(json), F.lit(False))
+    message = strip(F.substring(text, F.lit(1), F.length(text) - F.length(json)))
     return F.struct(
-        F.when(valid, strip(F.substring(text, F.lit(1), F.length(text) - F.length(tail))))
-        .otherwise(text)
-        .alias("message"),
-        F.when(valid & ~json.rlike(r"^\{\s*\}$"), json).otherwise("[]").alias("context"),
+        F.when(json.isNotNull(), message).otherwise(text).alias("message"),
+        F.when(~json.rlike(r"^\{\s*\}$"), json).otherwise("[]").alias("context"),
     )
 
 
+def split_json_tail(message: Column) -> Column:
+    """``struct(message, context)``: a valid JSON object at the end is the context."""
+    text = strip(message)
+    json = json_candidate(text)
+    return without_tail(text, F.when(is_json(json), json))
+
+
 def source_from_text(message: Column, context: Column) -> Column:
     """``struct(source, source_line)`` named as ``in <file>:<line>`` in the message,
     else in the context's ``exception`` when that is a text."""

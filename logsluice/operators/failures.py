@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,36 +42,35 @@ def occurrences(
     one row each, says where a slice starts. ``before`` holds earlier counts
     per key as ``(key..., n)``.
     """
-    group = [*scope, *key]
     second = F.unix_seconds(F.col(order[0]).cast("timestamp"))
-    sliced = df.withColumn(
-        "_slice", F.coalesce(F.floor(second / slice_seconds), F.lit(0)).cast("bigint")
+    # A struct compares and hashes null fields like any other value, so the
+    # join is null-safe and the window can reuse its partitioning.
+    whole_key = F.struct(*scope, *key)
+    sliced = df.withColumns(
+        {
+            "_key": whole_key,
+            "_slice": F.coalesce(F.floor(second / slice_seconds), F.lit(0)).cast("bigint"),
+        }
     )
-    names = [f"_k{i}" for i in range(len(group))]
-    counts = sliced.groupBy(
-        *[F.col(c).alias(n) for c, n in zip(group, names)], F.col("_slice").alias("_s")
-    ).agg(F.count(F.lit(1)).alias("_n"))
+    counts = sliced.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     if before is not None:
-        earlier = before.select(
-            *[F.col(c).alias(n) for c, n in zip(group, names)],
-            F.lit(_BEFORE_ALL).alias("_s"),
-            F.col("n").alias("_n"),
+        counts = counts.unionByName(
+            before.select(
+                whole_key.alias("_key"), F.lit(_BEFORE_ALL).alias("_slice"), F.col("n").alias("_n")
+            )
         )
-        counts = counts.unionByName(earlier)
-    earlier_slices = (
-        Window.partitionBy(*names)
-        .orderBy("_s")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1
     )
     starts = counts.select(
-        *names, "_s", F.coalesce(F.sum("_n").over(earlier_slices), F.lit(0)).alias("_start")
+        "_key", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    )
+    in_slice = Window.partitionBy("_key", "_slice").orderBy(*order)
+    return (
+        sliced.join(starts, ["_key", "_slice"])
+        .withColumn("occurrence", F.col("_start") + F.row_number().over(in_slice))
+        .select(*df.columns, "occurrence")
     )
-    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(group, names)]
-    joined = sliced.join(starts, reduce(and_, same, F.col("_slice") == F.col("_s")))
-    in_slice = Window.partitionBy(*group, "_slice").orderBy(*order)
-    return joined.withColumn(
-        "occurrence", F.col("_start") + F.row_number().over(in_slice)
-    ).select(*df.columns, "occurrence")
 
 
 def keep_beat(occurrence: Column, every: int = EVERY) -> Column:

@@ -39,10 +39,15 @@ _search(
 )
 _search(
     "search_text",
-    lambda: s.search_text('"failed: user" user_id:1 -source:S3 other:thing'),
+    lambda: s.search_text('"failed: user" user_id:1 -source:S3 error'),
     _ANY.format("failed: user")
     + " AND coalesce(CAST(user_id AS VARCHAR),'') ILIKE '%1%' AND coalesce(source,'') NOT ILIKE '%S3%' AND "
-    + _ANY.format("other:thing"),
+    + _ANY.format("error"),
+)
+_search(
+    "search_unknown_field",
+    lambda: s.search_text("nofield:x event", negate=True),
+    "NOT (" + _ANY.format("nofield:x") + " AND " + _ANY.format("event") + ")",
 )
 _search(
     "search_text_page",
@@ -109,10 +114,10 @@ def _documents(spark, sf_dir):
 
 @query(
     "search_conversations_regex",
-    "SELECT conv_id, turn, role FROM conversations WHERE regexp_matches(text, '(?i)\\b(error|help|please)\\b')",
+    "SELECT conv_id, turn, role FROM conversations WHERE regexp_matches(text, '(?i)(quean|the)\\w*')",
     raw=True,
 )
 def _conversations(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "message")
-    found = turns.where(s.regex_term("message", r"\b(error|help|please)\b"))
+    found = turns.where(s.regex_term("message", r"(quean|the)\w*"))
     return found.select("conv_id", "turn", "role")

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from logsluice.functions.records import (
     BLANK,
     channel_from_path,
+    header_parts,
     is_header,
+    is_json,
+    json_candidate,
+    named_header,
     source_from_text,
-    split_header,
-    split_json_tail,
     strip,
+    without_tail,
 )
 from logsluice.operators.prepare import conform, prepare_entries
 from logsluice.schema import as_utc
@@ -111,7 +114,8 @@ def assemble_records(lines: DataFrame) -> DataFrame:
                 F.array_sort(F.collect_list(F.struct("m", "value"))), lambda s: s["value"]
             ).alias("lines")
         )
-        .join(splits, ["path", "start"])
+        # Hashing the small side spares the pieces another sort.
+        .join(splits.hint("shuffle_hash"), ["path", "start"])
     )
     closed = (F.col("n") > 0) & (F.col("n") < F.col("headers"))
     whole = pieces.where(closed).select("path", "start", "n", "lines")
@@ -140,9 +144,16 @@ def assemble_records(lines: DataFrame) -> DataFrame:
 
 def _read_record(records: DataFrame, tz: str) -> DataFrame:
     place = ["path", "start", "n"]
-    head = records.select(*place, "rest", split_header(F.col("first"), tz).alias("head"))
-    text = strip(F.array_join(F.concat(F.array("head.rest"), F.col("rest")), "\n"))
-    split = head.select(*place, "head", split_json_tail(text).alias("text"))
+    # One step per expensive value: what a step computes is used several times
+    # by the next and is not computed again there.
+    head = records.select(*place, "rest", header_parts(F.col("first")).alias("parts"))
+    text = strip(F.array_join(F.concat(F.array(F.col("parts")[3]), F.col("rest")), "\n"))
+    said = head.select(*place, named_header(F.col("parts"), tz).alias("head"), text.alias("text"))
+    tail = said.withColumn("json", json_candidate(F.col("text")))
+    valid = tail.withColumn("json", F.when(is_json(F.col("json")), F.col("json")))
+    split = valid.select(
+        *place, "head", without_tail(F.col("text"), F.col("json")).alias("text")
+    )
     found = source_from_text(F.col("text.message"), F.col("text.context"))
     placed = split.select(*place, "head", "text", found.alias("at"))
     plain_path = F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
