@@ -77,7 +77,9 @@ def source_from_exception(context: Column) -> Column:
     Argument errors are reported where the callee is declared, so for them the
     first trace frame, the caller, is taken when it names a file.
     """
-    exception = F.from_json(context, _EXCEPTION)["exception"]
+    # Without the word there is no exception, unless its letters are escaped.
+    named = F.contains(context, F.lit("exception")) | F.contains(context, F.lit("\\u"))
+    exception = F.from_json(F.when(named, context), _EXCEPTION)["exception"]
     caller = F.get(exception["trace"], 0)
     # Class names and wording of argument errors.
     argument_error = (exception["class"] == "ArgumentCountError") | (

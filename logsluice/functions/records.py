@@ -23,6 +23,15 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANK))
 
 
+def strip_end(text: Column) -> Column:
+    return F.rtrim(text, F.lit(BLANK))
+
+
+def strip_line_ends(text: Column) -> Column:
+    """Blanks at the end of every line removed."""
+    return F.regexp_replace(text, "[ \\t\\r\\x00\\x0B]+(?=\n|$)", "")
+
+
 def is_header(line: Column) -> Column:
     return F.startswith(line, F.lit("[")) & line.rlike(HEADER)
 
@@ -32,9 +41,10 @@ def header_time(text: Column, tz: str = "UTC") -> Column:
 
     Impossible dates give null.
     """
-    clean = F.regexp_replace(text, r"\s", "T")
-    zoned = F.when(clean.rlike(r"[+-]\d{2}:\d{2}$"), clean).otherwise(F.concat(clean, F.lit(" " + tz)))
-    return zoned.try_cast("timestamp")
+    clean = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 40))
+    has_offset = F.substring(text, -6, 1).isin("+", "-")
+    ending = F.lit("Z" if tz == "UTC" else f" {tz}")
+    return F.when(has_offset, clean).otherwise(F.concat(clean, ending)).try_cast("timestamp")
 
 
 def header_parts(line: Column) -> Column:
@@ -97,25 +107,45 @@ def split_json_tail(message: Column) -> Column:
     return without_tail(text, F.when(is_json(json), json))
 
 
-def source_from_text(message: Column, context: Column) -> Column:
-    """``struct(source, source_line)`` named as ``in <file>:<line>`` in the message,
-    else in the context's ``exception`` when that is a text."""
-    exception = F.try_variant_get(F.try_parse_json(context), "$.exception", "variant")
-    told = F.when(
-        F.contains(context, F.lit('"exception"')) & (F.schema_of_variant(exception) == "STRING"),
-        F.get_json_object(context, "$.exception"),
+def named_source(message: Column, context: Column) -> Column:
+    """The first ``in <file>:<line>`` of the message, else of the context's
+    ``exception`` when that is a text."""
+
+    def found(text: Column) -> Column:
+        return F.nullif(F.regexp_extract(text, SOURCE, 0), F.lit(""))
+
+    value = F.try_variant_get(
+        F.try_parse_json(F.when(F.contains(context, F.lit('"exception"')), context)),
+        "$.exception",
+        "variant",
+    )
+    told = F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+    return F.coalesce(found(message), found(told))
+
+
+def source_parts(named: Column) -> Column:
+    return F.struct(
+        F.nullif(F.regexp_extract(named, SOURCE, 1), F.lit("")).alias("source"),
+        F.regexp_extract(named, SOURCE, 2).try_cast("int").alias("source_line"),
     )
 
-    def part(group: int) -> Column:
-        return F.coalesce(
-            F.nullif(F.regexp_extract(message, SOURCE, group), F.lit("")),
-            F.nullif(F.regexp_extract(told, SOURCE, group), F.lit("")),
-        )
 
-    return F.struct(part(1).alias("source"), part(2).try_cast("int").alias("source_line"))
+def source_from_text(message: Column, context: Column) -> Column:
+    """``struct(source, source_line)`` of :func:`named_source`."""
+    return source_parts(named_source(message, context))
 
 
 def channel_from_path(path: Column) -> Column:
     """File name without ``.log`` and without a trailing ``-YYYY-MM-DD``."""
-    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.log$", "")
-    return F.regexp_replace(name, DATED_NAME, "$1")
+    name = F.substring_index(path, "/", -1)
+    stem = F.when(
+        F.endswith(name, F.lit(".log")), F.substring(name, F.lit(1), F.length(name) - 4)
+    ).otherwise(name)
+    return F.regexp_replace(stem, DATED_NAME, "$1")
+
+
+def channel_from_uri(path: Column) -> Column:
+    """The same for a path with URI escapes, as file metadata has it."""
+    name = F.substring_index(path, "/", -1)
+    plain = F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return channel_from_path(F.when(F.contains(name, F.lit("%")), plain).otherwise(name))

@@ -10,17 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsluice.functions.records import (
-    BLANK,
-    channel_from_path,
+    channel_from_uri,
     header_parts,
     is_header,
     is_json,
     json_candidate,
     named_header,
-    source_from_text,
+    named_source,
+    source_parts,
     strip,
+    strip_end,
+    strip_line_ends,
     without_tail,
 )
+from logsluice.functions.steps import computed_once
 from logsluice.operators.prepare import conform, prepare_entries
 from logsluice.schema import as_utc
 from logsluice.sources.entries import write_entries
@@ -28,7 +31,9 @@ from logsluice.sources.entries import write_entries
 Paths = str | Sequence[str]
 
 _FILE_SCHEMA = "path string, name string, size bigint, modified timestamp"
-_LINE_SCHEMA = "value string, path string, start bigint, m bigint"
+_TEXT_SCHEMA = "value string, path string, size bigint, start bigint, m bigint"
+# A line that begins so is nearly always a header.
+_MARK = "\n[2"
 
 
 def _load(reader, paths: Paths) -> DataFrame | None:
@@ -57,117 +62,211 @@ def list_log_files(spark: SparkSession, paths: Paths, pattern: str = "*.log") ->
     ).orderBy(F.col("modified").desc(), "path")
 
 
-def read_lines(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Lines with their file, the split's start, and their order in the split.
+def _scan(spark: SparkSession, paths: Paths, separator: str, only: list[str] | None) -> DataFrame:
+    """Text between separators with its file, its split's start and its order.
 
     The row number is taken directly on the scan, where rows still come in
-    file order.
+    file order. ``only`` names files; others are not opened.
     """
-    lines = _load(spark.read.format("text").option("lineSep", "\n"), paths)
-    if lines is None:
-        return spark.createDataFrame([], _LINE_SCHEMA)
-    return lines.select(
-        F.rtrim(F.col("value"), F.lit(BLANK)).alias("value"),
+    text = _load(spark.read.format("text").option("lineSep", separator), paths)
+    if text is None:
+        return spark.createDataFrame([], _TEXT_SCHEMA)
+    if only is not None:
+        text = text.where(F.col("_metadata.file_path").isin(only))
+    return text.select(
+        "value",
         F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("m"),
     )
 
 
-def assemble_records(lines: DataFrame) -> DataFrame:
-    """``(path, start, n, first, rest)``: each record's header line and its other lines.
+def read_lines(spark: SparkSession, paths: Paths, only: list[str] | None = None) -> DataFrame:
+    lines = _scan(spark, paths, "\n", only)
+    return lines.select("path", "start", "m", strip_end(F.col("value")).alias("value"))
+
+
+def read_pieces(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Text cut where a line begins like a header of this millennium.
+
+    The reader itself completes a piece that runs over the end of its split,
+    so in an ordinary file each piece is one whole record, stack trace and
+    all, without any shuffle. What is before the first cut stays as it is;
+    later pieces lack the mark they were cut at.
+    """
+    pieces = _scan(spark, paths, _MARK, None)
+    line = F.substring_index("value", "\n", 1)
+    after_mark = is_header(strip_end(F.concat(F.lit(_MARK[1:]), line)))
+    return pieces.withColumns(
+        {"after_mark": after_mark, "at_start": ~after_mark & is_header(strip_end(line))}
+    )
+
+
+def odd_files(pieces: DataFrame) -> DataFrame:
+    """Files whose pieces are not simply their records.
 
-    A record starts at a header line and takes the lines up to the next one;
-    ``(path, start, n)`` is the place of its header. Lines are numbered within
-    their split, which has a bounded size, so they are shuffled once, by split.
-    Only the open end of a split and the headless lines at the start of later
-    ones are put together across splits; which record owns the headless lines
-    is told by a table of one row per split. Lines before a file's first header
-    belong to no record.
+    In an ordinary file only the first piece does not read as a header after
+    the mark, no piece holds a line that begins like an older date, and the
+    pieces and marks together have the size of the file.
     """
-    flagged = lines.withColumn("header", is_header(F.col("value")).cast("int"))
+    older = F.contains("value", F.lit("\n[")) & F.col("value").rlike(r"\n\[\d{4}-\d{2}-\d{2}")
+    files = pieces.groupBy("path").agg(
+        F.count_if(~F.col("after_mark")).alias("unmarked"),
+        F.min(F.struct("start", "m", "after_mark")).alias("first"),
+        F.count_if(older).alias("older"),
+        F.sum(F.octet_length("value") + len(_MARK)).alias("bytes"),
+        F.max("size").alias("size"),
+    )
+    ordinary = (
+        (F.col("unmarked") == 1)
+        & ~F.col("first.after_mark")
+        & (F.col("older") == 0)
+        & (F.col("bytes") - len(_MARK) == F.col("size"))
+    )
+    return files.where(~ordinary).select("path")
+
+
+def whole_records(pieces: DataFrame) -> DataFrame:
+    """``(path, place, first, rest)`` of the pieces of ordinary files."""
+    text = F.when(F.col("after_mark"), F.concat(F.lit(_MARK[1:]), "value")).when(
+        F.col("at_start"), F.col("value")
+    )
+    records = computed_once(pieces, text=text).where(F.col("text").isNotNull())
+    lines = computed_once(records, line=F.substring_index("text", "\n", 1))
+    more = F.substring("text", F.length("line") + 2, F.length("text"))
+    return lines.select(
+        "path",
+        F.col("m").cast("string").alias("place"),
+        strip_end(F.col("line")).alias("first"),
+        F.when(F.length("text") > F.length("line"), strip_line_ends(more)).alias("rest"),
+    )
 
-    # One row per split: its headers, and the nearest earlier split with any.
+
+def records_of_lines(lines: DataFrame) -> DataFrame:
+    """``(path, place, first, rest)`` of any files, from their lines.
+
+    A record starts at a header line and takes the lines up to the next one.
+    Lines are numbered within their task's share of the input, which has a
+    bounded size, so they are shuffled once, by task. Only the open end of a
+    split and the headless lines at the start of later ones are put together
+    across splits; a table of one row per split tells which split's last
+    record owns them. Lines before a file's first header belong to no record.
+    """
+    flagged = lines.withColumns(
+        {"header": is_header(F.col("value")), "task": F.shiftright("m", 33)}
+    )
+
+    # One row per split: whether it has headers, and the nearest earlier split
+    # that has some.
     earlier = (
         Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     )
-    open_place = F.when(F.col("headers") > 0, F.struct("start", F.col("headers").alias("n")))
+    with_headers = F.when(F.col("headed"), F.col("start"))
     splits = (
         flagged.groupBy("path", "start")
-        .agg(F.sum("header").alias("headers"))
-        .withColumn("before", F.last(open_place, ignorenulls=True).over(earlier))
+        .agg(F.bool_or("header").alias("headed"))
+        .withColumn("before", F.last(with_headers, ignorenulls=True).over(earlier))
     )
 
-    running = (
-        Window.partitionBy("path", "start")
-        .orderBy("m")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # Grouping by a superset of the window's keys keeps its partitioning.
+    in_task = Window.partitionBy("task").orderBy("m")
+    so_far = in_task.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct("path", "start")
     pieces = (
         flagged.select(
-            "path", "start", "m", "value", F.sum("header").over(running).alias("n")
+            "path",
+            "start",
+            "task",
+            "m",
+            "value",
+            "header",
+            F.coalesce(F.lag(place).over(in_task) != place, F.lit(True)).alias("opens"),
+            F.coalesce(F.lead(place).over(in_task) != place, F.lit(True)).alias("closes"),
         )
-        .groupBy("path", "start", "n")
+        .withColumn("n", F.sum((F.col("header") | F.col("opens")).cast("int")).over(so_far))
+        .groupBy("task", "n")
         .agg(
+            F.first("path").alias("path"),
+            F.first("start").alias("start"),
+            F.bool_or("header").alias("headed"),
+            F.bool_or("closes").alias("open_end"),
+            F.min("m").alias("m"),
             F.transform(
                 F.array_sort(F.collect_list(F.struct("m", "value"))), lambda s: s["value"]
-            ).alias("lines")
+            ).alias("lines"),
         )
-        # Hashing the small side spares the pieces another sort.
-        .join(splits.hint("shuffle_hash"), ["path", "start"])
     )
-    closed = (F.col("n") > 0) & (F.col("n") < F.col("headers"))
-    whole = pieces.where(closed).select("path", "start", "n", "lines")
-
-    headless = F.col("n") == 0
-    owner = F.when(headless, F.col("before")).otherwise(F.struct("start", "n"))
-    ends = pieces.where(~closed).withColumn("owner", owner).where(F.col("owner").isNotNull())
+    whole = pieces.where(F.col("headed") & ~F.col("open_end")).select(
+        "path", F.col("m").cast("string").alias("place"), "lines"
+    )
+    # Hashing the small side spares the pieces another sort.
+    ends = pieces.where(~F.col("headed") | F.col("open_end")).join(
+        splits.select("path", "start", "before", F.lit(True).alias("known")).hint("shuffle_hash"),
+        ["path", "start"],
+        "left",
+    )
+    # Both scans must have cut the files alike; better to stop than to lose lines.
+    checked = F.when(F.col("known"), F.col("before")).otherwise(
+        F.raise_error(F.lit("the files were split differently while they were read")).cast("bigint")
+    )
+    owner = F.when(F.col("headed"), F.col("start")).otherwise(checked)
     bridged = (
-        ends.groupBy("path", "owner")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "n", "lines"))).alias("parts"))
+        ends.withColumn("owner", owner)
+        .where(F.col("owner").isNotNull())
+        .groupBy("path", "owner")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "m", "lines"))).alias("parts"))
         .select(
             "path",
-            "owner.start",
-            "owner.n",
+            F.concat(F.lit("end of "), F.col("owner").cast("string")).alias("place"),
             F.flatten(F.transform("parts", lambda p: p["lines"])).alias("lines"),
         )
     )
+    more = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
     return whole.unionByName(bridged).select(
         "path",
-        "start",
-        "n",
+        "place",
         F.get("lines", F.lit(0)).alias("first"),
-        F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))).alias("rest"),
+        F.when(F.size("lines") > 1, F.array_join(more, "\n")).alias("rest"),
     )
 
 
+def assemble_records(spark: SparkSession, paths: Paths) -> DataFrame:
+    """``(path, place, first, rest)``: each record's header line and its other lines.
+
+    Runs one job at once, which looks for files that need to be read line by
+    line. All others are read by the piece, without a shuffle.
+    """
+    pieces = read_pieces(spark, paths)
+    # At most the file names that the listing has brought to the driver anyway.
+    odd = [row.path for row in odd_files(pieces).collect()]
+    if not odd:
+        return whole_records(pieces)
+    ordinary = pieces.where(~F.col("path").isin(odd))
+    by_line = records_of_lines(read_lines(spark, paths, odd))
+    return whole_records(ordinary).unionByName(by_line)
+
+
 def _read_record(records: DataFrame, tz: str) -> DataFrame:
-    place = ["path", "start", "n"]
-    # One step per expensive value: what a step computes is used several times
-    # by the next and is not computed again there.
-    head = records.select(*place, "rest", header_parts(F.col("first")).alias("parts"))
-    text = strip(F.array_join(F.concat(F.array(F.col("parts")[3]), F.col("rest")), "\n"))
-    said = head.select(*place, named_header(F.col("parts"), tz).alias("head"), text.alias("text"))
-    tail = said.withColumn("json", json_candidate(F.col("text")))
-    valid = tail.withColumn("json", F.when(is_json(F.col("json")), F.col("json")))
-    split = valid.select(
-        *place, "head", without_tail(F.col("text"), F.col("json")).alias("text")
-    )
-    found = source_from_text(F.col("text.message"), F.col("text.context"))
-    placed = split.select(*place, "head", "text", found.alias("at"))
-    plain_path = F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    return placed.select(
+    rows = computed_once(records, parts=header_parts(F.col("first")))
+    # A null rest is left out; an empty header text still counts as a line.
+    text = strip(F.concat_ws("\n", F.col("parts")[3], F.col("rest")))
+    rows = computed_once(rows, head=named_header(F.col("parts"), tz), text=text)
+    rows = computed_once(rows, json=json_candidate(F.col("text")))
+    rows = computed_once(rows, json=F.when(is_json(F.col("json")), F.col("json")))
+    rows = computed_once(rows, text=without_tail(F.col("text"), F.col("json")))
+    rows = computed_once(rows, named=named_source(F.col("text.message"), F.col("text.context")))
+    rows = computed_once(rows, channel=channel_from_uri(F.col("path")))
+    return rows.select(
         F.col("path").alias("file"),
         "head.level",
         "text.message",
         "text.context",
-        channel_from_path(F.coalesce(plain_path, F.col("path"))).alias("channel"),
+        "channel",
         "head.environment",
-        "at.source",
-        "at.source_line",
+        source_parts(F.col("named"))["source"].alias("source"),
+        source_parts(F.col("named"))["source_line"].alias("source_line"),
         "head.occurred_at",
-        F.concat_ws(":", "start", "n").alias("place"),
+        "place",
     )
 
 
@@ -186,7 +285,7 @@ def parse_all(
     spark: SparkSession, paths: Paths, now: datetime | None = None, days: int = 0, tz: str = "UTC"
 ) -> DataFrame:
     """Every record, also those whose date cannot be read (``occurred_at`` null)."""
-    records = _read_record(assemble_records(read_lines(spark, paths)), tz)
+    records = _read_record(assemble_records(spark, paths), tz)
     return records.withColumn("_skipped", _is_old(now, days))
 
 
@@ -215,8 +314,8 @@ def import_summary(parsed: DataFrame) -> DataFrame:
 def prepared_import(parsed: DataFrame, now: datetime) -> DataFrame:
     """Parsed records as rows of the entry table.
 
-    The id comes from where the record stands, so importing again gives the
-    same ids and equal records keep different ones.
+    The id comes from where the record stands, so a retried task gives it
+    again and equal records have different ones.
     """
     fresh = parsed.where(F.col("occurred_at").isNotNull() & ~F.col("_skipped"))
     return conform(prepare_entries(fresh, now, key_cols=["file", "place"]))

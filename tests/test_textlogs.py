@@ -16,7 +16,7 @@ def write(path, text):
 
 def parse(spark, path, **kw):
     rows = textlogs.parse_log_text(spark, path, **kw).collect()
-    return sorted(rows, key=lambda r: [int(x) for x in r.place.split(":")])
+    return sorted(rows, key=lambda r: (r.occurred_at, r.message))
 
 
 def test_simple_record(spark, tmp_path):
@@ -122,39 +122,74 @@ def plain_loop(text):
     return [("\n".join(r)).rstrip() for r in records]
 
 
-@pytest.mark.parametrize("split_bytes", ["200b", "1k", "64k"])
-def test_records_do_not_depend_on_splits(spark, tmp_path, split_bytes):
-    rng = random.Random(7)
+def texts_of(rng, odd):
     texts = {}
     for f in range(6):
         lines = ["junk", "", "more junk"] * rng.randrange(3)
         for i in range(120):
             lines.append(f"[2024-01-15 10:{i % 60:02}:00] local.INFO: é record {i} of {f}")
             lines += [f"#{j} frame" + "x" * rng.randrange(80) for j in range(rng.choice([0, 0, 1, 4, 12]))]
-            lines += rng.choice([[], ["[stacktrace]", ""], ["[not a header"]])
+            lines += rng.choice([[], ["[stacktrace] \t", ""], ["[not a header"]])
+            if odd:
+                lines += rng.choice([[], [], ["[2", "[2024-01-15] no"], ["[1999-12-31 23:59:59] x.INFO: old"]])
         end = rng.choice(["\n", "\r\n"])
         texts[f"f{f}.log"] = end.join(lines) + rng.choice(["", end])
     # Only text without any record, over several splits.
     texts["junk.log"] = "no header here\n" * 400
     # One record over several splits.
     texts["long.log"] = "[2024-01-15 10:00:00] local.INFO: long\n" + "line\n" * 500
+    texts["bare.log"] = "[2024-01-15 10:00:00] local.INFO:\n" * 30
+    if odd:
+        texts["cut.log"] = "024-01-15 10:00:00] local.INFO: half\n[2024-01-15 10:00:00] local.INFO: x\n[2"
+        texts["twice.log"] = "[2024-01-15 10:00:00] local.INFO: x\n[2[2024-01-15 10:00:00] local.INFO: y\n"
+    return texts
+
+
+def with_small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.fixture
+def splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    yield lambda size: with_small_splits(spark, size)
+    for n, value in old.items():
+        spark.conf.set(n, value)
+
+
+def compare(records, texts):
+    rows = records.select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.concat_ws("\n", "first", "rest").alias("text")
+    ).collect()
+    for name, text in texts.items():
+        mine = sorted(r.text.rstrip() for r in rows if r.name == name)
+        assert mine == sorted(plain_loop(text)), name
+
+
+@pytest.mark.parametrize("split_bytes", ["100b", "203b", "1k", "64k"])
+@pytest.mark.parametrize("odd", [False, True])
+def test_records_do_not_depend_on_splits(spark, tmp_path, splits, split_bytes, odd):
+    texts = texts_of(random.Random(len(split_bytes)), odd)
     for name, text in texts.items():
         write(tmp_path / name, text)
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    cost = spark.conf.get("spark.sql.files.openCostInBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
-        spark.conf.set("spark.sql.files.openCostInBytes", "1")
-        records = textlogs.assemble_records(textlogs.read_lines(spark, str(tmp_path / "*.log")))
-        rows = records.select(
-            F.element_at(F.split("path", "/"), -1).alias("name"), "start", "n", "first", "rest"
-        ).collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    splits(split_bytes)
+    path = str(tmp_path / "*.log")
+    found = {r.path.split("/")[-1] for r in textlogs.odd_files(textlogs.read_pieces(spark, path)).collect()}
+    assert found == ({n for n in texts if n not in ("junk.log", "long.log", "bare.log")} if odd else set())
+    compare(textlogs.assemble_records(spark, path), texts)
+    compare(textlogs.records_of_lines(textlogs.read_lines(spark, path)), texts)
+
+
+def test_compressed_files(spark, tmp_path):
+    import gzip
+
+    texts = texts_of(random.Random(3), False)
     for name, text in texts.items():
-        mine = sorted((r for r in rows if r.name == name), key=lambda r: (r.start, r.n))
-        assert ["\n".join([r.first, *r.rest]).rstrip() for r in mine] == plain_loop(text), name
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(text.encode()))
+    records = textlogs.assemble_records(spark, str(tmp_path / "*.gz"))
+    compare(records, {f"{n}.gz": t for n, t in texts.items()})
 
 
 @pytest.mark.parametrize(
