@@ -18,7 +18,7 @@ def _base32(number: Column, base: int, width: int) -> Column:
     return F.translate(digits, _CONV_DIGITS, _ULID_DIGITS)
 
 
-def ulid(moment: Column, keys: Sequence[Column]) -> Column:
+def ulid(millis: Column, keys: Sequence[Column]) -> Column:
     """26 lower-case characters: 48 bits of time, 80 bits hashed from ``keys``.
 
     With keys that tell rows apart, a retried task or a replayed micro-batch
@@ -31,7 +31,7 @@ def ulid(moment: Column, keys: Sequence[Column]) -> Column:
     else:
         digest = F.sha2(F.expr("uuid()"), 256)
     return F.concat(
-        _base32(F.unix_millis(moment.cast("timestamp")), 10, 10),
+        _base32(millis, 10, 10),
         _base32(F.substring(digest, 1, 10), 16, 8),
         _base32(F.substring(digest, 11, 10), 16, 8),
     )

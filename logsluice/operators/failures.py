@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsluice.functions.text import cut_chars
-from logsluice.schema import MAX_CHARS, as_utc, instant
+from logsluice.schema import MAX_CHARS, as_utc, epoch_micros, instant
 
 FAILURE_KEY = ("class", "file", "line")
 FAILURE_MARK = "_write_failure"
@@ -42,14 +42,14 @@ def occurrences(
     one row each, says where a slice starts. ``before`` holds earlier counts
     per key as ``(key..., n)``.
     """
-    second = F.unix_seconds(F.col(order[0]).cast("timestamp"))
+    micros = epoch_micros(F.col(order[0]), df.schema[order[0]].dataType)
     # A struct compares and hashes null fields like any other value, so the
     # join is null-safe and the window can reuse its partitioning.
     whole_key = F.struct(*scope, *key)
     sliced = df.withColumns(
         {
             "_key": whole_key,
-            "_slice": F.coalesce(F.floor(second / slice_seconds), F.lit(0)).cast("bigint"),
+            "_slice": F.coalesce(F.floor(micros / (slice_seconds * 1_000_000)), F.lit(0)).cast("bigint"),
         }
     )
     counts = sliced.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_n"))
@@ -227,7 +227,7 @@ def failures_since_dismiss(
     if now is None:
         raise ValueError("a ttl needs now=")
     rest = rest.where(F.col("at") <= instant(now, dtype))
-    seconds = F.unix_micros(F.col("at").cast("timestamp")) / 1_000_000
+    seconds = epoch_micros(F.col("at"), dtype) / 1_000_000
     slices = rest.groupBy(F.floor(seconds / ttl_seconds).alias("slice")).agg(
         F.min(seconds).alias("low"), F.max(seconds).alias("high")
     )

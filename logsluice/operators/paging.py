@@ -9,17 +9,15 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logsluice.schema import LIST_COLUMNS, instant, time_type
+from logsluice.schema import LIST_COLUMNS, instant, time_type, to_wall
 
 # Page size bounds and the count at which counting stops.
 PER_PAGE = 50
 MAX_PER_PAGE = 100
 COUNT_CAP = 1000
 
-_CURSOR_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-
-
 def newest_first() -> list[Column]:
     return [F.col("occurred_at").desc(), F.col("id").desc()]
 
@@ -88,10 +86,19 @@ def capped_count(df: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     )
 
 
-def cursor_column(occurred_at: Column, entry_id: Column) -> Column:
-    text = F.to_json(
-        F.struct(F.date_format(occurred_at, _CURSOR_TIME).alias("occurred_at"), entry_id.alias("id"))
-    )
+def count_up_to(df: DataFrame, cap: int = COUNT_CAP) -> tuple[int, bool]:
+    """The same at once: Spark reads only as many partitions as it needs."""
+    seen = len(df.select(F.lit(1)).take(cap + 1))
+    return min(seen, cap), seen > cap
+
+
+def cursor_column(occurred_at: Column, entry_id: Column, dtype: T.DataType) -> Column:
+    wall = occurred_at if isinstance(dtype, T.TimestampNTZType) else to_wall(occurred_at)
+    told = wall.cast("string")
+    # Always six digits of a second.
+    point = F.when(F.contains(told, F.lit(".")), F.lit("")).otherwise(".")
+    time = F.rpad(F.concat(told, point), 26, "0")
+    text = F.to_json(F.struct(time.alias("occurred_at"), entry_id.alias("id")))
     # base64() wraps long texts.
     return F.translate(F.base64(text.cast("binary")), "\r\n", "")
 
@@ -108,13 +115,12 @@ def page_meta(
     probe = recent(rest.select("occurred_at", "id")).limit(size + 1)
     # Position `size` newest first is the last row of this page.
     ranked = F.sort_array(F.collect_list(F.struct("occurred_at", "id")), asc=False)
-    peeked = probe.agg(F.count(F.lit(1)).alias("n"), ranked.alias("rows")).select(
+    last = F.get(ranked, size - 1).alias("last")
+    peeked = probe.agg(F.count(F.lit(1)).alias("n"), last).select(
         (F.col("n") > size).alias("has_next"),
         F.when(
             F.col("n") > size,
-            cursor_column(
-                F.get(F.col("rows"), size - 1)["occurred_at"], F.get(F.col("rows"), size - 1)["id"]
-            ),
+            cursor_column(F.col("last.occurred_at"), F.col("last.id"), time_type(df)),
         ).alias("next_cursor"),
     )
     both = peeked.unionByName(capped_count(rest, cap), allowMissingColumns=True)

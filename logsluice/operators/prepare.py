@@ -12,7 +12,14 @@ from pyspark.sql import types as T
 
 from logsluice.functions.ids import ulid
 from logsluice.functions.text import head_bytes, preview
-from logsluice.schema import ENTRY_SCHEMA, Limits, instant
+from logsluice.schema import (
+    ENTRY_SCHEMA,
+    Limits,
+    epoch_micros,
+    instant,
+    time_type,
+    to_second,
+)
 
 
 def truncate_message(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -57,16 +64,13 @@ def fill_defaults(df: DataFrame, now: datetime) -> DataFrame:
     dtype = df.schema["occurred_at"].dataType if "occurred_at" in df.columns else T.TimestampType()
     moment = instant(now, dtype)
 
-    def to_second(column: Column) -> Column:
-        return F.date_trunc("second", column).cast(dtype)
-
     return df.withColumns(
         {
             "occurred_at": to_second(
-                F.coalesce(_column_or_null(df, "occurred_at", dtype), moment)
+                F.coalesce(_column_or_null(df, "occurred_at", dtype), moment), dtype
             ),
             "status": F.coalesce(_column_or_null(df, "status", T.StringType()), F.lit("open")),
-            "created_at": to_second(moment),
+            "created_at": to_second(moment, dtype),
         }
     )
 
@@ -76,7 +80,8 @@ def with_ulid(
 ) -> DataFrame:
     """``id`` from the row's time and the given columns, which must tell rows apart;
     without any, from the time and chance."""
-    return df.withColumn("id", ulid(F.col(ts_col), [F.col(c) for c in key_cols]))
+    millis = F.floor(epoch_micros(F.col(ts_col), time_type(df, ts_col)) / 1000)
+    return df.withColumn("id", ulid(millis, [F.col(c) for c in key_cols]))
 
 
 def add_previews(df: DataFrame, limits: Limits = Limits(), unit: str = "bytes") -> DataFrame:

@@ -40,8 +40,9 @@ def dedupe_capture(df: DataFrame, key: str = "id", delay: str = "10 minutes") ->
     """
     if df.isStreaming:
         return df.dropDuplicatesWithinWatermark([key])
-    keyed = df.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return keyed.unionByName(df.where(F.col(key).isNull()))
+    # Rows without a key are told apart by their place, in the same pass.
+    place = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return df.withColumn("_place", place).dropDuplicates([key, "_place"]).drop("_place")
 
 
 def ignore(df: DataFrame, rules: CaptureRules) -> DataFrame:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, time, timezone
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
 from logsluice.functions.bounds import resolve_range
 from logsluice.operators.filters import apply_filters
-from logsluice.operators.paging import page, page_meta, read_cursor
-from logsluice.sources.entries import read_entries
+from logsluice.operators.paging import (
+    after_cursor,
+    clamp_per_page,
+    count_up_to,
+    page,
+    page_meta,
+    read_cursor,
+)
+from logsluice.schema import as_utc
+from logsluice.sources.entries import read_entries, stored_days
 
 
 class Listing(NamedTuple):
@@ -39,10 +47,51 @@ def list_table(
     **params,
 ) -> Listing:
     """The same on a stored table, reading only the days that can matter."""
+    low, high = _time_range(cursor, params)
+    return list_entries(read_entries(spark, path, low, high), per_page, cursor, wide, **params)
+
+
+def newest_page(
+    spark: SparkSession,
+    path: str,
+    per_page: int | None = None,
+    cursor: str | None = None,
+    wide: bool = True,
+    **params,
+) -> DataFrame:
+    """The page of a stored table, found in as few of its newest days as hold it.
+
+    Days are added until they have the rows of one page; each look is a small
+    job, and each adds four times the days of the one before. Older days
+    cannot come into the page, so they are never opened.
+    """
+    low, high = _time_range(cursor, params)
+    days = sorted(
+        (
+            day
+            for day in stored_days(spark, path)
+            if (low is None or day >= low.date()) and (high is None or day <= high.date())
+        ),
+        reverse=True,
+    )
+    size, span = clamp_per_page(per_page), 1
+    while True:
+        since = low
+        if span < len(days):
+            since = datetime.combine(days[span - 1], time(), timezone.utc)
+            since = since if low is None else max(since, low)
+        rest = apply_filters(read_entries(spark, path, since, high), **params)
+        if span >= len(days) or count_up_to(after_cursor(rest, cursor), size)[0] == size:
+            return page(rest, per_page, cursor, wide)
+        span *= 4
+
+
+def _time_range(cursor: str | None, params: dict) -> tuple[datetime | None, datetime | None]:
+    """The time range that the filters and the cursor leave."""
     low, high = resolve_range(
         params.get("from_"), params.get("to"), params.get("tz", "UTC"), params.get("now")
     )
     position = read_cursor(cursor)
     if position is not None:
-        high = min(filter(None, [high, resolve_range(None, position[0])[1]]))
-    return list_entries(read_entries(spark, path, low, high), per_page, cursor, wide, **params)
+        high = min(filter(None, [high, as_utc(position[0])]))
+    return low, high

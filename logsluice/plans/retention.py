@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import datetime, timedelta
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from logsluice.operators.stats import expired, prune_breakdown
 from logsluice.schema import as_utc, instant, time_type
-from logsluice.session import scratch_path
-from logsluice.sources.entries import DAY
+from logsluice.session import drop_path, scratch_path
+from logsluice.sources.entries import DAY, stored_days
 
 # Fixed value: days kept when nothing else is said.
 KEEP_DAYS = 30
@@ -50,19 +50,6 @@ def prune_preview(
     return PrunePreview(total, by_level)
 
 
-def _day_folders(spark: SparkSession, path: str) -> dict[date, object]:
-    """The table's day folders: one per day of history, listed on the driver."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders = {}
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if status.isDirectory() and name.startswith(f"{DAY}="):
-            folders[date.fromisoformat(name.removeprefix(f"{DAY}="))] = (fs, status.getPath())
-    return folders
-
-
 def prune_table(
     spark: SparkSession,
     path: str,
@@ -81,34 +68,36 @@ def prune_table(
     if keep is None:
         return
     limit = as_utc(now) - timedelta(days=keep)
-    folders = _day_folders(spark, path)
-    for day, (fs, folder) in folders.items():
+    folders = stored_days(spark, path)
+    for day, folder in folders.items():
         if day < limit.date():
-            fs.delete(folder, True)
-    if limit.date() not in folders:
+            drop_path(spark, folder)
+    folder = folders.get(limit.date())
+    if folder is None:
         return
-    stored = spark.read.parquet(path)
-    day_rows = stored.where(F.col(DAY) == F.lit(limit.date()))
-    kept = day_rows.where(F.col("occurred_at") >= instant(limit, time_type(stored)))
+    stored = spark.read.option("basePath", path).parquet(folder)
+    kept = stored.where(F.col("occurred_at") >= instant(limit, time_type(stored)))
     copy = scratch_path(spark, "prune")
     kept.write.parquet(copy)
-    fs, folder = folders[limit.date()]
     rows = spark.read.parquet(copy)
-    if rows.isEmpty():
-        fs.delete(folder, True)
-        return
     parts = [c for c in (DAY, "batch") if c in stored.columns]
-    (
-        rows.sortWithinPartitions(*parts, "occurred_at", "id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*parts)
-        .parquet(path)
-    )
-    if "batch" in parts:
-        # Sub-partitions in which nothing was kept are not touched by the write.
-        kept_batches = {r.batch for r in rows.select("batch").distinct().collect()}
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            if name.startswith("batch=") and int(name.removeprefix("batch=")) not in kept_batches:
-                fs.delete(status.getPath(), True)
+    if rows.isEmpty():
+        drop_path(spark, folder)
+    else:
+        all_batches = set()
+        if "batch" in parts:
+            all_batches = {r.batch for r in stored.select("batch").distinct().collect()}
+        (
+            rows.sortWithinPartitions(*parts, "occurred_at", "id")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*parts)
+            .parquet(path)
+        )
+        if all_batches:
+            # Sub-partitions in which nothing was kept are not touched by the
+            # write. Both lists are no longer than the folder listing.
+            kept_batches = {r.batch for r in rows.select("batch").distinct().collect()}
+            for batch in all_batches - kept_batches:
+                drop_path(spark, f"{folder}/batch={batch}")
+    drop_path(spark, copy)

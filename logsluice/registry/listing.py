@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logsluice.operators import paging, stats
 from logsluice.operators.filters import apply_filters
 from logsluice.operators.prepare import add_previews
-from logsluice.plans.listing import list_entries, list_table
+from logsluice.plans.listing import list_entries, list_table, newest_page
 from logsluice.registry.base import LATE, MIDDLE, NOW, entries, entries_query, query
 from logsluice.registry.base import table
 from logsluice.session import scratch_path
@@ -16,7 +16,6 @@ from logsluice.sources.entries import read_entries, write_entries
 _ROW = "id, level, message, channel, occurred_at, status"
 _ROW_COLUMNS = ("id", "level", "message", "channel", "occurred_at", "status")
 # A position in the middle of `events` at every scale.
-_AT = "2024-01-20 00:00:00"
 _CURSOR = paging.make_cursor(MIDDLE, "00000000000000000000000500")
 _BEFORE = (
     "(occurred_at < TIMESTAMP '2024-01-15 12:30:00' OR (occurred_at = TIMESTAMP '2024-01-15 12:30:00' "
@@ -214,3 +213,16 @@ def _list_table(spark, sf_dir):
         spark, path, per_page=25, cursor=_CURSOR, levels=["error", "info"], from_="2024-01-08"
     )
     return page.rows.select(*_ROW_COLUMNS)
+
+
+@query(
+    "newest_page",
+    f"SELECT {_ROW} FROM le WHERE {_BEFORE} AND level='error' AND status='open' AND channel='stack' "
+    "ORDER BY occurred_at DESC, id DESC LIMIT 40",
+)
+def _newest(spark, sf_dir):
+    path = stored_entries(spark, sf_dir, "newest")
+    page = newest_page(
+        spark, path, per_page=40, cursor=_CURSOR, levels="error", channels="stack"
+    )
+    return page.select(*_ROW_COLUMNS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logsluice.schema import to_instant, to_wall
 from logsluice.plans.capture import dedupe_capture
 from logsluice.registry.base import ENTRIES_SQL, LATE, NOW, query
 from logsluice.registry.failing import _FAILURES, failures_of
@@ -21,7 +22,7 @@ def entries_stream(spark, sf_dir):
     files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     events = files.parquet(sf_dir)
     le = spark.sql(ENTRIES_SQL, events=events)
-    return le.withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    return le.withColumn("occurred_at", to_instant(F.col("occurred_at")))
 
 
 def _finish(writer, checkpoint: str) -> None:
@@ -43,7 +44,7 @@ def _ingest(spark, sf_dir):
     stream.awaitTermination()
     return read_entries(spark, path).select(
         "id", "level", "message", "context", "url",
-        F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "status", "is_truncated",
+        to_wall(F.col("occurred_at")).alias("occurred_at"), "status", "is_truncated",
     )
 
 
@@ -94,7 +95,7 @@ def _windows(spark, sf_dir):
         scratch_path(spark, "checkpoint"),
     )
     return spark.read.parquet(out).withColumns(
-        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+        {c: to_wall(F.col(c)) for c in ("window_start", "window_end")}
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logsluice.schema import to_wall
 from logsluice.functions.records import (
     channel_from_path,
     source_from_text,
@@ -37,7 +38,7 @@ def write_text(spark, sf_dir: str, purpose: str) -> str:
     le = entries(spark, sf_dir)
     record = F.concat(
         F.lit("["),
-        F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        F.col("occurred_at").cast("string"),
         F.lit("] local."),
         F.upper("level"),
         F.lit(": "),
@@ -63,7 +64,7 @@ def _parse(spark, sf_dir):
     parsed = textlogs.parse_log_text(spark, f"{folder}/*/*")
     return parsed.select(
         "level", "message", "context", "source", "source_line",
-        F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"),
+        to_wall(F.col("occurred_at")).alias("occurred_at"),
     )
 
 
@@ -106,7 +107,7 @@ def _import(spark, sf_dir):
     textlogs.import_logs(spark, f"{folder}/*/*", table, NOW, days=7, fresh=True)
     return read_entries(spark, table).select(
         "level", "message", "context", "source", "source_line",
-        F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "status", "is_truncated",
+        to_wall(F.col("occurred_at")).alias("occurred_at"), "status", "is_truncated",
     )
 
 
@@ -146,7 +147,7 @@ def _follow(spark, sf_dir):
     stream.awaitTermination()
     return read_entries(spark, table).select(
         "level", "message", "context", "source", "source_line",
-        F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"),
+        to_wall(F.col("occurred_at")).alias("occurred_at"),
     )
 
 
@@ -184,7 +185,7 @@ def _header(spark, sf_dir):
         F.lit("["), moment, F.lit("] production."), F.upper("level"), F.lit(": "), "message"
     )
     head = entries(spark, sf_dir).select("id", split_header(line).alias("h")).select("id", "h.*")
-    return head.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+    return head.withColumn("occurred_at", to_wall(F.col("occurred_at")))
 
 
 @query(

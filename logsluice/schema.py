@@ -113,3 +113,36 @@ def instant(moment: datetime, dtype: T.DataType | None = None) -> Column:
 
 def time_type(df: DataFrame, column: str = "occurred_at") -> T.DataType:
     return df.schema[column].dataType
+
+
+# The helpers below never go through the session's time zone: a TIMESTAMP_NTZ
+# is UTC wall-clock time here, whatever zone a session displays.
+
+
+def epoch_micros(moment: Column, dtype: T.DataType) -> Column:
+    if not isinstance(dtype, T.TimestampNTZType):
+        return F.unix_micros(moment)
+    seconds = F.extract(F.lit("SECOND"), moment)
+    minutes = (F.unix_date(F.to_date(moment)).cast("bigint") * 24 + F.hour(moment)) * 60
+    whole = (minutes + F.minute(moment)) * 60_000_000
+    return whole + (seconds * 1_000_000).cast("bigint")
+
+
+def to_instant(moment: Column) -> Column:
+    """TIMESTAMP_NTZ in UTC as TIMESTAMP."""
+    return F.timestamp_micros(epoch_micros(moment, T.TimestampNTZType()))
+
+
+def to_wall(moment: Column) -> Column:
+    """TIMESTAMP as TIMESTAMP_NTZ in UTC."""
+    seconds = (F.unix_micros(moment).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=seconds)
+
+
+def to_second(moment: Column, dtype: T.DataType) -> Column:
+    """Without the fraction of a second."""
+    if not isinstance(dtype, T.TimestampNTZType):
+        return F.date_trunc("second", moment)
+    fraction = (F.extract(F.lit("SECOND"), moment) % 1).cast("decimal(18,6)")
+    return moment - F.make_dt_interval(secs=fraction)

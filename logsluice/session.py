@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder this package has written."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True)
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from logsluice.operators.failures import as_failures, fallback_rows, split_valid
 from logsluice.operators.prepare import conform, prepare_entries
 from logsluice.schema import as_utc, instant, time_type
+from logsluice.session import drop_path, scratch_path
 
 DAY = "date"
 # Columns looked up by whole values; bloom filters let readers skip row groups.
@@ -102,9 +103,20 @@ def write_entries(
     writer.parquet(path)
 
 
-def storable(df: DataFrame, now: datetime, where: str = "append") -> DataFrame:
+def stored_days(spark: SparkSession, path: str) -> dict[date, str]:
+    """The table's days and their folders, from one folder listing."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = {}
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith(f"{DAY}="):
+            days[date.fromisoformat(name.removeprefix(f"{DAY}="))] = status.getPath().toString()
+    return days
+
+
+def storable(good: DataFrame, bad: DataFrame, now: datetime, where: str = "append") -> DataFrame:
     """Valid rows prepared for the table, and fallback rows for the others."""
-    good, bad = split_valid(df)
     prepared = conform(prepare_entries(good, now))
     order = ["at", "level", "message"]
     failures = as_failures(bad, where, now)
@@ -121,5 +133,21 @@ def append_entries(
     batch: int | None = None,
     rebalance: bool = True,
 ) -> None:
-    """Stores the rows; one that cannot be stored stops no other."""
-    write_entries(storable(df, now, where), path, batch=batch, rebalance=rebalance)
+    """Stores the rows; one that cannot be stored stops no other.
+
+    A persisted frame is simply used twice. Otherwise the bad rows, normally
+    few, are set aside in the shared folder first, so that numbering them does
+    not go over the whole input again.
+    """
+    good, bad = split_valid(df)
+    if df.is_cached:
+        write_entries(storable(good, bad, now, where), path, batch=batch, rebalance=rebalance)
+        return
+    spark = df.sparkSession
+    aside = scratch_path(spark, "rejected")
+    bad.write.parquet(aside)
+    try:
+        bad = spark.read.schema(bad.schema).parquet(aside)
+        write_entries(storable(good, bad, now, where), path, batch=batch, rebalance=rebalance)
+    finally:
+        drop_path(spark, aside)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.operators.failures import EVERY, FAILURE_KEY, keep_beat, occurrences
+from logsluice.session import drop_path
 
 
 def heartbeat_stream(
@@ -47,6 +48,8 @@ def heartbeat_stream(
             here = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
             after = before.unionByName(here).groupBy(*key).agg(F.sum("n").alias("n"))
             after.write.mode("overwrite").parquet(f"{state}/batch={batch}")
+            # A replay needs the counters before it, nothing older.
+            drop_path(spark, f"{state}/batch={batch - 2}")
         finally:
             rows.unpersist()
 

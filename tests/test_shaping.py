@@ -247,3 +247,39 @@ def test_capture_takes_the_source_from_the_exception(spark):
     row = build(df, CaptureRules()).first()
     assert (row.source, row.source_line) == ("/app/a.php", 3)
     assert json.loads(row.context)["password"] == "[REDACTED]" and "REDACTED" in row.url
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_do_not_depend_on_the_session_zone(spark, zone):
+    from pyspark.sql import types as T
+
+    from logsluice.operators.paging import cursor_column, read_cursor
+    from logsluice.schema import epoch_micros, to_instant, to_second, to_wall
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    # The first one is skipped by New York's clocks, the last is before 1970.
+    texts = ["2024-03-10 02:30:15.250000", "2024-11-03 01:30:00.000001", "1969-12-31 23:59:59.500000"]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", F.col("t").cast("timestamp_ntz"))
+        df = df.withColumn("i", to_instant(F.col("w")))
+        ntz, ts = T.TimestampNTZType(), T.TimestampType()
+        rows = df.select(
+            "t",
+            epoch_micros(F.col("w"), ntz).alias("a"),
+            epoch_micros(F.col("i"), ts).alias("b"),
+            to_wall(F.col("i")).cast("string").alias("wall"),
+            to_second(F.col("w"), ntz).cast("string").alias("sw"),
+            to_wall(to_second(F.col("i"), ts)).cast("string").alias("si"),
+            cursor_column(F.col("w"), F.col("t"), ntz).alias("c1"),
+            cursor_column(F.col("i"), F.col("t"), ts).alias("c2"),
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    for r in rows:
+        moment = datetime.fromisoformat(r.t)
+        delta = moment - datetime(1970, 1, 1)
+        assert r.a == r.b == (delta.days * 86400 + delta.seconds) * 1_000_000 + delta.microseconds
+        assert datetime.fromisoformat(r.wall) == moment
+        assert r.sw == r.si == str(moment.replace(microsecond=0))
+        assert r.c1 == r.c2 and read_cursor(r.c1) == (moment, r.t)

@@ -232,3 +232,31 @@ def test_follow_files_takes_new_files_once(spark, tmp_path, now):
         (folder / f"app{i}.log").write_text(f"[2024-01-30 10:00:0{i}] local.INFO: m{i}\nmore\n")
         follow_files(spark, str(folder), table, checkpoint, now).awaitTermination()
     assert sorted(r.message for r in read_entries(spark, table).collect()) == ["m0\nmore", "m1\nmore"]
+
+
+def test_newest_page_opens_only_the_days_it_needs(spark, rows):
+    from logsluice.operators.paging import count_up_to, make_cursor
+    from logsluice.plans.listing import newest_page
+
+    path = scratch_path(spark, "pages")
+    append_entries(rows, path, T0)
+    first = newest_page(spark, path, per_page=2)
+    assert [r.id for r in first.collect()] == ["5", "4"]
+    days = {f.split("date=")[1][:10] for f in first.inputFiles()}
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert len(days) == 6 and "date" in plan and "2024-01-03" in plan
+    cursor = make_cursor(T0 + timedelta(days=4), "4")
+    assert [r.id for r in newest_page(spark, path, 3, cursor).collect()] == ["3", "2", "1"]
+    assert [r.id for r in newest_page(spark, path, 9, cursor, levels="info").collect()] == ["3", "1"]
+    assert newest_page(spark, path, 9, from_="2025-01-01").collect() == []
+    assert count_up_to(rows, 4) == (4, True) and count_up_to(rows, 6) == (6, False)
+
+
+def test_channel_of_escaped_paths(spark):
+    from logsluice.functions.records import channel_from_uri
+
+    df = spark.createDataFrame(
+        [("file:///x/my%20app+1-2024-01-05.log", "my app+1"), ("file:///a-2024-01-01/b.log", "b"), ("c.txt", "c.txt")],
+        "path string, want string",
+    )
+    assert df.where(channel_from_uri(F.col("path")) != F.col("want")).count() == 0
