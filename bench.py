@@ -13,22 +13,23 @@ import statistics
 import time
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
+from logsluice.functions.url import redact_url
 from logsluice.operators import filters, paging, search, stats
 from logsluice.operators.failures import heartbeat
+from logsluice.operators.triage import apply_changes
 from logsluice.plans.capture import capture
-from logsluice.plans.listing import list_entries
+from logsluice.plans.listing import list_entries, newest_page
 from logsluice.plans.retention import prune, prune_table
 from logsluice.registry.base import LATE, NOW, entries, table
 from logsluice.registry.failing import failures_of
 from logsluice.registry.listing import stored_entries
 from logsluice.registry.textlogs import write_text
 from logsluice.registry.triage import changes
-from logsluice.operators.triage import apply_changes
-from logsluice.functions.url import redact_url
 from logsluice.session import build_session, scratch_path
 from logsluice.sources import textlogs
 from logsluice.sources.entries import read_entries, write_entries
-from pyspark.sql import functions as F
 
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
@@ -90,6 +91,9 @@ def main() -> None:
             .where(search.search_text("message:license -message:http"))
         ),
         "first_page_and_count": first_page,
+        "newest_page": lambda: newest_page(
+            spark, path, levels="error", search_for="message:failed -deprecated"
+        ).collect(),
         "capped_count": lambda: paging.capped_count(stored).collect(),
         "filter_trace_id": lambda: found(filters.trace_id(trace)),
         "filter_ip_address": lambda: found(filters.ip_address(address)),
