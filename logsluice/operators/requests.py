@@ -15,14 +15,19 @@ NULL_SPREAD = 1024
 
 
 def attach_request(
-    logs: DataFrame, requests: DataFrame, keys: Sequence[str] = SENSITIVE_KEYS, id_col: str = "id"
+    logs: DataFrame,
+    requests: DataFrame,
+    keys: Sequence[str] = SENSITIVE_KEYS,
+    id_col: str = "id",
+    salts: int = 1,
 ) -> DataFrame:
     """Left join on ``trace_id``; a request has one row and its URL is redacted.
 
     Both sides may be large, so neither is forced to broadcast. Entries without
     a trace match nothing; they get spread-out keys instead of meeting in one
     task. A request with very many entries is left to AQE, which splits the
-    skewed left side of this join.
+    skewed left side of this join; with ``salts`` every request is joined by
+    that many tasks, at the price of as many copies of the request rows.
     """
     own = [c for c in logs.columns if c not in REQUEST_COLUMNS]
     present = [c for c in REQUEST_COLUMNS if c in requests.columns]
@@ -35,4 +40,8 @@ def attach_request(
     )
     spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(id_col), F.lit(NULL_SPREAD)).cast("string"))
     left = logs.select(*own).withColumn("_key", F.coalesce(F.col("trace_id"), spread))
-    return left.join(right, "_key", "left").drop("_key")
+    if salts <= 1:
+        return left.join(right, "_key", "left").drop("_key")
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, ["_key", "_salt"], "left").drop("_key", "_salt")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logsluice.operators.stats import expired, prune_breakdown
 from logsluice.schema import as_utc, instant, time_type
 from logsluice.session import drop_path, scratch_path
-from logsluice.sources.entries import DAY, stored_days
+from logsluice.sources.entries import DAY, entry_writer, stored_days
 
 # Fixed value: days kept when nothing else is said.
 KEEP_DAYS = 30
@@ -62,7 +62,8 @@ def prune_table(
     Whole days past the limit are dropped as folders; only the day the limit
     falls into is rewritten. Its rows that stay are written to the shared
     folder first, as a table cannot be overwritten while it is read. Every
-    step can be repeated, so a prune that failed is simply run again.
+    step can be repeated, so a prune that failed is simply run again; should the
+    exchange of the day's files itself be cut short, the copy still has them.
     """
     keep = effective_days(days, enabled)
     if keep is None:
@@ -88,8 +89,8 @@ def prune_table(
         if "batch" in parts:
             all_batches = {r.batch for r in stored.select("batch").distinct().collect()}
         (
-            rows.sortWithinPartitions(*parts, "occurred_at", "id")
-            .write.mode("overwrite")
+            entry_writer(rows.sortWithinPartitions(*parts, "occurred_at", "id"))
+            .mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*parts)
             .parquet(path)

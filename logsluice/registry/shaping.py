@@ -340,16 +340,21 @@ def _clean(le):
 # --- requests and capture -------------------------------------------------------
 
 
-@query(
-    "attach_request",
-    r""", r AS (SELECT trace_id, arg_min_null(ip_address, id) AS ip_address, arg_min_null(http_method, id) AS http_method, arg_min_null(url, id) AS url
+ATTACHED = r""", r AS (SELECT trace_id, arg_min_null(ip_address, id) AS ip_address, arg_min_null(http_method, id) AS http_method, arg_min_null(url, id) AS url
        FROM le WHERE trace_id IS NOT NULL AND level <> 'notice' GROUP BY trace_id)
     SELECT le.id, le.trace_id, r.ip_address, r.http_method, regexp_replace(r.url, 'api_token=[^&#]*', 'api_token=%5BREDACTED%5D') AS url
-    FROM le LEFT JOIN r ON le.trace_id = r.trace_id""",
-)
+    FROM le LEFT JOIN r ON le.trace_id = r.trace_id"""
+
+
+@query("attach_request", ATTACHED)
 def _attach(spark, sf_dir):
     le = entries(spark, sf_dir)
-    requests = (
+    rows = attach_request(le, _requests(le))
+    return rows.select("id", "trace_id", "ip_address", "http_method", "url")
+
+
+def _requests(le):
+    return (
         le.where("trace_id IS NOT NULL AND level <> 'notice'")
         .groupBy("trace_id")
         .agg(
@@ -358,7 +363,28 @@ def _attach(spark, sf_dir):
             F.min_by("url", "id").alias("url"),
         )
     )
-    return attach_request(le, requests).select("id", "trace_id", "ip_address", "http_method", "url")
+
+
+@query("attach_request_salted", ATTACHED)
+def _attach_salted(spark, sf_dir):
+    le = entries(spark, sf_dir)
+    rows = attach_request(le, _requests(le), salts=4)
+    return rows.select("id", "trace_id", "ip_address", "http_method", "url")
+
+
+@query(
+    "clean_context_handler",
+    """SELECT id, CASE WHEN context IS NULL THEN '{"a":{"b":[{"token":"[REDACTED]"}]},"t":"' || repeat('y', 10000) || '... [truncated]"}' ELSE context END AS context FROM le""",
+)
+def _clean_handler(spark, sf_dir):
+    long = F.concat(
+        F.lit('{"_internal_a":1,"a":{"_internal_b":2,"b":[{"token":7}]},"t":"'),
+        F.repeat(F.lit("y"), 10_500),
+        F.lit('"}'),
+    )
+    given = F.coalesce("context", long).alias("context")
+    rows = entries(spark, sf_dir).select("id", given)
+    return rows.select("id", ctx.clean_context(F.col("context"), handler=True).alias("context"))
 
 
 @query(

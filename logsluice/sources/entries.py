@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,14 @@ def utc_day(df: DataFrame) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds("occurred_at") / 86_400).cast("int"))
 
 
+def entry_writer(rows: DataFrame) -> DataFrameWriter:
+    """A writer of entry files with bloom filters as big as the values need."""
+    writer = rows.write.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for column in LOOKUP_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    return writer
+
+
 def write_entries(
     df: DataFrame,
     path: str,
@@ -95,11 +103,10 @@ def write_entries(
     if rebalance:
         rows = rows.hint("rebalance", DAY)
     rows = rows.sortWithinPartitions(DAY, "occurred_at", "id")
-    writer = rows.write.partitionBy(*by).mode("overwrite" if batch is not None else mode)
+    writer = entry_writer(rows).partitionBy(*by)
+    writer = writer.mode("overwrite" if batch is not None else mode)
     if batch is not None:
         writer = writer.option("partitionOverwriteMode", "dynamic")
-    for column in LOOKUP_COLUMNS:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)
 
 

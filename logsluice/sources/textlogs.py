@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
@@ -32,10 +33,17 @@ Paths = str | Sequence[str]
 
 _FILE_SCHEMA = "path string, name string, size bigint, modified timestamp"
 _TEXT_SCHEMA = "value string, path string, size bigint, start bigint, m bigint"
+# Up to this many odd files are named in the plan; more become a join.
+INLINE_FILES = 1000
 # A line that begins so is nearly always a header.
 _MARK = "\n[2"
 
 
+def exact_path(path: str) -> str:
+    """A file's path with the characters escaped that would make it a pattern."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def _load(reader, paths: Paths) -> DataFrame | None:
     try:
         return reader.load([paths] if isinstance(paths, str) else list(paths))
@@ -241,9 +249,14 @@ def assemble_records(spark: SparkSession, paths: Paths) -> DataFrame:
     odd = [row.path for row in odd_files(pieces).collect()]
     if not odd:
         return whole_records(pieces)
-    ordinary = pieces.where(~F.col("path").isin(odd))
-    by_line = records_of_lines(read_lines(spark, paths, odd))
-    return whole_records(ordinary).unionByName(by_line)
+    if len(odd) <= INLINE_FILES:
+        ordinary = pieces.where(~F.col("path").isin(odd))
+        lines = read_lines(spark, paths, odd)
+    else:
+        names = spark.createDataFrame([(path,) for path in odd], "path string")
+        ordinary = pieces.join(names, "path", "left_anti")
+        lines = read_lines(spark, paths).join(names, "path", "left_semi")
+    return whole_records(ordinary).unionByName(records_of_lines(lines))
 
 
 def _read_record(records: DataFrame, tz: str) -> DataFrame:

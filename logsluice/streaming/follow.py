@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.sources.entries import write_entries
-from logsluice.sources.textlogs import parse_log_text, prepared_import
+from logsluice.sources.textlogs import exact_path, parse_log_text, prepared_import
 
 FILES_PER_BATCH = 1000
 
@@ -39,7 +39,7 @@ def follow_files(
     )
 
     def store(files: DataFrame, batch: int) -> None:
-        paths = [row.path for row in files.collect()]
+        paths = [exact_path(row.path) for row in files.collect()]
         if not paths:
             return
         moment = now or datetime.now().astimezone()

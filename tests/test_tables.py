@@ -229,7 +229,7 @@ def test_follow_files_takes_new_files_once(spark, tmp_path, now):
     folder, table, checkpoint = tmp_path / "logs", str(tmp_path / "t"), str(tmp_path / "cp")
     folder.mkdir()
     for i in range(2):
-        (folder / f"app{i}.log").write_text(f"[2024-01-30 10:00:0{i}] local.INFO: m{i}\nmore\n")
+        (folder / f"app [{i}].log").write_text(f"[2024-01-30 10:00:0{i}] local.INFO: m{i}\nmore\n")
         follow_files(spark, str(folder), table, checkpoint, now).awaitTermination()
     assert sorted(r.message for r in read_entries(spark, table).collect()) == ["m0\nmore", "m1\nmore"]
 

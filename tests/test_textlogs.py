@@ -182,6 +182,14 @@ def test_records_do_not_depend_on_splits(spark, tmp_path, splits, split_bytes, o
     compare(textlogs.records_of_lines(textlogs.read_lines(spark, path)), texts)
 
 
+def test_many_odd_files_are_joined(spark, tmp_path, monkeypatch):
+    texts = {**texts_of(random.Random(5), True), "plain.log": "[2024-01-15 10:00:00] local.INFO: x\n"}
+    for name, text in texts.items():
+        write(tmp_path / name, text)
+    monkeypatch.setattr(textlogs, "INLINE_FILES", 0)
+    compare(textlogs.assemble_records(spark, str(tmp_path / "*.log")), texts)
+
+
 def test_compressed_files(spark, tmp_path):
     import gzip
 
