@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsluice.functions.steps import computed_once
+
 # Fixed pattern of a record's first line: [time] environment.LEVEL: text
 HEADER = (
     r"(?s)^\[(\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[+-]\d{2}:\d{2})?)\]"
@@ -107,6 +109,16 @@ def split_json_tail(message: Column) -> Column:
     return without_tail(text, F.when(is_json(json), json))
 
 
+def with_json_tail(df: DataFrame, column: str = "message") -> DataFrame:
+    """The column without its JSON tail, and ``context``; each step computed once."""
+    rows = computed_once(df, _text=strip(F.col(column)))
+    rows = computed_once(rows, _json=json_candidate(F.col("_text")))
+    rows = computed_once(rows, _json=F.when(is_json(F.col("_json")), F.col("_json")))
+    rows = computed_once(rows, _split=without_tail(F.col("_text"), F.col("_json")))
+    others = [c for c in df.columns if c not in (column, "context")]
+    return rows.select(*others, F.col("_split.message").alias(column), "_split.context")
+
+
 def named_source(message: Column, context: Column) -> Column:
     """The first ``in <file>:<line>`` of the message, else of the context's
     ``exception`` when that is a text."""
@@ -135,6 +147,13 @@ def source_from_text(message: Column, context: Column) -> Column:
     return source_parts(named_source(message, context))
 
 
+def with_source(df: DataFrame) -> DataFrame:
+    """Adds ``source`` and ``source_line`` found in the message or the context."""
+    rows = computed_once(df, _named=named_source(F.col("message"), F.col("context")))
+    rows = computed_once(rows, _at=source_parts(F.col("_named")))
+    return rows.select(*df.columns, "_at.source", "_at.source_line")
+
+
 def channel_from_path(path: Column) -> Column:
     """File name without ``.log`` and without a trailing ``-YYYY-MM-DD``."""
     name = F.substring_index(path, "/", -1)

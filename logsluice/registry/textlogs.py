@@ -10,6 +10,8 @@ from logsluice.functions.records import (
     source_from_text,
     split_header,
     split_json_tail,
+    with_json_tail,
+    with_source,
 )
 from logsluice.registry.base import NOW, entries, query
 from logsluice.session import scratch_path
@@ -201,7 +203,7 @@ def _tail(spark, sf_dir):
         F.coalesce(F.concat(F.lit(" "), "context"), F.lit("")),
         F.lit("  \n"),
     )
-    return entries(spark, sf_dir).select("id", split_json_tail(text).alias("t")).select("id", "t.*")
+    return with_json_tail(entries(spark, sf_dir).select("id", text.alias("message")))
 
 
 @query(
@@ -223,6 +225,20 @@ def _source(spark, sf_dir):
         .when(F.col("level") == "debug", F.lit('{"exception":{"at":"in /obj.php:1"}}'))
         .otherwise(F.col("context"))
     )
-    return entries(spark, sf_dir).select(
-        "id", source_from_text(message, context).alias("s")
-    ).select("id", "s.*")
+    rows = entries(spark, sf_dir).select("id", message.alias("message"), context.alias("context"))
+    return with_source(rows).select("id", "source", "source_line")
+
+
+@query(
+    "split_record_columns",
+    """SELECT id, CASE WHEN context IS NULL THEN message ELSE message || ' in /app/x.php:' || right(id, 1) END AS message,
+    coalesce(context, '[]') AS context, CASE WHEN context IS NOT NULL THEN '/app/x.php' END AS source,
+    CASE WHEN context IS NOT NULL THEN CAST(right(id, 1) AS INTEGER) END AS source_line FROM le""",
+)
+def _record_columns(spark, sf_dir):
+    # The same two steps as plain columns.
+    at = F.concat(F.lit(" in /app/x.php:"), F.substring("id", -1, 1), F.lit(" "), "context")
+    text = F.concat("message", F.coalesce(at, F.lit("")))
+    tail = entries(spark, sf_dir).select("id", split_json_tail(text).alias("t"))
+    found = tail.select("id", "t.*", source_from_text(F.col("t.message"), F.col("t.context")).alias("s"))
+    return found.select("id", "message", "context", "s.*")

@@ -14,15 +14,11 @@ from logsluice.functions.records import (
     channel_from_uri,
     header_parts,
     is_header,
-    is_json,
-    json_candidate,
     named_header,
-    named_source,
-    source_parts,
-    strip,
     strip_end,
     strip_line_ends,
-    without_tail,
+    with_json_tail,
+    with_source,
 )
 from logsluice.functions.steps import computed_once
 from logsluice.operators.prepare import conform, prepare_entries
@@ -262,22 +258,19 @@ def assemble_records(spark: SparkSession, paths: Paths) -> DataFrame:
 def _read_record(records: DataFrame, tz: str) -> DataFrame:
     rows = computed_once(records, parts=header_parts(F.col("first")))
     # A null rest is left out; an empty header text still counts as a line.
-    text = strip(F.concat_ws("\n", F.col("parts")[3], F.col("rest")))
-    rows = computed_once(rows, head=named_header(F.col("parts"), tz), text=text)
-    rows = computed_once(rows, json=json_candidate(F.col("text")))
-    rows = computed_once(rows, json=F.when(is_json(F.col("json")), F.col("json")))
-    rows = computed_once(rows, text=without_tail(F.col("text"), F.col("json")))
-    rows = computed_once(rows, named=named_source(F.col("text.message"), F.col("text.context")))
+    text = F.concat_ws("\n", F.col("parts")[3], F.col("rest"))
+    rows = computed_once(rows, head=named_header(F.col("parts"), tz), message=text)
+    rows = with_source(with_json_tail(rows))
     rows = computed_once(rows, channel=channel_from_uri(F.col("path")))
     return rows.select(
         F.col("path").alias("file"),
         "head.level",
-        "text.message",
-        "text.context",
+        "message",
+        "context",
         "channel",
         "head.environment",
-        source_parts(F.col("named"))["source"].alias("source"),
-        source_parts(F.col("named"))["source_line"].alias("source_line"),
+        "source",
+        "source_line",
         "head.occurred_at",
         "place",
     )
