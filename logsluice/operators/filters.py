@@ -141,7 +141,7 @@ def user_id(value: str | int | None) -> Column:
     if not value:
         return F.lit(True)
     if value.isascii() and value.isdigit():
-        return F.col("user_id") == int(value)
+        return F.col("user_id") == min(int(value), 2**63 - 1)
     return F.startswith(F.col("user_id").cast("string"), F.lit(value))
 
 

@@ -118,12 +118,17 @@ def prepare_entries(
 
 
 def conform(df: DataFrame, schema: T.StructType = ENTRY_SCHEMA) -> DataFrame:
-    """The entry table's columns in order. Missing ones are null, the flag false."""
+    """The entry table's columns in order. Missing ones are null, the flag false.
+
+    Missing times get the type of the times that are there.
+    """
     columns = []
+    time = time_type(df) if "occurred_at" in df.columns else T.TimestampType()
     for field in schema:
         if field.name not in df.columns:
             default = F.lit(False) if field.name == "is_truncated" else F.lit(None)
-            columns.append(default.cast(field.dataType).alias(field.name))
+            dtype = time if isinstance(field.dataType, T.TimestampType) else field.dataType
+            columns.append(default.cast(dtype).alias(field.name))
         elif field.name == "is_truncated":
             columns.append(F.coalesce(F.col(field.name), F.lit(False)).alias(field.name))
         else:

@@ -170,6 +170,15 @@ def delete(df: DataFrame, entry_id: str) -> DataFrame:
     return df.where(F.col("id") != entry_id)
 
 
+def listed_rows(df: DataFrame, ids: Ids) -> DataFrame:
+    """The entries that are listed."""
+    if not isinstance(ids, DataFrame):
+        ids = list(ids)
+        if len(ids) <= INLINE_IDS:
+            return df.where(F.col("id").isin(ids))
+    return df.join(_ids_frame(df, ids), "id", "left_semi")
+
+
 def delete_many(df: DataFrame, ids: Ids) -> DataFrame:
     """The entries without those listed."""
     if not isinstance(ids, DataFrame):

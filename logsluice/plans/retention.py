@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsluice.operators.stats import expired, prune_breakdown
-from logsluice.schema import as_utc, instant, time_type
-from logsluice.session import drop_path, scratch_path
-from logsluice.sources.entries import DAY, entry_writer, stored_days
+from logsluice.schema import as_utc
+from logsluice.session import drop_path
+from logsluice.sources.entries import rewrite_days, stored_days
 
 # Fixed value: days kept when nothing else is said.
 KEEP_DAYS = 30
@@ -60,10 +60,7 @@ def prune_table(
     """Takes expired entries off the stored table.
 
     Whole days past the limit are dropped as folders; only the day the limit
-    falls into is rewritten. Its rows that stay are written to the shared
-    folder first, as a table cannot be overwritten while it is read. Every
-    step can be repeated, so a prune that failed is simply run again; should the
-    exchange of the day's files itself be cut short, the copy still has them.
+    falls into is rewritten. A prune that failed is simply run again.
     """
     keep = effective_days(days, enabled)
     if keep is None:
@@ -73,32 +70,5 @@ def prune_table(
     for day, folder in folders.items():
         if day < limit.date():
             drop_path(spark, folder)
-    folder = folders.get(limit.date())
-    if folder is None:
-        return
-    stored = spark.read.option("basePath", path).parquet(folder)
-    kept = stored.where(F.col("occurred_at") >= instant(limit, time_type(stored)))
-    copy = scratch_path(spark, "prune")
-    kept.write.parquet(copy)
-    rows = spark.read.parquet(copy)
-    parts = [c for c in (DAY, "batch") if c in stored.columns]
-    if rows.isEmpty():
-        drop_path(spark, folder)
-    else:
-        all_batches = set()
-        if "batch" in parts:
-            all_batches = {r.batch for r in stored.select("batch").distinct().collect()}
-        (
-            entry_writer(rows.sortWithinPartitions(*parts, "occurred_at", "id"))
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts)
-            .parquet(path)
-        )
-        if all_batches:
-            # Sub-partitions in which nothing was kept are not touched by the
-            # write. Both lists are no longer than the folder listing.
-            kept_batches = {r.batch for r in rows.select("batch").distinct().collect()}
-            for batch in all_batches - kept_batches:
-                drop_path(spark, f"{folder}/batch={batch}")
-    drop_path(spark, copy)
+    if limit.date() in folders:
+        rewrite_days(spark, path, [limit.date()], lambda rows: prune(rows, now, keep))

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from logsluice.operators import failures as fl
-from logsluice.registry.base import NOW, entries, entries_query, query
+from logsluice.registry.base import LATE, NOW, entries, entries_query, query
 from logsluice.session import scratch_path
 from logsluice.sources.entries import append_entries, read_entries
 
@@ -145,15 +145,12 @@ def _dismissed(le):
 @entries_query(
     "failures_since_pause",
     _FAILURES
-    + """, q AS (SELECT *, "at" - lag("at") OVER (ORDER BY "at", id) AS pause FROM fa WHERE id % 7 = 0),
-    s AS (SELECT max("at") FILTER (WHERE pause IS NULL OR pause > INTERVAL 18 HOUR) AS start, max("at") AS last FROM q)
-    SELECT id, "at" FROM q, s WHERE q."at" >= s.start AND s.last > TIMESTAMP '2024-01-30 06:00:00'""".replace(
-        "id % 7", "CAST(id AS BIGINT) % 7"
-    ),
+    + """, q AS (SELECT *, "at" - lag("at") OVER (ORDER BY "at", id) AS pause FROM fa),
+    s AS (SELECT max("at") FILTER (WHERE pause IS NULL OR pause > INTERVAL 2 HOUR) AS start, max("at") AS last FROM q)
+    SELECT id, "at" FROM q, s WHERE q."at" >= s.start AND s.last > TIMESTAMP '2024-01-30 21:59:59'""",
 )
 def _paused(le):
-    some = failures_of(le).where("CAST(id AS BIGINT) % 7 = 0")
-    return fl.failures_since_dismiss(some, None, 18 * 3600, NOW).select("id", "at")
+    return fl.failures_since_dismiss(failures_of(le), None, 2 * 3600, LATE).select("id", "at")
 
 
 @query(

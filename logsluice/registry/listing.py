@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logsluice.operators import paging, stats
 from logsluice.operators.filters import apply_filters
-from logsluice.operators.prepare import add_previews
+from logsluice.operators.prepare import add_previews, conform
 from logsluice.plans.listing import list_entries, list_table, newest_page
 from logsluice.registry.base import LATE, MIDDLE, NOW, entries, entries_query, query
 from logsluice.registry.base import table
@@ -189,7 +189,7 @@ def stored_entries(spark, sf_dir, purpose: str) -> str:
     """The entries written as a table partitioned by day; returns its path."""
     path = scratch_path(spark, purpose)
     rows = add_previews(entries(spark, sf_dir), unit="chars")
-    write_entries(rows.withColumn("is_truncated", F.lit(False)), path)
+    write_entries(conform(rows), path)
     return path
 
 

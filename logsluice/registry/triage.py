@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from logsluice.operators import triage
 from logsluice.operators.status import status_dimension, valid_changes
 from logsluice.plans import retention
+from logsluice.plans.changes import current_entries, delete_stored, fold_changes, record_changes
 from logsluice.registry.base import NOW, entries, entries_query, query
 from logsluice.registry.listing import stored_entries
+from logsluice.session import scratch_path
 from logsluice.sources.entries import read_entries
 
 _COLUMNS = ("id", "status", "status_changed_at", "status_changed_by", "note")
@@ -184,9 +188,42 @@ def _prune_count(le):
     "SELECT id, level, occurred_at FROM le WHERE occurred_at >= TIMESTAMP '2024-01-20 12:30:00'",
 )
 def _prune_table(spark, sf_dir):
-    from datetime import timedelta
-
     path = stored_entries(spark, sf_dir, "pruned")
     # The limit falls into the middle of a day.
     retention.prune_table(spark, path, NOW - timedelta(hours=11, minutes=30), 10)
     return read_entries(spark, path).select("id", "level", "occurred_at")
+
+
+@query(
+    "fold_changes",
+    _CHANGES
+    + """SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'resolved' ELSE status END AS status,
+      CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN occurred_at + INTERVAL 2 HOUR END AS status_changed_at,
+      CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN channel END AS status_changed_by,
+      CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN concat('note ', level) END AS note FROM le""",
+)
+def _fold(spark, sf_dir):
+    path, log = stored_entries(spark, sf_dir, "folded"), scratch_path(spark, "changes")
+    record_changes(changes(entries(spark, sf_dir)), log)
+    fold_changes(spark, path, log)
+    return read_entries(spark, path).select(*_COLUMNS)
+
+
+@query(
+    "current_entries",
+    _CHANGES
+    + """SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'resolved' ELSE status END AS status
+    FROM le WHERE occurred_at >= TIMESTAMP '2024-01-16 00:00:00'""",
+)
+def _current(spark, sf_dir):
+    path, log = stored_entries(spark, sf_dir, "current"), scratch_path(spark, "changes")
+    record_changes(changes(entries(spark, sf_dir)), log)
+    since = NOW - timedelta(days=15)
+    return current_entries(spark, path, log, since).select("id", "status")
+
+
+@query("delete_stored", "SELECT id, level FROM le WHERE level <> 'info'")
+def _delete_stored(spark, sf_dir):
+    path = stored_entries(spark, sf_dir, "deleted")
+    delete_stored(spark, path, entries(spark, sf_dir).where("level = 'info'").select("id"))
+    return read_entries(spark, path).select("id", "level")

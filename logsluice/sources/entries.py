@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
@@ -122,6 +123,49 @@ def stored_days(spark: SparkSession, path: str) -> dict[date, str]:
     return days
 
 
+def rewrite_days(
+    spark: SparkSession,
+    path: str,
+    days: Iterable[date],
+    change: Callable[[DataFrame], DataFrame],
+) -> None:
+    """Replaces the rows of some days by what ``change`` makes of them.
+
+    The new rows are written to the shared folder first, as a table cannot be
+    overwritten while it is read. Every step can be repeated, so a rewrite
+    that failed is simply run again; should the exchange of the files itself be
+    cut short, the copy still has the rows.
+    """
+    days = sorted(days)
+    if not days:
+        return
+    stored = spark.read.parquet(path).where(F.col(DAY).isin(days))
+    parts = [c for c in (DAY, "batch") if c in stored.columns]
+
+    def folders(rows: DataFrame) -> set[str]:
+        # No more than the folder listing.
+        found = rows.select(*parts).distinct().collect()
+        return {"/".join(f"{c}={r[c]}" for c in parts) for r in found}
+
+    before = folders(stored)
+    copy = scratch_path(spark, "rewrite")
+    change(stored).write.parquet(copy)
+    rows = spark.read.parquet(copy)
+    after = folders(rows)
+    if after:
+        (
+            entry_writer(rows.sortWithinPartitions(*parts, "occurred_at", "id"))
+            .mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*parts)
+            .parquet(path)
+        )
+    # Folders in which nothing is left are not touched by the write.
+    for folder in before - after:
+        drop_path(spark, f"{path}/{folder}")
+    drop_path(spark, copy)
+
+
 def storable(good: DataFrame, bad: DataFrame, now: datetime, where: str = "append") -> DataFrame:
     """Valid rows prepared for the table, and fallback rows for the others."""
     prepared = conform(prepare_entries(good, now))

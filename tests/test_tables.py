@@ -260,3 +260,46 @@ def test_channel_of_escaped_paths(spark):
         "path string, want string",
     )
     assert df.where(channel_from_uri(F.col("path")) != F.col("want")).count() == 0
+
+
+def test_change_log_of_a_stored_table(spark, rows, now):
+    from logsluice.plans.changes import current_entries, delete_stored, fold_changes, record_changes
+
+    path, log = scratch_path(spark, "triaged"), scratch_path(spark, "log")
+    for batch in range(2):
+        append_entries(rows.where(F.col("id") % 2 == batch), path, now, batch=batch)
+    schema = "id string, status string, changed_at timestamp, changed_by string, note string"
+    record_changes(spark.createDataFrame([("1", "resolved", now, "me", "done")], schema), log)
+    record_changes(spark.createDataFrame([("1", "ignored", now + timedelta(hours=1), None, None)], schema), log)
+    want = sorted(current_entries(spark, path, log).collect())
+    untouched = {f for f in spark.read.parquet(path).inputFiles() if "date=2024-01-02" not in f}
+    for _ in range(2):
+        fold_changes(spark, path, log)
+        assert sorted(read_entries(spark, path).select(current_entries(spark, path, log).columns).collect()) == want
+    changed = [r for r in want if r.id == "1"]
+    assert [(r.status, r.status_changed_by, r.note) for r in changed] == [("ignored", "me", "done")]
+    # Files of other days are the ones written first.
+    assert untouched <= set(spark.read.parquet(path).inputFiles())
+    delete_stored(spark, path, ["1", "2", "absent"])
+    delete_stored(spark, path, [])
+    assert sorted(r.id for r in read_entries(spark, path).collect()) == ["0", "3", "4", "5"]
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    df = failures(spark, 2000, at=lambda i: T0 + timedelta(seconds=10 * i))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        numbered = fl.occurrences(df, order=["at", "id"]).withColumn("task", F.spark_partition_id())
+        tasks = numbered.groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 700
+    assert sorted(r.occurrence for r in numbered.collect()) == list(range(1, 2001))
+
+
+def test_user_ids_beyond_bigint_match_nothing(rows):
+    from logsluice.operators.filters import user_id
+
+    df = rows.withColumn("user_id", F.lit(5).cast("bigint"))
+    assert df.where(user_id("9" * 30)).count() == 0
