@@ -20,6 +20,10 @@ INTERNAL_PREFIXES = ("__", "_internal")
 INTERNAL_MARK = "_internal"
 CALLBACK_ERROR = "_callback_error"
 TRACE_FRAMES = 10
+# Levels kept in either form, and bytes of a text in the handler form.
+PLAIN_DEPTH = 5
+HANDLER_DEPTH = 10
+HANDLER_TEXT = 10_000
 
 # Frame fields that are safe to keep, and the texts left behind
 # where something was cut.
@@ -229,18 +233,24 @@ def clean_context(
     """
     keys = tuple(k.lower() for k in keys) if redact else None
     if handler:
-        clean = _shaper(keys, tuple(prefixes), True, 10, TOO_DEEP_MARK, 10_000)
+        depth = HANDLER_DEPTH
+        clean = _shaper(keys, tuple(prefixes), True, depth, TOO_DEEP_MARK, HANDLER_TEXT)
     else:
-        clean = _shaper(keys, tuple(prefixes), False, 5, TOO_DEEP, None)
-    # A flat object of numbers and short keys holds none of the things looked
-    # for: nesting, an internal or sensitive key, or a long text.
-    suspicious = (
-        F.regexp_count(context, F.lit(r"[\[{]")) > 1
-    ) | F.contains(context, F.lit("\\u"))
+        depth = PLAIN_DEPTH
+        clean = _shaper(keys, tuple(prefixes), False, depth, TOO_DEEP, None)
+    # Most contexts hold none of the things looked for and stay as they are:
+    # no more brackets than the depth allows, no exception, no internal or
+    # sensitive key, no long text.
+    brackets = F.length(context) - F.length(F.translate(context, "[{", ""))
+    needed = (
+        (brackets > depth + 1)
+        | F.contains(context, F.lit("exception"))
+        | F.contains(context, F.lit("\\u"))
+    )
     for prefix in prefixes:
-        suspicious = suspicious | F.contains(context, F.lit('"' + prefix))
+        needed = needed | F.contains(context, F.lit('"' + prefix))
     for key in keys or ():
-        suspicious = suspicious | F.contains(F.lower(context), F.lit(key))
+        needed = needed | F.contains(F.lower(context), F.lit(key))
     if handler:
-        suspicious = suspicious | (F.octet_length(context) > 10_000)
-    return _apply(clean, context, suspicious)
+        needed = needed | (F.octet_length(context) > HANDLER_TEXT)
+    return _apply(clean, context, needed)

@@ -283,3 +283,36 @@ def test_times_do_not_depend_on_the_session_zone(spark, zone):
         assert datetime.fromisoformat(r.wall) == moment
         assert r.sw == r.si == str(moment.replace(microsecond=0))
         assert r.c1 == r.c2 and read_cursor(r.c1) == (moment, r.t)
+
+
+@pytest.mark.parametrize("handler", [False, True])
+def test_the_shortcut_gives_what_the_full_pass_gives(spark, handler):
+    import random
+
+    from logsluice.functions import context as c
+
+    rng = random.Random(1)
+    words = ["a", "_internal", "__x", "Token", "_type", "k", "exception", "é"]
+
+    def value(depth):
+        kind = rng.choice(["dict", "list", "leaf", "leaf"]) if depth else "leaf"
+        if kind == "dict":
+            return {rng.choice(words): value(depth - 1) for _ in range(rng.randrange(3))}
+        if kind == "list":
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return rng.choice([1, "x", None, "exception", "{[", "y" * 10_001])
+
+    def chain(depth):
+        return {"a": chain(depth - 1)} if depth else 1
+
+    roots = [value(14) for _ in range(300)] + [chain(d) for d in range(16)]
+    texts = [json.dumps(v, ensure_ascii=rng.random() < 0.5) for v in roots if isinstance(v, (dict, list))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [json.loads(r[0]) for r in df.select(ctx.clean_context(F.col("t"), handler=handler)).collect()]
+    keys = c.SENSITIVE_KEYS
+    full = (
+        c._shaper(keys, c.INTERNAL_PREFIXES, True, c.HANDLER_DEPTH, c.TOO_DEEP_MARK, c.HANDLER_TEXT)
+        if handler
+        else c._shaper(keys, c.INTERNAL_PREFIXES, False, c.PLAIN_DEPTH, c.TOO_DEEP, None)
+    )
+    assert got == [json.loads(full(t)) for t in texts]
