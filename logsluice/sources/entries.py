@@ -87,7 +87,7 @@ def write_entries(
     df: DataFrame,
     path: str,
     mode: str = "append",
-    batch: int | None = None,
+    batch: int | str | None = None,
     rebalance: bool = True,
 ) -> None:
     """Writes conformed rows by UTC day.
@@ -181,7 +181,7 @@ def append_entries(
     path: str,
     now: datetime,
     where: str = "append",
-    batch: int | None = None,
+    batch: int | str | None = None,
     rebalance: bool = True,
 ) -> None:
     """Stores the rows; one that cannot be stored stops no other.

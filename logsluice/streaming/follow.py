@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.sources.entries import write_entries
 from logsluice.sources.textlogs import exact_path, parse_log_text, prepared_import
+from logsluice.streaming.identity import stream_id
 
 FILES_PER_BATCH = 1000
 
@@ -44,7 +45,8 @@ def follow_files(
             return
         moment = now or datetime.now().astimezone()
         parsed = parse_log_text(spark, paths, moment, days, tz)
-        write_entries(prepared_import(parsed, moment), table, batch=batch)
+        tag = f"{stream_id(spark, checkpoint)}-{batch}"
+        write_entries(prepared_import(parsed, moment), table, batch=tag)
 
     return (
         names.writeStream.foreachBatch(store)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.operators.failures import EVERY, FAILURE_KEY, keep_beat, occurrences
 from logsluice.session import drop_path
+from logsluice.streaming.identity import stream_id
 
 
 def heartbeat_stream(
@@ -29,27 +30,30 @@ def heartbeat_stream(
     micro-batch. Numbering a micro-batch is the batch operator on top of the
     counters, so a key with very many rows is spread over tasks, which a state
     function called once per key could not do. A replayed micro-batch starts
-    from the counters of the one before it and overwrites its own output.
+    from the counters of the one before it and overwrites its own output. A new
+    checkpoint is a new stream: it counts from the start and writes beside.
     """
     schema = failures.select(*key).schema.add("n", T.LongType())
 
     def beat(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
+        stream = stream_id(spark, checkpoint)
+        counters = f"{state}/stream={stream}"
         rows.persist()
         try:
             if batch == 0:
                 before = spark.createDataFrame([], schema)
             else:
-                before = spark.read.schema(schema).parquet(f"{state}/batch={batch - 1}")
+                before = spark.read.schema(schema).parquet(f"{counters}/batch={batch - 1}")
             numbered = occurrences(rows, key, order, before=before)
             numbered.where(keep_beat(F.col("occurrence"), every)).write.mode(
                 "overwrite"
-            ).parquet(f"{out}/batch={batch}")
+            ).parquet(f"{out}/stream={stream}/batch={batch}")
             here = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
             after = before.unionByName(here).groupBy(*key).agg(F.sum("n").alias("n"))
-            after.write.mode("overwrite").parquet(f"{state}/batch={batch}")
+            after.write.mode("overwrite").parquet(f"{counters}/batch={batch}")
             # A replay needs the counters before it, nothing older.
-            drop_path(spark, f"{state}/batch={batch - 2}")
+            drop_path(spark, f"{counters}/batch={batch - 2}")
         finally:
             rows.unpersist()
 

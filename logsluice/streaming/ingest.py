@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logsluice.plans.capture import CaptureRules, build, dedupe_capture, ignore
 from logsluice.operators.filters import drop_internal
 from logsluice.sources.entries import append_entries
+from logsluice.streaming.identity import stream_id
 
 # How soon rows are written: at once, gathered for a while, or by a worker that
 # takes what is there and ends.
@@ -57,7 +58,8 @@ def ingest_stream(
         rows.persist()
         try:
             moment = now or datetime.now().astimezone()
-            append_entries(rows, table, moment, where="stream", batch=batch)
+            tag = f"{stream_id(rows.sparkSession, checkpoint)}-{batch}"
+            append_entries(rows, table, moment, where="stream", batch=tag)
         finally:
             rows.unpersist()
 

@@ -303,3 +303,18 @@ def test_user_ids_beyond_bigint_match_nothing(rows):
 
     df = rows.withColumn("user_id", F.lit(5).cast("bigint"))
     assert df.where(user_id("9" * 30)).count() == 0
+
+
+def test_a_second_stream_overwrites_nothing(spark, rows, tmp_path, now):
+    source, path = str(tmp_path / "in"), scratch_path(spark, "streamed")
+    rows.withColumn("context", F.lit(None).cast("string")).coalesce(1).write.parquet(source)
+    for n in range(2):
+        schema = spark.read.parquet(source).schema
+        stream = ingest_stream(
+            spark.readStream.schema(schema).parquet(source), path, str(tmp_path / f"cp{n}"), now, "queue",
+            dedupe_key=None,
+        )
+        stream.awaitTermination()
+    assert read_entries(spark, path).count() == 12
+    prune_table(spark, path, T0 + timedelta(days=33, hours=1))
+    assert sorted(r.id for r in read_entries(spark, path).collect()) == ["4", "4", "5", "5"]
