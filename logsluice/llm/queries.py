@@ -31,3 +31,19 @@ def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
+@query(
+    "op9_extendible_hash_dedup",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+  doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
+""",
+)
+def op9_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.exactdedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("bucket")
