@@ -47,3 +47,17 @@ def op9_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.exactdedup import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("bucket")
+
+
+@query("op8_pack_bounded_space")
+def op8_pack_bounded_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_mix_pfair")
+def op1_mix_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.mixing import mix_schedule
+
+    return mix_schedule(table(spark, sf_dir, "documents"))
