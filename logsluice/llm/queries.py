@@ -61,3 +61,10 @@ def op1_mix_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.mixing import mix_schedule
 
     return mix_schedule(table(spark, sf_dir, "documents"))
+
+
+@query("op5_langid_viterbi")
+def op5_langid_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.langid import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents")).drop("spans")
