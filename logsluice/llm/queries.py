@@ -68,3 +68,10 @@ def op5_langid_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.langid import identify_documents
 
     return identify_documents(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op10_brown_class_lm")
+def op10_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.brown import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
