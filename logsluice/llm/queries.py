@@ -75,3 +75,10 @@ def op10_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.brown import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_hyperminhash_neardup")
+def op2_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
