@@ -82,3 +82,10 @@ def op2_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_site_templates")
+def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.htmlmain import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
