@@ -89,3 +89,10 @@ def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.htmlmain import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_nn_descent")
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.embeddings import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
