@@ -96,3 +96,10 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.embeddings import near_duplicate_vectors
 
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_license_spans")
+def op6_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
