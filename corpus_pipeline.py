@@ -3,12 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logsluice.llm.common import stored
+from logsluice.llm.exactdedup import drop_exact_duplicates
+from logsluice.llm.langid import keep_identified
+from logsluice.llm.mixing import mix_rows
+from logsluice.llm.neardup import near_duplicates
+from logsluice.llm.packing import pack_documents
 
-STAGES: list = []
+# A document goes when its language is undecided, or when less than this share of its
+# words is in one language.
+LEAST_SCORE = 0.34
 
-# Language models and tokenizers take part, which SQL cannot express; the tests
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; a null ``lang`` is filled with the one found."""
+    return keep_identified(docs, LEAST_SCORE)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies; all without words stay."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = stored(kept, "near-kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in an order in which the sources keep their target weights."""
+    return mix_rows(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences; neighbours in the mixed order are packed together."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+# A language model and a tokenizer take part, which SQL cannot express; the tests
 # compare the run with a brute-force version.
 ORACLE_SQL = None
 

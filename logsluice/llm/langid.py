@@ -261,7 +261,7 @@ def label(part: Slice, model: Model, switch: float = SWITCH) -> tuple[Words, np.
     return words, labels, _scripts(words) >= 0
 
 
-def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Labels every word of ``docs`` (doc_id, text) and sums up by document.
 
     Returns doc_id, lang_pred, score and spans: runs of words with one label, as first
@@ -278,55 +278,93 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
         return base.select(
             "doc_id", F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"), empty.alias("spans")
         )
-    kinds = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
     shared = base.sparkSession.sparkContext.broadcast(model)  # langs x 2 ** BITS floats
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = pa.array(model.langs, pa.string())
         for batch in batches:
-            for part in text_slices(_lower(batch.column("text")), min(SLICE_BYTES, max(1 << 16, 16 * SLICE_BYTES // len(names) ** 2))):
-                rows = part.hi - part.lo
-                lettered = batch.column("lettered").slice(part.lo, rows).to_numpy(zero_copy_only=False)
-                words, labels, known = label(part, model, switch)
-                of = words.row_of()
-                weight = np.where(known, words.ends - words.starts, 0)
-                mass = np.bincount(of * len(names) + labels, weight, rows * len(names)).reshape(rows, -1)
-                sums = mass.sum(axis=1)
-                good = lettered & (sums > 0)
-                pred = np.where(good, mass.argmax(axis=1), -1)
-                score = np.where(good, mass.max(axis=1) / np.maximum(sums, 1), 0.0)
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (labels[1:] != labels[:-1])
-                new &= good[of]
-                at = np.flatnonzero(new)
-                size = np.diff(np.append(at, len(of)))
-                size = np.minimum(size, words.rows[1:][of[at]] - at)
-                spans = pa.StructArray.from_arrays(
-                    [
-                        pa.array((at - words.rows[:-1][of[at]]).astype(np.int32)),
-                        pa.array(size.astype(np.int32)),
-                        names.take(pa.array(labels[at])),
-                    ],
-                    fields=list(kinds),
-                )
-                bounds = np.searchsorted(of[at], np.arange(rows + 1)).astype(np.int32)
+            for part, pred, score, spans in _decide(batch.column("text"), batch.column("lettered"), shared.value):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(part.lo, rows),
-                        pa.concat_arrays([names, pa.array([UNDECIDED])]).take(
-                            pa.array(np.where(pred < 0, len(names), pred))
-                        ),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(bounds), spans),
-                    ],
+                    [batch.column("doc_id").slice(part.lo, part.hi - part.lo), pred, score, spans],
                     ["doc_id", "lang_pred", "score", "spans"],
                 )
 
     return base.withColumn("lettered", lettered).mapInArrow(decide, schema)
 
 
-def identify_documents(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, switch: float = SWITCH) -> DataFrame:
+def _decide(texts: pa.Array, lettered: pa.Array, model: Model, switch: float = SWITCH):
+    """Slice by slice: the slice, and predictions, scores and spans of its rows."""
+    names = pa.array(model.langs, pa.string())
+    limit = min(SLICE_BYTES, max(1 << 16, 16 * SLICE_BYTES // len(names) ** 2))
+    kinds = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
+    for part in text_slices(_lower(texts), limit):
+        rows = part.hi - part.lo
+        words, labels, known = label(part, model, switch)
+        of = words.row_of()
+        weight = np.where(known, words.ends - words.starts, 0)
+        mass = np.bincount(of * len(names) + labels, weight, rows * len(names)).reshape(rows, -1)
+        sums = mass.sum(axis=1)
+        good = lettered.slice(part.lo, rows).to_numpy(zero_copy_only=False) & (sums > 0)
+        pred = np.where(good, mass.argmax(axis=1), len(names))
+        score = np.where(good, mass.max(axis=1) / np.maximum(sums, 1), 0.0)
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (labels[1:] != labels[:-1])
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(of)))
+        size, at = size[good[of[at]]], at[good[of[at]]]
+        spans = pa.StructArray.from_arrays(
+            [
+                pa.array((at - words.rows[:-1][of[at]]).astype(np.int32)),
+                pa.array(size.astype(np.int32)),
+                names.take(pa.array(labels[at])),
+            ],
+            fields=list(kinds),
+        )
+        bounds = np.searchsorted(of[at], np.arange(rows + 1)).astype(np.int32)
+        yield (
+            part,
+            pa.concat_arrays([names, pa.array([UNDECIDED])]).take(pa.array(pred)),
+            pa.array(score),
+            pa.ListArray.from_arrays(pa.array(bounds), spans),
+        )
+
+
+def keep_identified(docs: DataFrame, least: float, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``docs`` without the rows whose language is undecided or scores under ``least``.
+
+    All columns stay as they are; a null ``lang`` becomes the language found. Learns
+    from the same rows as ``identify_documents``. Rows are only mapped, not moved.
+    Without a model (no text with a language), no language can be told and every row stays.
+    """
+    model = fit(docs.where(~held_out(F.col("doc_id"), 4, 2)), sample_bytes)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # langs x 2 ** BITS floats
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("text").cast("string").alias("text"),
+        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
+    )
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, pred, score, _ in _decide(batch.column("text"), batch.column("lettered"), shared.value):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").slice(part.lo, part.hi - part.lo), pred, score], ["row", "lang_pred", "score"]
+                )
+
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+    found = rows.mapInArrow(decide, schema).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
+    return found.select(
+        *(
+            F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang")
+            if name == "lang"
+            else F.col(f"row.`{name}`").alias(name)
+            for name in docs.columns
+        )
+    )
+
+
+def identify_documents(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Language of every document, learned from those with crc32(doc_id) mod 4 other than 2.
 
     Needs doc_id, text and lang; other columns are ignored. Returns doc_id, held_out,
@@ -337,7 +375,7 @@ def identify_documents(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, switch
     """
     base = pick(docs, doc_id="long", text="string", lang="string")
     model = fit(base.where(~held_out(F.col("doc_id"), 4, 2)), sample_bytes)
-    found = identify(base, model, switch)
+    found = identify(base, model)
     return found.select(
         "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "spans"
     )
