@@ -18,7 +18,9 @@ CLASSES = 96
 # Words that are clustered one by one; every other word is clustered with its ending.
 OWN_UNITS = 3000
 ENDINGS = 1024
-ROUNDS = 6
+ROUNDS = 12
+# One in so many units moves in a round.
+TURNS = 4
 # Words whose counts every task holds; the counts of all others are joined.
 HELD = 1 << 19
 DISCOUNT = 0.75
@@ -104,11 +106,11 @@ def exchange(bigrams: DataFrame, start: np.ndarray, classes: int, rounds: int =
     ``bigrams`` (a, b, n) counts neighbouring units. In each round Spark sums, for every
     unit, its counts with the classes before and after it; each unit is then weighed in
     each class by the gain in the sum of n log n over class pairs and classes, the
-    counts being those without the unit. Half of the units (in turn) move in a round, so
-    that two do not swap for each other. Only units x classes sums reach the driver,
+    counts being those without the unit. One in TURNS units moves in a round, so that few
+    of a unit's neighbours move with it. It ends when no unit has moved for TURNS rounds. Only units x classes sums reach the driver,
     whatever the size of the corpus.
     """
-    units, assigned = len(start), start.copy()
+    units, assigned, still = len(start), start.copy(), 0
     for turn in range(rounds):
         current = assigned.copy()
 
@@ -136,7 +138,7 @@ def exchange(bigrams: DataFrame, start: np.ndarray, classes: int, rounds: int =
         table = np.zeros((classes, classes))
         np.add.at(table, assigned, right)
         moved = 0
-        for u in range(turn % 2, units, 2):
+        for u in range(turn % TURNS, units, TURNS):
             if not (right[u].any() or left[u].any()):
                 continue
             own = assigned[u]
@@ -153,7 +155,8 @@ def exchange(bigrams: DataFrame, start: np.ndarray, classes: int, rounds: int =
             table[:, best] += left[u]
             moved += best != own
             assigned[u] = best
-        if not moved and turn:
+        still = 0 if moved else still + 1
+        if still == TURNS:
             break
     return assigned
 
