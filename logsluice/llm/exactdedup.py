@@ -194,11 +194,15 @@ def drop_exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     where its whole group has null ids.
     """
     decided = stored(exact_duplicates(docs, capacity), "exact-groups")
-    kept = decided.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = stored(kept, "exact-kept")
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]))
-    once = found.where("__n = 1").drop("__id", "__n")
-    if kept.where("__n > 1").isEmpty():
+    kept = decided.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
+    kept = stored(kept.withColumnsRenamed({"doc_id": "id", "text_sha256": "sha"}), "exact-kept")
+    norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE_SPACE, "")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(norm, 256).alias("digest")
+    )
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")))
+    once = found.where("times = 1").select("row.*")
+    if kept.where("times > 1").isEmpty():
         return once
-    again = found.where("__n > 1").withColumn("__norm", F.translate(F.coalesce("text", F.lit("")), WHITE_SPACE, ""))
-    return once.unionByName(again.dropDuplicates(["__id", "__norm"]).drop("__id", "__n", "__norm"))
+    again = found.where("times > 1").dropDuplicates(["doc_id", "digest"]).select("row.*")
+    return once.unionByName(again)

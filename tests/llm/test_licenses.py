@@ -24,7 +24,7 @@ def test_every_template_is_found_whole(spark):
     for key, (start, wording) in want.items():
         found = got[key]
         assert found["coverage"] == 1.0 and found["start"] == start
-        assert texts[key[0]][1][found["start"] : found["end"]].strip(".") == wording.upper().strip(".")
+        assert texts[key[0]][1][found["start"] : found["end"]].strip("./") == wording.upper().strip("./")
         assert found["first_word"] == 30
 
 

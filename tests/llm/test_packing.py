@@ -21,7 +21,7 @@ def check(rows, docs, size=1024):
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
         by_sequence.setdefault(r["sequence_id"], []).append(r)
-    assert set(by_doc) == set(docs)
+    assert set(by_doc) >= set(docs)
     for i, text in docs.items():
         ids, at = ids_of(text), 0
         for r in sorted(by_doc[i], key=lambda r: r["start"]):
@@ -60,7 +60,7 @@ def test_small_windows_and_long_documents(small, texts):
 def test_odd_rows(odd, nothing):
     rows = pack_documents(odd).collect()
     docs = {r[0]: r[1] for r in odd_rows() if r[0] not in (2, None)}
-    check([r for r in rows if r["doc_id"] not in (2, None)], docs)
+    check(rows, docs)
     for doc_id in (2, None):
         want = sum(len(ids_of(r[1])) for r in odd_rows() if r[0] == doc_id)
         assert sum(r["length"] for r in rows if r["doc_id"] == doc_id) == want
