@@ -26,7 +26,9 @@ LOAD = 4
 TOP = 7  # the class of large sets: all 128 registers in one pass
 # Estimates below this are not verified: over five standard errors under the threshold.
 ESTIMATE = 0.55
-STAR_ROUNDS = 2
+# Hubs of a group after the first round, and rounds at most.
+HUBS = 4
+STAR_ROUNDS = 8
 BLOCK = 256
 
 _random = np.random.Generator(np.random.PCG64(1))
@@ -265,14 +267,43 @@ def _across(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _labels(nodes: DataFrame, links: DataFrame, purpose: str) -> DataFrame:
-    """(rep, component) for all nodes; a node without links is its own component."""
+def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """Labels (rep, component) after joining the components of linked classes, and whether any was joined."""
+    for name in ("a", "b"):
+        side = labels.select(F.col("rep").alias(name), F.col("component").alias(f"c_{name}"))
+        links = links.join(side, name)
+    links = links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct()
+    links = stored(links, "joined")
+    if links.isEmpty():
+        return labels, False
     found = components(links)
-    return stored(
-        nodes.join(found, nodes["rep"] == found["node"], "left").select(
-            "rep", F.coalesce("component", "rep").alias("component")
-        ),
-        purpose,
+    new = labels.join(found, labels["component"] == found["node"], "left").select(
+        "rep", F.coalesce(found["component"], labels["component"]).alias("component")
+    )
+    return stored(new, "labels"), True
+
+
+def _star_pairs(groups: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Rows of a group paired with its hubs, across components: one hub first, later HUBS of them.
+
+    Hubs are the least of each part of a group in an order that changes with the turn.
+    """
+    placed = groups.join(labels, "rep")
+    order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")
+    parts = 1 if turn == 0 else HUBS
+    part = F.pmod(F.xxhash64("rep", F.lit(turn + 100)), F.lit(parts))
+    hubs = placed.groupBy("band").agg(
+        *(F.min(F.when(part == k, order)).alias(f"hub{k}") for k in range(parts)),
+        F.min("component").alias("c0"),
+        F.max("component").alias("c1"),
+    )
+    hubs = hubs.where("c0 <> c1").select("band", F.explode(F.array(*(f"hub{k}" for k in range(parts)))).alias("hub"))
+    hubs = stored(hubs.where("hub IS NOT NULL"), "hubs")
+    return (
+        placed.join(hubs, "band")
+        .where("component <> hub.component")
+        .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+        .distinct()
     )
 
 
@@ -289,9 +320,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        smallest member (a star, not all pairs), the pairs are estimated from the
        registers, and each class has its likeliest link confirmed on full sets.
     3. Where a group's rows still lie in different components, stars are drawn again
-       from its other members. After STAR_ROUNDS, rows of a group that lie in different
-       components are compared in blocks of registers, all that is left to
-       compare; likely pairs are confirmed. So no pair that shares a band is
+       from HUBS other members and all their likely links are confirmed, as long as that
+       joins anything (at most STAR_ROUNDS times). Then rows of a group that
+       lie in different components are compared in blocks of registers, all that
+       is left to compare; likely pairs are confirmed. So no pair that shares a band is
        left out: it is in one component, ruled out by the estimate, or confirmed.
 
     At a similarity of 0.75 a pair shares one of the 32 bands with probability
@@ -320,46 +352,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     many = many.where("hub <> far")
     groups = stored(keyed.join(many.select("band"), "band"), "band-groups")
 
-    links = None
     nodes = groups.select("rep").distinct()
     labels = stored(nodes.select("rep", F.col("rep").alias("component")), "labels")
-    sets = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = groups.join(labels, "rep")
-        order = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("rep", F.lit(turn)), "rep")
-        hubs = placed.groupBy("band").agg(
-            F.min(order)["rep"].alias("hub"),
-            F.min("component").alias("c0"),
-            F.max("component").alias("c1"),
-            F.count(F.lit(1)).alias("rows"),
-        )
-        hubs = stored(hubs.where("c0 <> c1").select("band", "hub", "rows"), "hubs")
-        if hubs.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            hub_labels = labels.select(F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-            named = stored(hubs.join(hub_labels, "hub"), "named-hubs")
-            pairs = (
-                placed.join(named, "band")
-                .where("component <> hub_component")
-                .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-                .distinct()
-            )
-            found = stored(likely(pairs, sketches), "likely")
+    sets = stored_sets(base, nodes)
+    for turn in range(STAR_ROUNDS):
+        found = stored(likely(_star_pairs(groups, labels, turn), sketches), "likely")
+        if turn == 0:
             # Each class tries its likeliest link; what that does not join comes up again.
             both = found.select(F.col("a").alias("x"), "a", "b", "guess").unionByName(
                 found.select(F.col("b").alias("x"), "a", "b", "guess")
             )
             found = both.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p"))
-            found = stored(found.select("p.a", "p.b").distinct(), "chosen")
-        else:
-            # A pair alone has met its hub before.
-            found = stored(_left_pairs(placed, hubs.where("rows > 2"), sketches), "left-pairs")
-        if sets is None:
-            sets = _needed_sets(base, groups)
-        new = stored(confirmed(found, sets), "confirmed")
-        links = new if links is None else stored(links.unionByName(new), "confirmed")
-        labels = _labels(nodes, links, "labels")
+            found = found.select("p.a", "p.b").distinct()
+        labels, joined = _joined(labels, stored(confirmed(found.select("a", "b"), sets), "confirmed"))
+        if turn and not joined:
+            break
+    left = _left_pairs(groups, labels, sketches, smallest=3 if STAR_ROUNDS > 1 else 2)
+    labels, _ = _joined(labels, stored(confirmed(left, sets), "confirmed"))
     found = member.join(labels, "rep", "left").select(
         F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("component_id")
     )
@@ -370,19 +379,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _needed_sets(base: DataFrame, groups: DataFrame) -> DataFrame:
+def stored_sets(base: DataFrame, nodes: DataFrame) -> DataFrame:
     """Full sets of the classes that share a band with another one."""
-    wanted = groups.select(F.col("rep").alias("__rep")).distinct()
+    wanted = nodes.select(F.col("rep").alias("__rep"))
     texts = base.join(wanted, base["doc_id"] == wanted["__rep"], "left_semi")
     return stored(texts.mapInArrow(_set_bytes, "rep long, shingles binary").dropDuplicates(["rep"]), "shingle-sets")
 
 
-def _left_pairs(placed: DataFrame, hubs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Likely pairs across components in groups that the stars did not join, by pairs of blocks."""
-    blocks = F.ceil(F.col("rows") / BLOCK)
-    rows = placed.join(hubs.select("band", "rows"), "band").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), blocks).cast("int")
+def _left_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, smallest: int) -> DataFrame:
+    """Likely pairs across components in groups that the stars did not join, by pairs of blocks.
+
+    Groups under ``smallest`` need none: a pair is a star.
+    """
+    placed = groups.join(labels, "rep")
+    wide = placed.groupBy("band").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1")
     )
+    wide = stored(wide.where((F.col("c0") != F.col("c1")) & (F.col("rows") >= smallest)).select("band", "rows"), "left-groups")
+    blocks = F.ceil(F.col("rows") / BLOCK)
+    rows = placed.join(wide, "band").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
     rows = (
         rows.withColumn("with", other)
