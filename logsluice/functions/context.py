@@ -123,6 +123,33 @@ def merge_context(context: Column, extra: Column, error: Column | None = None) -
 # --- recursive shaping: a small per-value helper run in Arrow batches ---------
 
 
+class _Pairs(list):
+    """A JSON object as it is written: keys in order, repeated ones too."""
+
+
+class _Number(str):
+    """A JSON number as it is written, whatever its size or digits."""
+
+
+def _string(text: str) -> str:
+    # Half of a surrogate pair, as a cut emoji leaves it, has no UTF-8 form.
+    return json.dumps(text, ensure_ascii=any("\ud800" <= c <= "\udfff" for c in text))
+
+
+def _written(value: object) -> str:
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, str):
+        return _string(value)
+    if isinstance(value, dict):
+        value = _Pairs(value.items())
+    if isinstance(value, _Pairs):
+        return "{" + ",".join(f"{_string(k)}:{_written(v)}" for k, v in value) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    return json.dumps(value)
+
+
 def _shaper(
     keys: tuple[str, ...] | None,
     prefixes: tuple[str, ...],
@@ -137,37 +164,31 @@ def _shaper(
     def slim(frames: object) -> object:
         if not isinstance(frames, list):
             return frames
-        return [
-            {f: frame[f] for f in FRAME_FIELDS if frame.get(f) is not None}
-            for frame in frames[:TRACE_FRAMES]
-            if isinstance(frame, dict)
-        ]
+        named = [dict(frame) for frame in frames[:TRACE_FRAMES] if isinstance(frame, _Pairs)]
+        return [{f: frame[f] for f in FRAME_FIELDS if frame.get(f) is not None} for frame in named]
 
     def shape(value: object, depth: int) -> object:
-        scalar = not isinstance(value, (dict, list))
+        scalar = not isinstance(value, list)
         # A text mark replaces whatever lies too deep; an object mark only
         # stands in for arrays and objects.
         if max_depth is not None and depth > max_depth and not (scalar and every_depth):
             return depth_mark
-        if isinstance(value, str):
+        if isinstance(value, str) and not isinstance(value, _Number):
             raw = value.encode("utf-8", "surrogatepass") if string_limit else b""
             if string_limit and len(raw) > string_limit:
                 return raw[:string_limit].decode("utf-8", "ignore") + CUT_MARK
             return value
-        if isinstance(value, list):
-            return [shape(v, depth + 1) for v in value]
-        if not isinstance(value, dict):
+        if scalar:
             return value
-        if slim_traces and value.get("_type") == "exception":
-            return {
-                k: hide(k, slim(v) if k == "trace" else shape(v, min(depth, 0)))
-                for k, v in value.items()
-            }
-        return {
-            k: hide(k, shape(v, depth + 1))
-            for k, v in value.items()
+        if not isinstance(value, _Pairs):
+            return [shape(v, depth + 1) for v in value]
+        if slim_traces and dict(value).get("_type") == "exception":
+            return _Pairs((k, hide(k, slim(v) if k == "trace" else shape(v, min(depth, 0)))) for k, v in value)
+        return _Pairs(
+            (k, hide(k, shape(v, depth + 1)))
+            for k, v in value
             if not (every_depth and k.startswith(prefixes))
-        }
+        )
 
     def hide(key: str, value: object) -> object:
         if keys and any(part in key.lower() for part in keys):
@@ -176,20 +197,28 @@ def _shaper(
 
     def clean(text: str) -> str:
         try:
-            root = json.loads(text)
+            # NaN and Infinity are not JSON; they read as null.
+            root = json.loads(
+                text,
+                object_pairs_hook=_Pairs,
+                parse_float=_Number,
+                parse_int=_Number,
+                parse_constant=lambda _: None,
+            )
+            if isinstance(root, _Pairs):
+                root = _Pairs(
+                    (k, hide(k, shape(v, 1 if every_depth else 0))) for k, v in root if not k.startswith(prefixes)
+                )
+            elif isinstance(root, list):
+                root = [shape(v, 1 if every_depth else 0) for v in root]
+            else:
+                return text
+            return _written(root)
+        except RecursionError:
+            # Nested beyond what can be looked through, so nothing of it may be shown.
+            return _written(depth_mark or TOO_DEEP)
         except ValueError:
             return text
-        if isinstance(root, dict):
-            root = {
-                k: hide(k, shape(v, 1 if every_depth else 0))
-                for k, v in root.items()
-                if not k.startswith(prefixes)
-            }
-        elif isinstance(root, list):
-            root = [shape(v, 1 if every_depth else 0) for v in root]
-        else:
-            return text
-        return json.dumps(root, ensure_ascii=False, separators=(",", ":"))
 
     return clean
 

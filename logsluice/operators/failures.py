@@ -24,6 +24,8 @@ RETRYABLE = ("08", "40")
 # many rows is spread over as many tasks as it has slices.
 SLICE_SECONDS = 60
 _BEFORE_ALL = -(2**63)
+# Slices of one TTL each that one task looks through for pauses.
+STRETCH = 10_000
 
 
 def occurrences(
@@ -137,11 +139,15 @@ def fallback_rows(
     )
 
 
-def rejection_reason(df: DataFrame) -> Column:
-    """Why a row cannot be stored; null when it can."""
+def rejection_reason(df: DataFrame, widths: bool = True) -> Column:
+    """Why a row cannot be stored; null when it can.
+
+    ``widths`` also holds texts against what a database column takes. Files take any
+    width, so the tables here are written without that.
+    """
     reason = F.lit(None).cast("string")
     for name, size in MAX_CHARS.items():
-        if name in df.columns:
+        if widths and name in df.columns:
             reason = F.when(
                 F.length(F.col(name)) > size, F.lit(f"{name} is longer than {size} characters")
             ).otherwise(reason)
@@ -151,9 +157,9 @@ def rejection_reason(df: DataFrame) -> Column:
     return reason
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, widths: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows that can be stored, and the others with their ``reason``."""
-    judged = df.withColumn("reason", rejection_reason(df))
+    judged = df.withColumn("reason", rejection_reason(df, widths))
     good = judged.where(F.col("reason").isNull()).drop("reason")
     return good, judged.where(F.col("reason").isNotNull())
 
@@ -231,9 +237,16 @@ def failures_since_dismiss(
     slices = rest.groupBy(F.floor(seconds / ttl_seconds).alias("slice")).agg(
         F.min(seconds).alias("low"), F.max(seconds).alias("high")
     )
-    # One row per TTL of history.
-    in_time = Window.partitionBy(F.lit(1)).orderBy("slice")
-    pauses = slices.withColumn("pause", F.col("low") - F.lag("high").over(in_time))
+    # Neighbours are found inside stretches of slices; only each stretch's ends, one row,
+    # meet in one place.
+    stretch = F.floor(F.col("slice") / STRETCH)
+    slices = slices.withColumn("stretch", stretch)
+    ends = slices.groupBy("stretch").agg(F.max("high").alias("end"))
+    over_all = Window.partitionBy(F.lit(1)).orderBy("stretch")
+    ends = ends.select("stretch", F.lag("end").over(over_all).alias("before"))
+    in_time = Window.partitionBy("stretch").orderBy("slice")
+    last = F.coalesce(F.lag("high").over(in_time), F.col("before"))
+    pauses = slices.join(ends, "stretch").withColumn("pause", F.col("low") - last)
     run_start = F.max(F.when(F.coalesce(F.col("pause") > ttl_seconds, F.lit(True)), F.col("low")))
     live_from = F.lit((as_utc(now) - timedelta(seconds=ttl_seconds)).timestamp())
     start = pauses.agg(

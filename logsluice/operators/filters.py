@@ -141,7 +141,8 @@ def user_id(value: str | int | None) -> Column:
     if not value:
         return F.lit(True)
     if value.isascii() and value.isdigit():
-        return F.col("user_id") == min(int(value), 2**63 - 1)
+        # No stored number is as large as one that does not fit.
+        return F.col("user_id") == int(value) if int(value) < 2**63 else F.lit(False) & F.col("user_id").isNotNull()
     return F.startswith(F.col("user_id").cast("string"), F.lit(value))
 
 

@@ -21,7 +21,10 @@ def attach_request(
     id_col: str = "id",
     salts: int = 1,
 ) -> DataFrame:
-    """Left join on ``trace_id``; a request has one row and its URL is redacted.
+    """Left join on ``trace_id``; a request's URL is redacted.
+
+    A trace given more than once counts once: the first of its rows in the order of
+    ``REQUEST_COLUMNS``, nulls last.
 
     Both sides may be large, so neither is forced to broadcast. Entries without
     a trace match nothing; they get spread-out keys instead of meeting in one
@@ -38,6 +41,12 @@ def attach_request(
             for c in present
         ],
     )
+    if present:
+        # The least of whole rows combines before the shuffle.
+        ranked = F.struct(*(x for c in present for x in (F.col(c).isNull().alias(f"{c}_missing"), F.col(c))))
+        right = right.groupBy("_key").agg(F.min(ranked).alias("row")).select("_key", *(f"row.{c}" for c in present))
+    else:
+        right = right.distinct()
     spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(id_col), F.lit(NULL_SPREAD)).cast("string"))
     left = logs.select(*own).withColumn("_key", F.coalesce(F.col("trace_id"), spread))
     if salts <= 1:

@@ -16,9 +16,6 @@ from logsluice.operators import filters
 from logsluice.operators.status import check_status, status_rows
 from logsluice.schema import MAX_NOTE_CHARS, instant
 
-# Up to this many ids an IN list is sent with the plan; more become a join.
-INLINE_IDS = 1000
-
 Ids = Iterable[str] | DataFrame
 
 
@@ -50,10 +47,6 @@ def _ids_frame(df: DataFrame, ids: Ids) -> DataFrame:
 def _flag_ids(df: DataFrame, ids: Ids, flag: str) -> DataFrame:
     """Adds whether the row's id is listed. Spark broadcasts the id frame only
     when its measured size is below the session's threshold."""
-    if not isinstance(ids, DataFrame):
-        ids = list(ids)
-        if len(ids) <= INLINE_IDS:
-            return df.withColumn(flag, F.col("id").isin(ids))
     listed = _ids_frame(df, ids).withColumn(flag, F.lit(True))
     return df.join(listed, "id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
@@ -172,19 +165,11 @@ def delete(df: DataFrame, entry_id: str) -> DataFrame:
 
 def listed_rows(df: DataFrame, ids: Ids) -> DataFrame:
     """The entries that are listed."""
-    if not isinstance(ids, DataFrame):
-        ids = list(ids)
-        if len(ids) <= INLINE_IDS:
-            return df.where(F.col("id").isin(ids))
     return df.join(_ids_frame(df, ids), "id", "left_semi")
 
 
 def delete_many(df: DataFrame, ids: Ids) -> DataFrame:
     """The entries without those listed."""
-    if not isinstance(ids, DataFrame):
-        ids = list(ids)
-        if len(ids) <= INLINE_IDS:
-            return df.where(~F.col("id").isin(ids)) if ids else df
     return df.join(_ids_frame(df, ids), "id", "left_anti")
 
 

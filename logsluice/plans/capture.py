@@ -32,14 +32,18 @@ class CaptureRules:
     enrich: Callable[[DataFrame], DataFrame] | None = None
 
 
-def dedupe_capture(df: DataFrame, key: str = "id", delay: str = "10 minutes") -> DataFrame:
+def dedupe_capture(df: DataFrame, key: str = "id") -> DataFrame:
     """A record that arrives by two ways is kept once.
 
-    On a stream the keys are remembered for ``delay`` of event time; rows
-    without a key are all kept.
+    On a stream the keys are remembered for the time of the watermark the frame
+    has. Rows without a key are all kept; on a stream they pass beside the state,
+    which need not remember them. A frame without the column stays as it is.
     """
+    if key not in df.columns:
+        return df
     if df.isStreaming:
-        return df.dropDuplicatesWithinWatermark([key])
+        keyed = df.where(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+        return keyed.unionByName(df.where(F.col(key).isNull()))
     # Rows without a key are told apart by their place, in the same pass.
     place = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
     return df.withColumn("_place", place).dropDuplicates([key, "_place"]).drop("_place")
@@ -76,9 +80,13 @@ def capture(
     rules: CaptureRules = CaptureRules(),
     dedupe_key: str | None = "id",
 ) -> DataFrame:
-    """Internal records out, duplicates out, ignored ones out, then shaped for storage."""
-    rows = drop_internal(df)
+    """Internal and ignored records out, duplicates out, then shaped for storage.
+
+    What depends on the row alone goes first: copies share it, and what is left out
+    is not shuffled.
+    """
+    rows = ignore(drop_internal(df), rules)
     if dedupe_key:
         rows = dedupe_capture(rows, dedupe_key)
-    rows = build(ignore(rows, rules), rules)
+    rows = build(rows, rules)
     return prepare_entries(rows, now, rules.limits, key_cols=rules.key_cols or None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import date, datetime
 
@@ -16,6 +18,7 @@ from logsluice.session import drop_path, scratch_path
 
 DAY = "date"
 # Columns looked up by whole values; bloom filters let readers skip row groups.
+_DAY_FOLDER = re.compile(rf"{DAY}=\d{{4}}-\d\d-\d\d")
 LOOKUP_COLUMNS = ("trace_id", "ip_address", "user_id", "id")
 
 
@@ -118,7 +121,7 @@ def stored_days(spark: SparkSession, path: str) -> dict[date, str]:
     days = {}
     for status in files.listStatus(root):
         name = status.getPath().getName()
-        if status.isDirectory() and name.startswith(f"{DAY}="):
+        if status.isDirectory() and _DAY_FOLDER.fullmatch(name):
             days[date.fromisoformat(name.removeprefix(f"{DAY}="))] = status.getPath().toString()
     return days
 
@@ -154,7 +157,7 @@ def rewrite_days(
     after = folders(rows)
     if after:
         (
-            entry_writer(rows.sortWithinPartitions(*parts, "occurred_at", "id"))
+            entry_writer(rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "occurred_at", "id"))
             .mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*parts)
@@ -169,8 +172,11 @@ def rewrite_days(
 def storable(good: DataFrame, bad: DataFrame, now: datetime, where: str = "append") -> DataFrame:
     """Valid rows prepared for the table, and fallback rows for the others."""
     prepared = conform(prepare_entries(good, now))
-    order = ["at", "level", "message"]
     failures = as_failures(bad, where, now)
+    # A total order, so that a retry numbers the rows alike.
+    told = F.xxhash64(*(c for c in bad.columns if not isinstance(bad.schema[c].dataType, T.MapType)))
+    failures = failures.withColumn("_told", told)
+    order = ["at", "level", "message", "_told"]
     failed = fallback_rows(failures, where, now, order, key=("class", "error"))
     fallback = prepare_entries(failed, now, key_cols=failed.columns)
     return prepared.unionByName(conform(fallback))
@@ -183,22 +189,24 @@ def append_entries(
     where: str = "append",
     batch: int | str | None = None,
     rebalance: bool = True,
+    rejects: str | None = None,
 ) -> None:
     """Stores the rows; one that cannot be stored stops no other.
 
-    A persisted frame is simply used twice. Otherwise the bad rows, normally
-    few, are set aside in the shared folder first, so that numbering them does
-    not go over the whole input again.
+    Every such row is kept as it came, with its ``reason``, in a table of its own:
+    ``rejects``, by default beside the entries. Only which of them also show up as
+    entries is thinned. The table is by batch, so a replay replaces its part.
     """
-    good, bad = split_valid(df)
-    if df.is_cached:
-        write_entries(storable(good, bad, now, where), path, batch=batch, rebalance=rebalance)
-        return
     spark = df.sparkSession
-    aside = scratch_path(spark, "rejected")
-    bad.write.parquet(aside)
-    try:
-        bad = spark.read.schema(bad.schema).parquet(aside)
-        write_entries(storable(good, bad, now, where), path, batch=batch, rebalance=rebalance)
-    finally:
-        drop_path(spark, aside)
+    good, bad = split_valid(df, widths=False)
+    part = f"{rejects or rejects_path(path)}/batch={batch if batch is not None else uuid.uuid4().hex}"
+    bad.withColumn("rejected_at", F.lit(as_utc(now))).write.mode("overwrite").parquet(part)
+    kept = spark.read.schema(bad.schema).parquet(part)
+    write_entries(storable(good, kept, now, where), path, batch=batch, rebalance=rebalance)
+    if kept.isEmpty():
+        drop_path(spark, part)
+
+
+def rejects_path(path: str) -> str:
+    """Where the rows go that could not be stored in the table at ``path``."""
+    return f"{path.rstrip('/')}-rejected"

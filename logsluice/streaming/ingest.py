@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logsluice.plans.capture import CaptureRules, build, dedupe_capture, ignore
 from logsluice.operators.filters import drop_internal
 from logsluice.sources.entries import append_entries
-from logsluice.streaming.identity import stream_id
+from logsluice.streaming.identity import batch_moment, stream_id, with_batch_ids
 
 # How soon rows are written: at once, gathered for a while, or by a worker that
 # takes what is there and ends.
@@ -27,11 +27,14 @@ def capture_stream(
     dedupe_key: str | None = "id",
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """The capture plan's stream half; ``occurred_at`` must be a TIMESTAMP."""
-    rows = drop_internal(records)
+    """The capture plan's stream half; ``occurred_at`` must be a TIMESTAMP.
+
+    Copies of a record are told for ``delay`` of event time.
+    """
+    rows = ignore(drop_internal(records), rules)
     if dedupe_key:
-        rows = dedupe_capture(rows.withWatermark("occurred_at", delay), dedupe_key, delay)
-    return build(ignore(rows, rules), rules)
+        rows = dedupe_capture(rows.withWatermark("occurred_at", delay), dedupe_key)
+    return build(rows, rules)
 
 
 def ingest_stream(
@@ -47,18 +50,22 @@ def ingest_stream(
     """Starts the stream. A replayed micro-batch overwrites what it wrote before.
 
     ``now`` fixes the time given to rows without one; by default it is the
-    time the micro-batch is stored.
+    time the micro-batch is first stored, which a replay finds beside the
+    checkpoint. Rows without an id get one from the batch, their place in it and their
+    content, so a replay gives them the same one.
     """
     if mode not in MODES:
         raise ValueError(f"unknown write mode: {mode!r}")
 
     def store(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        tag = f"{stream_id(spark, checkpoint)}-{batch}"
+        rows = with_batch_ids(rows, tag)
         # Good and bad rows are two branches of one plan; without this the
         # micro-batch would be read from the source twice.
         rows.persist()
         try:
-            moment = now or datetime.now().astimezone()
-            tag = f"{stream_id(rows.sparkSession, checkpoint)}-{batch}"
+            moment = now or batch_moment(spark, checkpoint, batch)
             append_entries(rows, table, moment, where="stream", batch=tag)
         finally:
             rows.unpersist()
