@@ -1,13 +1,19 @@
-"""Multi-line text logs read in parallel, split by split."""
+"""Multi-line text logs read in parallel, split by split.
+
+Lines are put together by Arrow batch where they are read: a record is a run of
+rows in file order, which no built-in function can gather without a shuffle of the text.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logsluice.functions.records import (
@@ -16,7 +22,6 @@ from logsluice.functions.records import (
     is_header,
     named_header,
     strip_end,
-    strip_line_ends,
     with_json_tail,
     with_source,
 )
@@ -28,11 +33,8 @@ from logsluice.sources.entries import write_entries
 Paths = str | Sequence[str]
 
 _FILE_SCHEMA = "path string, name string, size bigint, modified timestamp"
-_TEXT_SCHEMA = "value string, path string, size bigint, start bigint, m bigint"
-# Up to this many odd files are named in the plan; more become a join.
-INLINE_FILES = 1000
-# A line that begins so is nearly always a header.
-_MARK = "\n[2"
+_LINE_SCHEMA = "path string, start bigint, value string, header boolean"
+_PIECE_SCHEMA = "path string, start bigint, n bigint, headed boolean, open_end boolean, lines array<string>"
 
 
 def exact_path(path: str) -> str:
@@ -66,193 +68,120 @@ def list_log_files(spark: SparkSession, paths: Paths, pattern: str = "*.log") ->
     ).orderBy(F.col("modified").desc(), "path")
 
 
-def _scan(spark: SparkSession, paths: Paths, separator: str, only: list[str] | None) -> DataFrame:
-    """Text between separators with its file, its split's start and its order.
+def read_lines(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Lines with their file, their split's start, and whether they are headers.
 
-    The row number is taken directly on the scan, where rows still come in
-    file order. ``only`` names files; others are not opened.
+    Rows come in file order inside a split, as long as nothing shuffles them.
     """
-    text = _load(spark.read.format("text").option("lineSep", separator), paths)
+    text = _load(spark.read.format("text").option("lineSep", "\n"), paths)
     if text is None:
-        return spark.createDataFrame([], _TEXT_SCHEMA)
-    if only is not None:
-        text = text.where(F.col("_metadata.file_path").isin(only))
-    return text.select(
-        "value",
+        return spark.createDataFrame([], _LINE_SCHEMA)
+    lines = text.select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("m"),
-    )
-
-
-def read_lines(spark: SparkSession, paths: Paths, only: list[str] | None = None) -> DataFrame:
-    lines = _scan(spark, paths, "\n", only)
-    return lines.select("path", "start", "m", strip_end(F.col("value")).alias("value"))
-
-
-def read_pieces(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Text cut where a line begins like a header of this millennium.
-
-    The reader itself completes a piece that runs over the end of its split,
-    so in an ordinary file each piece is one whole record, stack trace and
-    all, without any shuffle. What is before the first cut stays as it is;
-    later pieces lack the mark they were cut at.
-    """
-    pieces = _scan(spark, paths, _MARK, None)
-    line = F.substring_index("value", "\n", 1)
-    after_mark = is_header(strip_end(F.concat(F.lit(_MARK[1:]), line)))
-    return pieces.withColumns(
-        {"after_mark": after_mark, "at_start": ~after_mark & is_header(strip_end(line))}
+        strip_end(F.col("value")).alias("value"),
     )
+    return lines.withColumn("header", is_header(F.col("value")))
 
 
-def odd_files(pieces: DataFrame) -> DataFrame:
-    """Files whose pieces are not simply their records.
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines put together to pieces: a header and what follows it in its split, or the lines before the first header.
 
-    In an ordinary file only the first piece does not read as a header after
-    the mark, no piece holds a line that begins like an older date, and the
-    pieces and marks together have the size of the file.
+    ``n`` is the number of headers of the split so far, ``open_end`` marks the last piece
+    of a split. A task holds one batch and one piece.
     """
-    older = F.contains("value", F.lit("\n[")) & F.col("value").rlike(r"\n\[\d{4}-\d{2}-\d{2}")
-    files = pieces.groupBy("path").agg(
-        F.count_if(~F.col("after_mark")).alias("unmarked"),
-        F.min(F.struct("start", "m", "after_mark")).alias("first"),
-        F.count_if(older).alias("older"),
-        F.sum(F.octet_length("value") + len(_MARK)).alias("bytes"),
-        F.max("size").alias("size"),
-    )
-    ordinary = (
-        (F.col("unmarked") == 1)
-        & ~F.col("first.after_mark")
-        & (F.col("older") == 0)
-        & (F.col("bytes") - len(_MARK) == F.col("size"))
-    )
-    return files.where(~ordinary).select("path")
-
-
-def whole_records(pieces: DataFrame) -> DataFrame:
-    """``(path, place, first, rest)`` of the pieces of ordinary files."""
-    text = F.when(F.col("after_mark"), F.concat(F.lit(_MARK[1:]), "value")).when(
-        F.col("at_start"), F.col("value")
-    )
-    records = computed_once(pieces, text=text).where(F.col("text").isNotNull())
-    lines = computed_once(records, line=F.substring_index("text", "\n", 1))
-    more = F.substring("text", F.length("line") + 2, F.length("text"))
-    return lines.select(
-        "path",
-        F.col("m").cast("string").alias("place"),
-        strip_end(F.col("line")).alias("first"),
-        F.when(F.length("text") > F.length("line"), strip_line_ends(more)).alias("rest"),
-    )
+    place, headers, headed, held = None, 0, False, []
+
+    def made(places, n, headed, open_end, bounds, lines) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lines)
+        arrays = [pa.array(x, k) for x, k in zip(places, (pa.string(), pa.int64()), strict=True)]
+        arrays += [pa.array(n, pa.int64()), pa.array(headed, pa.bool_()), pa.array(open_end, pa.bool_()), lists]
+        return pa.RecordBatch.from_arrays(arrays, ["path", "start", "n", "headed", "open_end", "lines"])
+
+    def held_piece(open_end: bool) -> pa.RecordBatch:
+        lines = pa.concat_arrays(held)
+        return made(([place[0]], [place[1]]), [headers], [headed], [open_end], [0, len(lines)], lines)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        paths = batch.column(0).dictionary_encode()
+        names, codes = paths.dictionary.to_pylist(), paths.indices.to_numpy()
+        start, values = batch.column(1).to_numpy(), batch.column(2)
+        header = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+        change = np.ones(len(start), bool)
+        change[1:] = (codes[1:] != codes[:-1]) | (start[1:] != start[:-1])
+        change[0] = place != (names[codes[0]], start[0])
+        at = np.flatnonzero(change | header)
+        # Headers of the split so far, at each row.
+        so_far = np.cumsum(header)
+        last_change = np.maximum.accumulate(np.where(change, np.arange(len(start)), -1))
+        seen = np.where(last_change < 0, headers, header[last_change] - so_far[last_change]) + so_far
+        if not len(at):
+            held.append(values)
+            continue
+        if at[0]:
+            held.append(values.slice(0, at[0]))
+        if held:
+            yield held_piece(bool(change[at[0]]))
+        if len(at) > 1:
+            first, last = at[0], at[-1]
+            yield made(
+                ([names[c] for c in codes[at[:-1]]], start[at[:-1]]),
+                seen[at[:-1]],
+                header[at[:-1]],
+                change[at[1:]],
+                at - first,
+                values.slice(first, last - first),
+            )
+        place, headers, headed = (names[codes[at[-1]]], start[at[-1]]), int(seen[at[-1]]), bool(header[at[-1]])
+        held = [values.slice(at[-1])]
+    if held:
+        yield held_piece(True)
 
 
 def records_of_lines(lines: DataFrame) -> DataFrame:
     """``(path, place, first, rest)`` of any files, from their lines.
 
-    A record starts at a header line and takes the lines up to the next one.
-    Lines are numbered within their task's share of the input, which has a
-    bounded size, so they are shuffled once, by task. Only the open end of a
+    A record starts at a header line and takes the lines up to the next one. Lines are
+    put together where they are read, so the text is not shuffled. A table of one row per
+    split, with its number of headers, tells the number of each record in its file: its
+    ``place``, which does not depend on how the files are split. Only the open end of a
     split and the headless lines at the start of later ones are put together
-    across splits; a table of one row per split tells which split's last
-    record owns them. Lines before a file's first header belong to no record.
+    across splits. Lines before a file's first header belong to no record.
     """
-    flagged = lines.withColumns(
-        {"header": is_header(F.col("value")), "task": F.shiftright("m", 33)}
-    )
-
-    # One row per split: whether it has headers, and the nearest earlier split
-    # that has some.
-    earlier = (
-        Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    with_headers = F.when(F.col("headed"), F.col("start"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
-        flagged.groupBy("path", "start")
-        .agg(F.bool_or("header").alias("headed"))
-        .withColumn("before", F.last(with_headers, ignorenulls=True).over(earlier))
-    )
-
-    in_task = Window.partitionBy("task").orderBy("m")
-    so_far = in_task.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = F.struct("path", "start")
-    pieces = (
-        flagged.select(
-            "path",
-            "start",
-            "task",
-            "m",
-            "value",
-            "header",
-            F.coalesce(F.lag(place).over(in_task) != place, F.lit(True)).alias("opens"),
-            F.coalesce(F.lead(place).over(in_task) != place, F.lit(True)).alias("closes"),
-        )
-        .withColumn("n", F.sum((F.col("header") | F.col("opens")).cast("int")).over(so_far))
-        .groupBy("task", "n")
-        .agg(
-            F.first("path").alias("path"),
-            F.first("start").alias("start"),
-            F.bool_or("header").alias("headed"),
-            F.bool_or("closes").alias("open_end"),
-            F.min("m").alias("m"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("m", "value"))), lambda s: s["value"]
-            ).alias("lines"),
-        )
-    )
-    whole = pieces.where(F.col("headed") & ~F.col("open_end")).select(
-        "path", F.col("m").cast("string").alias("place"), "lines"
-    )
-    # Hashing the small side spares the pieces another sort.
-    ends = pieces.where(~F.col("headed") | F.col("open_end")).join(
-        splits.select("path", "start", "before", F.lit(True).alias("known")).hint("shuffle_hash"),
-        ["path", "start"],
-        "left",
+        lines.groupBy("path", "start")
+        .agg(F.count_if("header").alias("headers"))
+        .select("path", "start", F.coalesce(F.sum("headers").over(earlier), F.lit(0)).alias("base"))
     )
+    # One short row per split of the input: the driver holds a list of these anyway.
+    pieces = lines.mapInArrow(_pieces, _PIECE_SCHEMA).join(F.broadcast(splits), ["path", "start"], "left")
     # Both scans must have cut the files alike; better to stop than to lose lines.
-    checked = F.when(F.col("known"), F.col("before")).otherwise(
-        F.raise_error(F.lit("the files were split differently while they were read")).cast("bigint")
+    base = F.coalesce(
+        "base", F.raise_error(F.lit("the files were split differently while they were read")).cast("bigint")
     )
-    owner = F.when(F.col("headed"), F.col("start")).otherwise(checked)
+    numbered = pieces.withColumn("number", base + F.col("n") - 1).where(F.col("number") >= 0)
+    whole = numbered.where(F.col("headed") & ~F.col("open_end")).select("path", "number", "lines")
     bridged = (
-        ends.withColumn("owner", owner)
-        .where(F.col("owner").isNotNull())
-        .groupBy("path", "owner")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "m", "lines"))).alias("parts"))
-        .select(
-            "path",
-            F.concat(F.lit("end of "), F.col("owner").cast("string")).alias("place"),
-            F.flatten(F.transform("parts", lambda p: p["lines"])).alias("lines"),
-        )
+        numbered.where(~F.col("headed") | F.col("open_end"))
+        .groupBy("path", "number")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "lines"))).alias("parts"))
+        .select("path", "number", F.flatten(F.transform("parts", lambda p: p["lines"])).alias("lines"))
     )
     more = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
     return whole.unionByName(bridged).select(
         "path",
-        "place",
+        F.col("number").cast("string").alias("place"),
         F.get("lines", F.lit(0)).alias("first"),
         F.when(F.size("lines") > 1, F.array_join(more, "\n")).alias("rest"),
     )
 
 
 def assemble_records(spark: SparkSession, paths: Paths) -> DataFrame:
-    """``(path, place, first, rest)``: each record's header line and its other lines.
-
-    Runs one job at once, which looks for files that need to be read line by
-    line. All others are read by the piece, without a shuffle.
-    """
-    pieces = read_pieces(spark, paths)
-    # At most the file names that the listing has brought to the driver anyway.
-    odd = [row.path for row in odd_files(pieces).collect()]
-    if not odd:
-        return whole_records(pieces)
-    if len(odd) <= INLINE_FILES:
-        ordinary = pieces.where(~F.col("path").isin(odd))
-        lines = read_lines(spark, paths, odd)
-    else:
-        names = spark.createDataFrame([(path,) for path in odd], "path string")
-        ordinary = pieces.join(names, "path", "left_anti")
-        lines = read_lines(spark, paths).join(names, "path", "left_semi")
-    return whole_records(ordinary).unionByName(records_of_lines(lines))
+    """``(path, place, first, rest)``: each record's header line and its other lines."""
+    return records_of_lines(read_lines(spark, paths))
 
 
 def _read_record(records: DataFrame, tz: str) -> DataFrame:
@@ -335,13 +264,22 @@ def import_logs(
     days: int = 7,
     fresh: bool = False,
     tz: str = "UTC",
-) -> None:
-    """Parses the files and adds their records to the table.
+) -> dict[str, int]:
+    """Parses the files and adds their records to the table; returns how many.
 
-    ``days`` = 0 imports everything; ``fresh`` replaces what the table holds.
+    The result counts ``imported``, ``skipped`` (older than ``days``) and ``unparsed``
+    records, observed while they are written. ``days`` = 0 imports everything; ``fresh`` replaces what the table holds.
     Paths that match nothing raise ``FileNotFoundError`` and change nothing.
     """
     if _load(spark.read.format("text"), paths) is None:
         raise FileNotFoundError(f"no log files at {paths!r}")
-    rows = prepared_import(parse_log_text(spark, paths, now, days, tz), now)
-    write_entries(rows, table, mode="overwrite" if fresh else "append")
+    counted = Observation()
+    read = F.col("occurred_at").isNotNull()
+    parsed = parse_all(spark, paths, now, days, tz).observe(
+        counted,
+        F.count_if(read & ~F.col("_skipped")).alias("imported"),
+        F.count_if(read & F.col("_skipped")).alias("skipped"),
+        F.count_if(~read).alias("unparsed"),
+    )
+    write_entries(prepared_import(parsed, now), table, mode="overwrite" if fresh else "append")
+    return counted.get

@@ -122,11 +122,11 @@ def plain_loop(text):
     return [("\n".join(r)).rstrip() for r in records]
 
 
-def texts_of(rng, odd):
+def texts_of(rng, odd, records=120):
     texts = {}
     for f in range(6):
         lines = ["junk", "", "more junk"] * rng.randrange(3)
-        for i in range(120):
+        for i in range(records):
             lines.append(f"[2024-01-15 10:{i % 60:02}:00] local.INFO: é record {i} of {f}")
             lines += [f"#{j} frame" + "x" * rng.randrange(80) for j in range(rng.choice([0, 0, 1, 4, 12]))]
             lines += rng.choice([[], ["[stacktrace] \t", ""], ["[not a header"]])
@@ -135,9 +135,9 @@ def texts_of(rng, odd):
         end = rng.choice(["\n", "\r\n"])
         texts[f"f{f}.log"] = end.join(lines) + rng.choice(["", end])
     # Only text without any record, over several splits.
-    texts["junk.log"] = "no header here\n" * 400
+    texts["junk.log"] = "no header here\n" * (3 * records)
     # One record over several splits.
-    texts["long.log"] = "[2024-01-15 10:00:00] local.INFO: long\n" + "line\n" * 500
+    texts["long.log"] = "[2024-01-15 10:00:00] local.INFO: long\n" + "line\n" * (4 * records)
     texts["bare.log"] = "[2024-01-15 10:00:00] local.INFO:\n" * 30
     if odd:
         texts["cut.log"] = "024-01-15 10:00:00] local.INFO: half\n[2024-01-15 10:00:00] local.INFO: x\n[2"
@@ -171,23 +171,44 @@ def compare(records, texts):
 @pytest.mark.parametrize("split_bytes", ["100b", "203b", "1k", "64k"])
 @pytest.mark.parametrize("odd", [False, True])
 def test_records_do_not_depend_on_splits(spark, tmp_path, splits, split_bytes, odd):
-    texts = texts_of(random.Random(len(split_bytes)), odd)
+    # Each split is a task: fewer records where splits are tiny.
+    texts = texts_of(random.Random(len(split_bytes)), odd, 12 if split_bytes.endswith("b") else 60)
     for name, text in texts.items():
         write(tmp_path / name, text)
     splits(split_bytes)
     path = str(tmp_path / "*.log")
-    found = {r.path.split("/")[-1] for r in textlogs.odd_files(textlogs.read_pieces(spark, path)).collect()}
-    assert found == ({n for n in texts if n not in ("junk.log", "long.log", "bare.log")} if odd else set())
-    compare(textlogs.assemble_records(spark, path), texts)
-    compare(textlogs.records_of_lines(textlogs.read_lines(spark, path)), texts)
+    records = textlogs.assemble_records(spark, path)
+    compare(records, texts)
+    # A record's place is its number in the file, whatever the splits.
+    places = {}
+    for r in records.select("path", "place").collect():
+        places.setdefault(r.path, []).append(int(r.place))
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
-def test_many_odd_files_are_joined(spark, tmp_path, monkeypatch):
-    texts = {**texts_of(random.Random(5), True), "plain.log": "[2024-01-15 10:00:00] local.INFO: x\n"}
-    for name, text in texts.items():
+def test_ids_do_not_depend_on_splits_and_other_files(spark, tmp_path, splits, now):
+    for name, text in texts_of(random.Random(8), True, 20).items():
         write(tmp_path / name, text)
-    monkeypatch.setattr(textlogs, "INLINE_FILES", 0)
-    compare(textlogs.assemble_records(spark, str(tmp_path / "*.log")), texts)
+    ids = {}
+    for size, pattern in (("150b", "*.log"), ("64k", "*.log"), ("64k", "f1.log")):
+        splits(size)
+        table = str(tmp_path / f"table-{size}-{len(pattern)}")
+        textlogs.import_logs(spark, str(tmp_path / pattern), table, now, days=0)
+        ids[size, pattern] = {(r.message, r.id) for r in read_entries(spark, table).collect()}
+    assert ids["150b", "*.log"] == ids["64k", "*.log"] > ids["64k", "f1.log"]
+
+
+def test_no_row_is_larger_than_a_record(spark, tmp_path, splits):
+    """Files without a header of this century, and without any."""
+    write(tmp_path / "old.log", "[1999-12-31 23:59:59] x.INFO: old\nmore\n" * 3000)
+    write(tmp_path / "none.log", "no header\n" * 3000)
+    splits("8k")
+    pieces = textlogs.read_lines(spark, str(tmp_path / "old.log")).mapInArrow(
+        textlogs._pieces, textlogs._PIECE_SCHEMA
+    )
+    assert pieces.agg(F.max(F.size("lines"))).first()[0] == 2
+    records = textlogs.assemble_records(spark, str(tmp_path / "*.log"))
+    assert records.count() == 3000 and records.agg(F.max(F.length("rest"))).first()[0] == 4
 
 
 def test_compressed_files(spark, tmp_path):
