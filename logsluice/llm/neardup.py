@@ -29,6 +29,8 @@ ESTIMATE = 0.55
 # Hubs of a group after the first round, and rounds at most.
 HUBS = 4
 STAR_ROUNDS = 8
+# Stars end with a round that joins less than this share of what the first one joined.
+LAST_SHARE = 0.02
 BLOCK = 256
 
 _random = np.random.Generator(np.random.PCG64(1))
@@ -267,20 +269,21 @@ def _across(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """Labels (rep, component) after joining the components of linked classes, and whether any was joined."""
+def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """Labels (rep, component) after joining the components of linked classes, and by how many pairs of them."""
     for name in ("a", "b"):
         side = labels.select(F.col("rep").alias(name), F.col("component").alias(f"c_{name}"))
         links = links.join(side, name)
     links = links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct()
     links = stored(links, "joined")
-    if links.isEmpty():
-        return labels, False
+    pairs = links.count()
+    if not pairs:
+        return labels, 0
     found = components(links)
     new = labels.join(found, labels["component"] == found["node"], "left").select(
         "rep", F.coalesce(found["component"], labels["component"]).alias("component")
     )
-    return stored(new, "labels"), True
+    return stored(new, "labels"), pairs
 
 
 def _star_pairs(groups: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -321,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        registers, and each class has its likeliest link confirmed on full sets.
     3. Where a group's rows still lie in different components, stars are drawn again
        from HUBS other members and all their likely links are confirmed, as long as that
-       joins anything (at most STAR_ROUNDS times). Then rows of a group that
+       joins much (at most STAR_ROUNDS times). Then rows of a group that
        lie in different components are compared in blocks of registers, all that
        is left to compare; likely pairs are confirmed. So no pair that shares a band is
        left out: it is in one component, ruled out by the estimate, or confirmed.
@@ -355,6 +358,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = groups.select("rep").distinct()
     labels = stored(nodes.select("rep", F.col("rep").alias("component")), "labels")
     sets = stored_sets(base, nodes)
+    first = 0
     for turn in range(STAR_ROUNDS):
         found = stored(likely(_star_pairs(groups, labels, turn), sketches), "likely")
         if turn == 0:
@@ -365,7 +369,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             found = both.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p"))
             found = found.select("p.a", "p.b").distinct()
         labels, joined = _joined(labels, stored(confirmed(found.select("a", "b"), sets), "confirmed"))
-        if turn and not joined:
+        first = joined if turn == 0 else first
+        if turn and joined <= first * LAST_SHARE:
             break
     left = _left_pairs(groups, labels, sketches, smallest=3 if STAR_ROUNDS > 1 else 2)
     labels, _ = _joined(labels, stored(confirmed(left, sets), "confirmed"))
