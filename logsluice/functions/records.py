@@ -12,7 +12,7 @@ HEADER = (
     r"(?s)^\[(\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[+-]\d{2}:\d{2})?)\]"
     r"\s+(\w+)\.(\w+):(?:\s(.*))?$"
 )
-# Fixed patterns: where a record names its source, and a dated file name.
+# Fixed patterns: where a record names its source, a dated file name, and the JSON text at a record's end.
 SOURCE = r"in\s+([^\s:]+):(\d+)"
 DATED_NAME = r"^(.+?)-\d{4}-\d{2}-\d{2}$"
 JSON_TAIL = r"(?s)\s(\{.*\})$"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.functions.bounds import start_of
-from logsluice.schema import as_utc, instant, time_type
+from logsluice.schema import as_utc, epoch_micros, instant, time_type
 
 
 def _since(df: DataFrame, unit: str, now: datetime, tz: str) -> Column:
@@ -24,6 +24,28 @@ def stats_by_level(df: DataFrame, now: datetime, tz: str = "UTC") -> DataFrame:
     )
 
 
+# Days and hours of every time zone begin with a quarter of an hour.
+QUARTER = 900
+
+
+def quarter_counts(df: DataFrame) -> DataFrame:
+    """(level, quarter, n): counts from which any later clock can tell today and this hour."""
+    seconds = epoch_micros(F.col("occurred_at"), time_type(df)) / 1_000_000
+    return df.groupBy("level", F.floor(seconds / QUARTER).alias("quarter")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stats_of_quarters(counts: DataFrame, now: datetime, tz: str = "UTC") -> DataFrame:
+    """:func:`stats_by_level` at ``now`` from counts by quarter of an hour."""
+
+    def since(unit: str) -> Column:
+        first = int(as_utc(start_of(unit, now, tz)).timestamp()) // QUARTER
+        return F.coalesce(F.sum(F.when(F.col("quarter") >= first, F.col("n"))), F.lit(0)).cast("bigint")
+
+    return counts.groupBy("level").agg(
+        F.sum("n").alias("total"), since("day").alias("today"), since("hour").alias("this_hour")
+    )
+
+
 def stats_total(df: DataFrame, now: datetime, tz: str = "UTC") -> DataFrame:
     """One row of sums over the levels, with the totals by level as a JSON object."""
     pairs = F.sort_array(F.collect_list(F.struct("level", "total")))

@@ -76,37 +76,61 @@ def set_status(
     return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
-def latest_status(changes: DataFrame) -> DataFrame:
-    """One row per id: the newest change, and the newest changer and note given.
+# Columns of a change that may set a value to null: where the flag is true the value counts as given.
+GIVEN = {"changed_by": "by_given", "note": "note_given"}
 
-    ``max_by`` combines before the shuffle, so an id changed very often costs
-    no more than any other.
-    """
+
+def refusal(changes: DataFrame, overrides: dict | None = None) -> Column:
+    """Why a change cannot be made; null when it can. A change without a status is one of the others' values."""
+    known = [s[0] for s in status_rows(overrides)]
+    return (
+        F.when(F.col("id").isNull(), F.lit("id is missing"))
+        .when(F.col("changed_at").isNull(), F.lit("changed_at is missing"))
+        .when(~F.col("status").isin(known), F.lit("status is unknown"))
+        .when(F.length("note") > MAX_NOTE_CHARS, F.lit(f"note is longer than {MAX_NOTE_CHARS} characters"))
+    )
+
+
+def _newest(changes: DataFrame) -> DataFrame:
+    """One row per id: the newest given value of each column, in a struct that is null if none was given."""
     order = F.struct("changed_at", "status")
 
     def newest(column: str) -> Column:
-        return F.max_by(column, F.when(F.col(column).isNotNull(), order)).alias(column)
+        given = F.col(column).isNotNull()
+        if GIVEN.get(column) in changes.columns:
+            given = given | F.coalesce(F.col(GIVEN[column]), F.lit(False))
+        return F.max_by(F.struct(F.col(column).alias("value")), F.when(given, order)).alias(column)
 
     return changes.groupBy("id").agg(
-        F.max_by("status", order).alias("status"),
-        F.max("changed_at").alias("changed_at"),
+        newest("status"),
+        F.max(F.when(F.col("status").isNotNull(), F.col("changed_at"))).alias("changed_at"),
         newest("changed_by"),
         newest("note"),
     )
 
 
+def latest_status(changes: DataFrame) -> DataFrame:
+    """One row per id: the newest change, and the newest changer and note given.
+
+    ``max_by`` combines before the shuffle, so an id changed very often costs
+    no more than any other.
+    """
+    return _newest(changes).select(
+        "id",
+        F.col("status.value").alias("status"),
+        "changed_at",
+        F.col("changed_by.value").alias("changed_by"),
+        F.col("note.value").alias("note"),
+    )
+
+
 def apply_changes(df: DataFrame, changes: DataFrame, overrides: dict | None = None) -> DataFrame:
-    """Folds a change log into the entries; changes to unknown statuses are left out."""
+    """Folds a change log into the entries; a change that :func:`refusal` names is left out."""
     df = with_triage_columns(df)
-    known = [s[0] for s in status_rows(overrides)]
-    valid = changes.where(
-        F.col("status").isin(known)
-        & F.coalesce(F.length("note") <= MAX_NOTE_CHARS, F.lit(True))
-    )
-    new = latest_status(valid).select(
+    new = _newest(changes.where(refusal(changes, overrides).isNull())).select(
         "id",
         F.col("status").alias("_status"),
-        F.col("changed_at").alias("_at"),
+        F.when(F.col("changed_at").isNotNull(), F.struct(F.col("changed_at").alias("value"))).alias("_at"),
         F.col("changed_by").alias("_by"),
         F.col("note").alias("_note"),
     )
@@ -118,7 +142,9 @@ def apply_changes(df: DataFrame, changes: DataFrame, overrides: dict | None = No
     }
     return df.join(new, "id", "left").select(
         *[
-            F.coalesce(F.col(pairs[c]), F.col(c)).alias(c) if c in pairs else F.col(c)
+            F.when(F.col(pairs[c]).isNotNull(), F.col(f"{pairs[c]}.value")).otherwise(F.col(c)).alias(c)
+            if c in pairs
+            else F.col(c)
             for c in df.columns
         ]
     )

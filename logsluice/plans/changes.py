@@ -5,16 +5,42 @@ from __future__ import annotations
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-
-from logsluice.operators.triage import Ids, apply_changes, delete_many, listed_rows
+from pyspark.sql import functions as F
+
+from logsluice.operators import filters
+from logsluice.operators.triage import (
+    GIVEN,
+    Ids,
+    apply_changes,
+    clear_condition,
+    delete_many,
+    listed_rows,
+    refusal,
+)
+from logsluice.session import drop_path, scratch_path
 from logsluice.sources.entries import DAY, read_entries, rewrite_days
 
 CHANGE_COLUMNS = ("id", "status", "changed_at", "changed_by", "note")
 
 
-def record_changes(changes: DataFrame, log: str) -> None:
-    """Adds status changes to the log, a table of its own."""
-    changes.select(*CHANGE_COLUMNS).write.mode("append").parquet(log)
+def record_changes(changes: DataFrame, log: str, overrides: dict | None = None) -> DataFrame:
+    """Adds changes to the log, a table of its own; returns those refused, with a ``reason``.
+
+    A change may leave out the status (only a note, say). Where the flag ``note_given``
+    or ``by_given`` is true, a null note or changer is set, too: so a note is cleared.
+    """
+    flags = [
+        (F.coalesce(F.col(flag), F.lit(False)) if flag in changes.columns else F.lit(False)).alias(flag)
+        for flag in GIVEN.values()
+    ]
+    judged = changes.select(*CHANGE_COLUMNS, *flags).withColumn("reason", refusal(changes, overrides))
+    judged.where("reason IS NULL").drop("reason").write.mode("append").parquet(log)
+    return judged.where("reason IS NOT NULL")
+
+
+def read_changes(spark: SparkSession, log: str) -> DataFrame:
+    """The change log; parts written without the flags read as not given."""
+    return spark.read.option("mergeSchema", "true").parquet(log)
 
 
 def current_entries(
@@ -27,7 +53,7 @@ def current_entries(
 ) -> DataFrame:
     """The stored entries as the change log has them now."""
     return apply_changes(
-        read_entries(spark, table, since, until), spark.read.parquet(log), overrides
+        read_entries(spark, table, since, until), read_changes(spark, log), overrides
     )
 
 
@@ -42,10 +68,10 @@ def fold_changes(
 ) -> None:
     """Writes the change log into the table; only days with changed entries are rewritten.
 
-    Folding the same log again changes nothing, so the log may be removed
-    once this has ended well.
+    Folding the same log again changes nothing, so a fold that failed is run again. What
+    is appended to the log meanwhile stays in it for the next fold.
     """
-    changes = spark.read.parquet(log)
+    changes = read_changes(spark, log)
     missing = {"status_changed_at", "status_changed_by", "note"} - set(
         spark.read.parquet(table).columns
     )
@@ -61,3 +87,19 @@ def delete_stored(spark: SparkSession, table: str, ids: Ids) -> None:
     if not isinstance(ids, DataFrame):
         ids = list(ids)
     rewrite_days(spark, table, _days_of(spark, table, ids), lambda rows: delete_many(rows, ids))
+
+
+def clear_stored(
+    spark: SparkSession,
+    table: str,
+    log: str | None = None,
+    levels: filters.Values = None,
+    channels: filters.Values = None,
+    statuses: filters.Values = None,
+) -> None:
+    """Deletes the matching entries from the table, by their status as the change log has it now."""
+    rows = current_entries(spark, table, log) if log else read_entries(spark, table)
+    ids = scratch_path(spark, "cleared")
+    rows.where(clear_condition(levels, channels, statuses)).select("id").write.parquet(ids)
+    delete_stored(spark, table, spark.read.parquet(ids))
+    drop_path(spark, ids)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logsluice.functions.bounds import resolve_range
 from logsluice.operators.filters import apply_filters
 from logsluice.operators.paging import (
+    COUNT_CAP,
     after_cursor,
     clamp_per_page,
     count_up_to,
@@ -17,6 +18,7 @@ from logsluice.operators.paging import (
     page_meta,
     read_cursor,
 )
+from logsluice.plans.changes import current_entries
 from logsluice.schema import as_utc
 from logsluice.sources.entries import read_entries, stored_days
 
@@ -44,11 +46,15 @@ def list_table(
     per_page: int | None = None,
     cursor: str | None = None,
     wide: bool = True,
+    log: str | None = None,
     **params,
 ) -> Listing:
-    """The same on a stored table, reading only the days that can matter."""
-    low, high = _time_range(cursor, params)
-    return list_entries(read_entries(spark, path, low, high), per_page, cursor, wide, **params)
+    """The same on a stored table, in as few of its newest days as the page and its count need.
+
+    With ``log`` entries have the status that the change log gives them.
+    """
+    rest = _newest_rest(spark, path, cursor, COUNT_CAP + 1, log, params)
+    return Listing(page(rest, per_page, cursor, wide), page_meta(rest, per_page, cursor))
 
 
 def newest_page(
@@ -57,13 +63,22 @@ def newest_page(
     per_page: int | None = None,
     cursor: str | None = None,
     wide: bool = True,
+    log: str | None = None,
     **params,
 ) -> DataFrame:
-    """The page of a stored table, found in as few of its newest days as hold it.
+    """Only the page of :func:`list_table`, which may open fewer days still."""
+    size = clamp_per_page(per_page)
+    return page(_newest_rest(spark, path, cursor, size, log, params), per_page, cursor, wide)
+
+
+def _newest_rest(
+    spark: SparkSession, path: str, cursor: str | None, wanted: int, log: str | None, params: dict
+) -> DataFrame:
+    """The filtered entries of the newest days that hold ``wanted`` rows after the cursor.
 
-    Days are added until they have the rows of one page; each look is a small
-    job, and each adds four times the days of the one before. Older days
-    cannot come into the page, so they are never opened.
+    Days are added until they do; each look is a small job, and each adds four times
+    the days of the one before. Older days cannot come first, so they are never
+    opened.
     """
     low, high = _time_range(cursor, params)
     days = sorted(
@@ -74,15 +89,16 @@ def newest_page(
         ),
         reverse=True,
     )
-    size, span = clamp_per_page(per_page), 1
+    span = 1
     while True:
         since = low
         if span < len(days):
             since = datetime.combine(days[span - 1], time(), timezone.utc)
             since = since if low is None else max(since, low)
-        rest = apply_filters(read_entries(spark, path, since, high), **params)
-        if span >= len(days) or count_up_to(after_cursor(rest, cursor), size)[0] == size:
-            return page(rest, per_page, cursor, wide)
+        rows = current_entries(spark, path, log, since, high) if log else read_entries(spark, path, since, high)
+        rest = apply_filters(rows, **params)
+        if span >= len(days) or count_up_to(after_cursor(rest, cursor), wanted)[0] == wanted:
+            return rest
         span *= 4
 
 

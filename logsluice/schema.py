@@ -20,6 +20,7 @@ BUILT_IN_STATUSES = (
     ("ignored", "Ignored", "slate", True),
 )
 
+# The columns of an entry, those of a listing, and the sizes at which texts are cut.
 ENTRY_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType(), False),

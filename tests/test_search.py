@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 from logsluice.operators import search as s
 
 MESSAGES = [
-    "alpha bravo skipped: driver location stale",
-    "alpha bravo skipped: driver",
-    "alpha bravo skipped:",
-    "alpha only",
-    "bravo skipped: driver but no alpha",
-    "completely unrelated content here",
+    "harbour crane delayed: rope worn through",
+    "harbour crane delayed: rope",
+    "harbour crane delayed:",
+    "harbour alone",
+    "crane delayed: rope without the first word",
+    "nothing of all that",
 ]
 
 
@@ -29,17 +29,17 @@ def rows(spark):
         ("error", [("any", "error", False)]),
         ("message:error", [("message", "error", False)]),
         ("-message:debug", [("message", "debug", True)]),
-        ('message:"user logged in"', [("message", "user logged in", False)]),
+        ('message:"parcel handed over"', [("message", "parcel handed over", False)]),
         ('-message:"a b"', [("message", "a b", True)]),
         ("message:error level:warning", [("message", "error", False), ("level", "warning", False)]),
-        ("message:error something", [("message", "error", False), ("any", "something", False)]),
-        ("unknownfield:value", [("any", "unknownfield:value", False)]),
-        ("-unknown:value", [("any", "-unknown:value", False)]),
+        ("message:error whatever", [("message", "error", False), ("any", "whatever", False)]),
+        ("nosuchfield:thing", [("any", "nosuchfield:thing", False)]),
+        ("-nosuch:thing", [("any", "-nosuch:thing", False)]),
         ("MESSAGE:x", [("message", "x", False)]),
         ("-debug", [("any", "debug", True)]),
         ("-", [("any", "-", False)]),
         ('-"a b"', [("any", '"a', True), ("any", 'b"', False)]),
-        ("skipped: x", [("any", "skipped:", False), ("any", "x", False)]),
+        ("delayed: x", [("any", "delayed:", False), ("any", "x", False)]),
         ("user_id:0", [("user_id", "0", False)]),
         ("  ", []),
     ],
@@ -51,8 +51,8 @@ def test_terms(text, terms):
 @pytest.mark.parametrize(
     "value, structured",
     [
-        ("alpha bravo skipped: driver", False),
-        ("skipped:", False),
+        ("harbour crane delayed: rope", False),
+        ("delayed:", False),
         ("foo:bar", False),
         ("a-b", False),
         ("foo -bar", True),
@@ -69,10 +69,10 @@ def test_is_structured(value, structured):
 @pytest.mark.parametrize(
     "value",
     [
-        "alpha bravo skipped: driver",
-        "alpha bravo",
+        "harbour crane delayed: rope",
+        "harbour crane",
         "level:error message:payment",
-        '"alpha bravo skipped: driver"',
+        '"harbour crane delayed: rope"',
         "foo -bar",
         "source:x",
         "user_id:7",
@@ -95,9 +95,9 @@ def ids(rows, condition):
 
 
 def test_matches(rows):
-    assert ids(rows, s.search([{"value": "alpha bravo skipped: driver"}])) == ["0", "1"]
-    assert ids(rows, s.search([{"value": "alpha skipped:"}])) == []
-    two = [{"value": "alpha"}, {"value": "driver", "exclude": True}]
+    assert ids(rows, s.search([{"value": "harbour crane delayed: rope"}])) == ["0", "1"]
+    assert ids(rows, s.search([{"value": "harbour delayed:"}])) == []
+    two = [{"value": "harbour"}, {"value": "rope", "exclude": True}]
     assert ids(rows, s.search(two)) == ["2", "3"]
     assert ids(rows, s.search([{"value": "PAYMENT"}])) == ["8"]
     assert ids(rows, s.search([{"value": "user_id:7"}])) == ["8"]
@@ -116,5 +116,5 @@ def test_wildcards_and_backslashes(rows):
 
 
 def test_regex(rows):
-    assert ids(rows, s.regex_term("any", "^ALPHA (bravo|only)$")) == ["3"]
-    assert ids(rows, s.search_text("-message:^alpha source:x", regex=True)) == ["8"]
+    assert ids(rows, s.regex_term("any", "^HARBOUR (crane|alone)$")) == ["3"]
+    assert ids(rows, s.search_text("-message:^harbour source:x", regex=True)) == ["8"]

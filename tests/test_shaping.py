@@ -215,11 +215,11 @@ def test_attach_request(spark):
     [
         ("client returned 503", None, None, True),
         ("x", "app", '{"_internal": true}', False),
-        ("Account account-42 is deprecated for billing", None, None, True),
-        ("strpos(): Passing null to parameter #1 is deprecated", "deprecations", None, False),
+        ("Tariff winter-7 is deprecated since May", None, None, True),
+        ("The second argument of trim_all is deprecated", "deprecations", None, False),
         ("a deprecation", "php-deprecations", None, False),
         ("feature flag x is deprecated", "application", None, True),
-        ("strpos(): x is deprecated in /vendor/file.php on line 42", None, None, False),
+        ("trim_all: y is deprecated in /vendor/tools.php on line 9", None, None, False),
         ("x IS DEPRECATED on line 42", None, None, True),
         ("_internal in the message", "app", "{}", True),
     ],
