@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.session import scratch_path
+from logsluice.session import drop_path, scratch_path
 
 # The white space of the contracts, [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -34,6 +34,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame | None) -> None:
+    """Removes tables that ``stored`` wrote, once all that is made of them is stored, too."""
+    for df in frames:
+        if df is not None:
+            for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+                drop_path(df.sparkSession, folder)
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

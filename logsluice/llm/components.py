@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import stored
+from logsluice.llm.common import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        last, edges = edges, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        forget(last)
         # Stars are what is wanted: each node has one link, to a node that has none upwards.
         parents = edges.groupBy(F.col("a").alias("p")).agg(F.count(F.lit(1)).alias("n"))
         chained = edges.join(parents, edges["b"] == parents["p"], "left_semi").select(F.lit(1).alias("x"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import pick, stored
+from logsluice.llm.common import forget, pick, stored
 from logsluice.llm.components import components
 from logsluice.llm.hashing import Slice, mix, shingles, text_slices, words_of
 
@@ -27,11 +27,11 @@ TOP = 7  # the class of large sets: all 128 registers in one pass
 # Estimates below this are not verified: over five standard errors under the threshold.
 ESTIMATE = 0.55
 # Hubs of a group after the first round, and rounds at most.
-HUBS = 4
+HUBS = 2
 STAR_ROUNDS = 8
 # Stars end with a round that joins less than this share of what the first one joined.
 LAST_SHARE = 0.02
-BLOCK = 256
+BLOCK = 2048
 
 _random = np.random.Generator(np.random.PCG64(1))
 SEEDS = _random.integers(1, 2**63, REGISTERS, dtype=np.uint64)
@@ -245,16 +245,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(key: tuple, rows: pa.Table) -> pa.Table:
-    """Likely pairs of one pair of blocks of a band's rows, of different components."""
-    table = {n: rows[n].to_numpy() for n in ("rep", "component", "kind", "n", "block")}
+    """Likely pairs of different components between the two sides of a block."""
+    table = {n: rows[n].to_numpy() for n in ("rep", "component", "kind", "n", "side")}
     regs, low = _registers(rows["regs"]), _registers(rows["low"])
-    left = np.flatnonzero(table["block"] == key[1].as_py())
-    right = np.flatnonzero(table["block"] == key[2].as_py())
+    right = np.flatnonzero(table["side"] == 1)
     found: list[np.ndarray] = []
-    for i in left:
-        j = right[(table["component"][right] != table["component"][i]) & (table["rep"][right] > table["rep"][i])]
-        if key[1].as_py() != key[2].as_py():
-            j = right[table["component"][right] != table["component"][i]]
+    for i in np.flatnonzero(table["side"] == 0):
+        j = right[table["component"][right] != table["component"][i]]
         j = j[np.abs(table["kind"][j] - table["kind"][i]) <= 1]
         if not len(j):
             continue
@@ -322,8 +319,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. Classes with an equal band key form a group. A group's rows are paired with its
        smallest member (a star, not all pairs), the pairs are estimated from the
        registers, and each class has its likeliest link confirmed on full sets.
-    3. Where a group's rows still lie in different components, stars are drawn again
-       from HUBS other members and all their likely links are confirmed, as long as that
+    3. Where rows of a group that had likely partners still lie in different components,
+       stars are drawn again from HUBS other members and all their likely links are confirmed, as long as that
        joins much (at most STAR_ROUNDS times). Then rows of a group that
        lie in different components are compared in blocks of registers, all that
        is left to compare; likely pairs are confirmed. So no pair that shares a band is
@@ -358,9 +355,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = groups.select("rep").distinct()
     labels = stored(nodes.select("rep", F.col("rep").alias("component")), "labels")
     sets = stored_sets(base, nodes)
-    first = 0
+    first, stars = 0, groups
     for turn in range(STAR_ROUNDS):
-        found = stored(likely(_star_pairs(groups, labels, turn), sketches), "likely")
+        found = stored(likely(_star_pairs(stars, labels, turn), sketches), "likely")
+        # Later stars are drawn among the classes that had a likely partner.
+        ends = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        stars = stored(stars.join(ends, "rep"), "stars")
         if turn == 0:
             # Each class tries its likeliest link; what that does not join comes up again.
             both = found.select(F.col("a").alias("x"), "a", "b", "guess").unionByName(
@@ -378,6 +378,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("component_id")
     )
     found = stored(found.groupBy("__id").agg(F.min("component_id").alias("component_id")), "components")
+    forget(same, member, sketches, groups, stars, sets, labels)
     id_of = F.coalesce(F.col("component_id"), F.col("doc_id"))
     return rows.join(found, rows["doc_id"] == found["__id"], "left").select(
         "doc_id", "n_shingles", id_of.alias("component_id"), F.col("doc_id").eqNullSafe(id_of).alias("kept")
@@ -394,21 +395,35 @@ def stored_sets(base: DataFrame, nodes: DataFrame) -> DataFrame:
 def _left_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, smallest: int) -> DataFrame:
     """Likely pairs across components in groups that the stars did not join, by pairs of blocks.
 
-    Groups under ``smallest`` need none: a pair is a star.
+    Of a group, only the rows outside its largest component are compared with the others, so a
+    group that is joined but for a few rows costs a few comparisons a row. Both sides
+    are cut into blocks of about BLOCK rows. Groups under ``smallest`` need none: a
+    pair is a star.
     """
     placed = groups.join(labels, "rep")
-    wide = placed.groupBy("band").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    wide = parts.groupBy("band").agg(
+        F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
     )
-    wide = stored(wide.where((F.col("c0") != F.col("c1")) & (F.col("rows") >= smallest)).select("band", "rows"), "left-groups")
-    blocks = F.ceil(F.col("rows") / BLOCK)
-    rows = placed.join(wide, "band").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
-    rows = (
-        rows.withColumn("with", other)
-        .withColumn("i", F.least("block", "with"))
-        .withColumn("j", F.greatest("block", "with"))
-        .join(sketches.select("rep", "kind", F.col("n_shingles").alias("n"), "regs", "low"), "rep")
-        .select("band", "i", "j", "block", "rep", "component", "kind", "n", "regs", "low")
+    wide = wide.where((F.col("parts") > 1) & (F.col("rows") >= smallest))
+    others = (F.col("rows") - F.col("top.n")).alias("others")
+    wide = stored(wide.select("band", "rows", others, F.col("top.component").alias("largest")), "left-groups")
+    rows = placed.join(wide, "band").withColumns(
+        {
+            "lefts": F.ceil(F.col("others") / BLOCK).cast("int"),
+            "rights": F.ceil(F.col("rows") / BLOCK).cast("int"),
+            "h": F.xxhash64("rep"),
+        }
     )
-    return rows.groupBy("band", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    columns = ["band", "i", "j", "side", "rep", "component"]
+    left = rows.where(F.col("component") != F.col("largest")).withColumn("i", F.pmod("h", "lefts").cast("int"))
+    left = left.withColumn("j", every("rights")).withColumn("side", F.lit(0)).select(*columns)
+    right = rows.withColumn("j", F.pmod("h", "rights").cast("int"))
+    right = right.withColumn("i", every("lefts")).withColumn("side", F.lit(1)).select(*columns)
+    held = sketches.select("rep", "kind", F.col("n_shingles").alias("n"), "regs", "low")
+    blocks = left.unionByName(right).join(held, "rep")
+    return blocks.groupBy("band", "i", "j").applyInArrow(_across, "a long, b long").distinct()
