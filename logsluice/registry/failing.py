@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logsluice.operators import failures as fl
 from logsluice.registry.base import LATE, NOW, entries, entries_query, query
 from logsluice.session import scratch_path
-from logsluice.sources.entries import append_entries, read_entries
+from logsluice.sources.entries import append_entries, read_entries, rejects_path
 
 # Error entries seen as failed writes at seven throw sites.
 _FAILURES = """, fa AS (SELECT id, occurred_at AS "at", concat('E', right(source, 5)) AS class, source AS file, 1 AS line,
@@ -172,3 +172,20 @@ def _append(spark, sf_dir):
         F.when(~fallback, F.col("id")).alias("id"), "level", "message", "channel", "context",
         "occurred_at",
     )
+
+
+@query(
+    "append_keeps_rejects",
+    """SELECT level, count(*) FILTER (WHERE level <> 'info') AS stored, count(*) FILTER (WHERE level = 'info') AS rejected
+    FROM le GROUP BY level""",
+)
+def _rejects(spark, sf_dir):
+    le = entries(spark, sf_dir)
+    broken = le.withColumn("message", F.when(F.col("level") != "info", F.col("message")))
+    path = scratch_path(spark, "appended")
+    append_entries(broken, path, NOW)
+    fallback = F.coalesce(F.contains("context", F.lit("_write_failure")), F.lit(False))
+    good = read_entries(spark, path).where(~fallback).select("level", F.lit(1).alias("s"), F.lit(0).alias("r"))
+    bad = spark.read.parquet(rejects_path(path)).select("level", F.lit(0).alias("s"), F.lit(1).alias("r"))
+    both = good.unionByName(bad).groupBy("level")
+    return both.agg(F.sum("s").alias("stored"), F.sum("r").alias("rejected"))

@@ -158,6 +158,15 @@ def _pivot_ip(le):
     return f.pivot(le, "ip_address", "10.2.", ("2024-01-10", None)).select(*_SELECT)
 
 
+@entries_query(
+    "pivot_trace",
+    f"SELECT {_COLUMNS} FROM le WHERE status='open' AND starts_with(trace_id, 'c') "
+    "AND occurred_at >= TIMESTAMP '2024-01-10 00:00:00'",
+)
+def _pivot_trace(le):
+    return f.pivot(le, "trace_id", "c", ("2024-01-10", None)).select(*_SELECT)
+
+
 @entries_query("pivot_user_all_statuses", f"SELECT {_COLUMNS} FROM le WHERE user_id = 23")
 def _pivot_user(le):
     return f.pivot(le, "user_id", 23, all_statuses=True).select(*_SELECT)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
+from logsluice.operators.stats import stats_of_quarters
 from logsluice.schema import to_instant, to_wall
 from logsluice.plans.capture import dedupe_capture
 from logsluice.registry.base import ENTRIES_SQL, LATE, NOW, query
@@ -12,7 +15,7 @@ from logsluice.session import scratch_path
 from logsluice.sources.entries import read_entries
 from logsluice.streaming.heartbeat import heartbeat_stream
 from logsluice.streaming.ingest import ingest_stream
-from logsluice.streaming.stats import stats_stream
+from logsluice.streaming.stats import stats_quarters_stream, stats_stream
 
 
 def entries_stream(spark, sf_dir):
@@ -80,6 +83,36 @@ def _stats(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(
+    "stats_stream_later",
+    """SELECT level, count(*) AS total,
+      count(*) FILTER (WHERE occurred_at >= TIMESTAMP '2024-01-29 00:00:00') AS today,
+      count(*) FILTER (WHERE occurred_at >= TIMESTAMP '2024-01-29 13:00:00') AS this_hour
+    FROM le GROUP BY level""",
+)
+def _stats_later(spark, sf_dir):
+    out = scratch_path(spark, "quarters")
+    _finish(
+        stats_quarters_stream(entries_stream(spark, sf_dir))
+        .writeStream.outputMode("complete")
+        .foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(out)),
+        scratch_path(spark, "checkpoint"),
+    )
+    return stats_of_quarters(spark.read.parquet(out), datetime(2024, 1, 29, 13, 20, tzinfo=timezone.utc))
+
+
+@query(
+    "ingest_without_ids",
+    """SELECT level, count(*) AS rows FROM le WHERE channel IS NULL OR channel <> 'deprecations' GROUP BY level""",
+)
+def _ingest_without_ids(spark, sf_dir):
+    path = scratch_path(spark, "ingested")
+    own = F.when(F.right("id", F.lit(1)) == "7", F.col("id"))
+    rows = entries_stream(spark, sf_dir).withColumn("id", own)
+    ingest_stream(rows, path, scratch_path(spark, "checkpoint"), NOW, mode="queue").awaitTermination()
+    return read_entries(spark, path).groupBy("level").agg(F.count_distinct("id").alias("rows"))
+
+
 @query(
     "stats_stream_windows",
     """SELECT date_trunc('day', occurred_at) AS window_start, date_trunc('day', occurred_at) + INTERVAL 1 DAY AS window_end,

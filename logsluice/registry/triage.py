@@ -183,6 +183,14 @@ def _prune_count(le):
     return retention.prune_preview(le, NOW, 15).total
 
 
+@entries_query(
+    "prune_preview_by_level",
+    "SELECT upper(level) AS level, count(*) AS count FROM le WHERE occurred_at < TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1",
+)
+def _prune_by_level(le):
+    return retention.prune_preview(le, NOW, 15).by_level
+
+
 @query(
     "prune_table",
     "SELECT id, level, occurred_at FROM le WHERE occurred_at >= TIMESTAMP '2024-01-20 12:30:00'",

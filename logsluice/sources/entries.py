@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from logsluice.operators.failures import as_failures, fallback_rows, split_valid
 from logsluice.operators.prepare import conform, prepare_entries
 from logsluice.schema import as_utc, instant, time_type
-from logsluice.session import drop_path, scratch_path
+from logsluice.session import drop_path, path_exists
 
 DAY = "date"
 # Columns looked up by whole values; bloom filters let readers skip row groups.
@@ -134,39 +134,69 @@ def rewrite_days(
 ) -> None:
     """Replaces the rows of some days by what ``change`` makes of them.
 
-    The new rows are written to the shared folder first, as a table cannot be
-    overwritten while it is read. Every step can be repeated, so a rewrite
-    that failed is simply run again; should the exchange of the files itself be
-    cut short, the copy still has the rows.
+    A table cannot be overwritten while it is read, so the new rows are written beside it
+    first, then a list of the folders they replace. Only then the exchange begins. One
+    that was cut short is finished from these by the next rewrite of the table,
+    so no row is lost; run the rewrite again. One rewrite of a table runs at a time, and
+    readers may see some of its days changed and others not yet.
     """
+    finish_rewrite(spark, path)
     days = sorted(days)
     if not days:
         return
     stored = spark.read.parquet(path).where(F.col(DAY).isin(days))
     parts = [c for c in (DAY, "batch") if c in stored.columns]
-
-    def folders(rows: DataFrame) -> set[str]:
-        # No more than the folder listing.
-        found = rows.select(*parts).distinct().collect()
-        return {"/".join(f"{c}={r[c]}" for c in parts) for r in found}
-
-    before = folders(stored)
-    copy = scratch_path(spark, "rewrite")
-    change(stored).write.parquet(copy)
-    rows = spark.read.parquet(copy)
-    after = folders(rows)
-    if after:
-        (
-            entry_writer(rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "occurred_at", "id"))
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts)
-            .parquet(path)
-        )
-    # Folders in which nothing is left are not touched by the write.
-    for folder in before - after:
-        drop_path(spark, f"{path}/{folder}")
-    drop_path(spark, copy)
+    before = _folders(stored, parts)
+    if not before:
+        return
+    beside = _beside(path)
+    change(stored).write.mode("overwrite").parquet(f"{beside}/rows")
+    told = spark.createDataFrame([(f, ",".join(parts)) for f in sorted(before)], "folder string, parts string")
+    told.coalesce(1).write.mode("overwrite").parquet(f"{beside}/replaced")
+    finish_rewrite(spark, path)
+
+
+def _beside(path: str) -> str:
+    return f"{path.rstrip('/')}-rewrite"
+
+
+def _folders(rows: DataFrame, parts: list[str]) -> set[str]:
+    # No more than the folder listing.
+    found = rows.select(*parts).distinct().collect()
+    return {"/".join(f"{c}={r[c]}" for c in parts) for r in found}
+
+
+def finish_rewrite(spark: SparkSession, path: str) -> None:
+    """Puts the rows of a prepared rewrite in place, if there is one. Can be repeated."""
+    beside = _beside(path)
+    if path_exists(spark, f"{beside}/replaced/_SUCCESS"):
+        replaced = spark.read.parquet(f"{beside}/replaced").collect()
+        parts = replaced[0]["parts"].split(",")
+        rows = spark.read.parquet(f"{beside}/rows")
+        after = _folders(rows, parts)
+        if after:
+            (
+                entry_writer(rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "occurred_at", "id"))
+                .mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*parts)
+                .parquet(path)
+            )
+        # Folders in which nothing is left are not touched by the write.
+        for folder in sorted({r["folder"] for r in replaced} - after):
+            drop_path(spark, f"{path}/{folder}")
+        # The list goes first: without it there is nothing to finish.
+        drop_path(spark, f"{beside}/replaced")
+    drop_path(spark, beside)
+
+
+def compact_days(spark: SparkSession, path: str, days: Iterable[date]) -> None:
+    """Merges the batch folders of some days into one folder each.
+
+    For days that no running stream will replay a micro-batch into.
+    """
+    if "batch" in spark.read.parquet(path).columns:
+        rewrite_days(spark, path, days, lambda rows: rows.withColumn("batch", F.lit("compact")))
 
 
 def storable(good: DataFrame, bad: DataFrame, now: datetime, where: str = "append") -> DataFrame:
