@@ -245,7 +245,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(key: tuple, rows: pa.Table) -> pa.Table:
-    """Likely pairs of different components between the two sides of a block."""
+    """Likely pairs of different components between the two sides of a block.
+
+    A pair that shares several bands is made in the first of them only.
+    """
+    band = np.array([key[0].as_py()], np.int64).view(np.uint64)[0]
     table = {n: rows[n].to_numpy() for n in ("rep", "component", "kind", "n", "side")}
     regs, low = _registers(rows["regs"]), _registers(rows["low"])
     right = np.flatnonzero(table["side"] == 1)
@@ -258,6 +262,15 @@ def _across(key: tuple, rows: pa.Table) -> pa.Table:
         ki, kj = table["kind"][i], table["kind"][j]
         a = np.where((kj < ki)[:, None], low[i][None, :], regs[i][None, :])
         b = np.where((kj > ki)[:, None], low[j], regs[j])
+        # Which band of which class this group is, for the left row.
+        places = [(c, np.flatnonzero(bands(r[i : i + 1], c)[0] == band)) for r, c in ((regs, ki), (low, ki - 1))]
+        here, place = next(((c, p[0]) for c, p in places if len(p)), (-1, -1))
+        shared = ((a == b) & (a != EMPTY)).reshape(len(j), BANDS, ROWS_OF_BAND).all(axis=2)
+        first = (np.minimum(ki, kj) == here) & (shared.argmax(axis=1) == place)
+        mine = first | ~shared.any(axis=1)
+        j, kj, a, b = j[mine], kj[mine], np.broadcast_to(a, b.shape)[mine], b[mine]
+        if not len(j):
+            continue
         n_i = np.full(len(j), table["n"][i])
         good = j[estimate(a, b, n_i, table["n"][j], np.minimum(ki, kj)) >= ESTIMATE]
         x, y = np.full(len(good), table["rep"][i]), table["rep"][good]
