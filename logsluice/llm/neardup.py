@@ -259,12 +259,17 @@ def _across(key: tuple, rows: pa.Table) -> pa.Table:
         j = j[np.abs(table["kind"][j] - table["kind"][i]) <= 1]
         if not len(j):
             continue
-        ki, kj = table["kind"][i], table["kind"][j]
+        ki, kj = int(table["kind"][i]), table["kind"][j]
         a = np.where((kj < ki)[:, None], low[i][None, :], regs[i][None, :])
         b = np.where((kj > ki)[:, None], low[j], regs[j])
         # Which band of which class this group is, for the left row.
-        places = [(c, np.flatnonzero(bands(r[i : i + 1], c)[0] == band)) for r, c in ((regs, ki), (low, ki - 1))]
-        here, place = next(((c, p[0]) for c, p in places if len(p)), (-1, -1))
+        places = [
+            (c, np.flatnonzero(bands(r[i : i + 1], c)[0] == band)) for r, c in ((regs, ki), (low, ki - 1)) if c >= 0
+        ]
+        at = [(c, p[0]) for c, p in places if len(p)]
+        if not at:
+            raise ValueError(f"row {table['rep'][i]} is in the group of a band that it does not have")
+        here, place = at[0]
         shared = ((a == b) & (a != EMPTY)).reshape(len(j), BANDS, ROWS_OF_BAND).all(axis=2)
         first = (np.minimum(ki, kj) == here) & (shared.argmax(axis=1) == place)
         mine = first | ~shared.any(axis=1)

@@ -58,6 +58,35 @@ def test_blocks_alone_find_all(spark, monkeypatch):
     check([r for r in near_duplicates(docs).collect()], texts)
 
 
+def test_blocks_alone_find_all_of_large_sets(spark, monkeypatch):
+    """Classes 5 to 7, and neighbouring ones; every pair is one that shares bands."""
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    texts = {}
+    for k, size in enumerate((150, 300, 800)):
+        texts |= {100 * k + i: sentence(i % 3 + 10 * k, size + i % 4) for i in range(20)}
+    # Either side of 256 and of 512 shingles.
+    texts |= {400 + i: sentence(40, 250 + i) for i in range(20)}
+    texts |= {500 + i: sentence(50, 500 + 2 * i) for i in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(near_duplicates(docs).collect(), texts)
+
+
+def test_a_row_without_the_band_of_its_group_is_an_error():
+    import pyarrow as pa
+    import pytest
+
+    registers = np.arange(2 * neardup.REGISTERS, dtype=np.uint16).reshape(2, -1).copy()
+    registers[1] = registers[0]
+    rows = {"rep": [1, 2], "component": [1, 2], "n": [600, 600], "regs": [r.tobytes() for r in registers]}
+    types = {"kind": pa.array([7, 7], pa.int32()), "side": pa.array([0, 1], pa.int32()), "low": pa.nulls(2, pa.binary())}
+    table = pa.table(rows | types)
+    band = int(neardup.bands(registers[:1], 7)[0][0:1].view(np.int64)[0])
+    assert neardup._across((pa.scalar(band),), table).to_pylist() == [{"a": 1, "b": 2}]
+    with pytest.raises(ValueError, match="row 1 "):
+        neardup._across((pa.scalar(band ^ 1),), table)
+
+
 def test_odd_rows(odd, nothing):
     found = near_duplicates(odd).collect()
     assert len(found) == 13
