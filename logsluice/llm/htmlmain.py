@@ -206,13 +206,19 @@ class Page:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, content, tree): each candidate of a page with the hash of its main text; one row of a page has no tree."""
     for batch in batches:
-        hosts, values = [], []
+        hosts, contents, values = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = Page(source.as_py()).candidates()
+            page = Page(source.as_py())
+            found = [None, *page.candidates()]
             values += found
             hosts += [host] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(values, pa.int64())], ["host", "tree"])
+            contents += [xxhash.xxh3_64(page.main_text(frozenset()).encode()).intdigest() - (1 << 63)] * len(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(values, pa.int64())],
+            ["host", "content", "tree"],
+        )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,16 +237,20 @@ def host_of(url: Column) -> Column:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, tree) of the element subtrees that recur across many pages of a host.
+    """(host, tree) of the element subtrees that recur across many different pages of a host.
 
-    Every page tells each of its subtrees once; they are counted by host and hash, with
-    partial sums before the shuffle, so a large host is spread over its subtrees.
+    Pages with the same main text (of the article, where one is marked) are copies and count once,
+    in the pages of a host as in those of a subtree: a page's own content is no template,
+    however often the page stands there. Every page tells each of its subtrees once; they are made
+    distinct by content and counted by host and hash, with partial sums before each shuffle, so a
+    large host is spread over its subtrees.
     """
     base = pages.select(host_of(F.col("url")).alias("host"), "html").where("host IS NOT NULL AND html IS NOT NULL")
-    sizes = base.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    counts = base.mapInArrow(_subtrees, "host string, tree long").groupBy("host", "tree").count()
+    told = base.mapInArrow(_subtrees, "host string, content long, tree long").distinct()
+    counts = stored(told.groupBy("host", "tree").count().where(F.col("count") >= min_pages), "subtree-counts")
+    sizes = counts.where("tree IS NULL").select("host", F.col("count").alias("pages"))
     return (
-        counts.where(F.col("count") >= min_pages)
+        counts.where("tree IS NOT NULL")
         .join(sizes, "host")
         .where(F.col("count") >= F.col("pages") * min_share)
         .select("host", "tree")
@@ -255,9 +265,9 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     footer, aside, form, script, style, ...), elements whose class, id or role
     names them so (menus, adverts, notices, comments, ...), hidden ones, everything
     beside the article where one is marked, and site templates: subtrees of
-    container elements that recur on at least ``min_pages`` pages and
-    ``min_share`` of the pages of the host. A repeated paragraph of an
-    article is no template. Of a host at most 1 / min_share subtrees a page can recur so
+    container elements that recur on at least ``min_pages`` different pages and
+    ``min_share`` of the different pages of the host; copies of a page, those with the same
+    main text, are one. A repeated paragraph of an article is no template. Of a host at most 1 / min_share subtrees a page can recur so
     often, so the list that joins a page is bounded.
 
     A null html, or one without text, gives an empty text. A null url or one without a

@@ -71,6 +71,27 @@ def test_templates_recur_on_a_host(spark):
         assert got[200 + i] == f"Alone {i} Read more of our stories"  # on one page of each host only
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div><p>Own words</p></div><p>more</p>{}</body>",
+        "<article><div><p>Own words</p></div><p>more</p></article>{}",
+        "<main><section><p>Own words</p></section><p>more</p></main>{}",
+    ],
+)
+def test_copies_of_a_page_are_one_page(spark, page):
+    box = "<div><p>Read more of our stories</p></div>"
+    rows = [(i, f"http://a.example/{i}", page.format(""), "x", "x", "x") for i in range(10)]
+    # On this host the copies stand among other pages, and what does recur is found still.
+    rows += [(100 + i, f"http://b.example/{i}", page.format(box), "x", "x", "x") for i in range(10)]
+    for i in range(12):
+        source = f"<body><div><p>Text {i}</p></div>{box}</body>"
+        rows.append((200 + i, f"http://b.example/n{i}", source, "x", "x", "x"))
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == got[100 + i] == "Own words more" for i in range(10))
+    assert all(got[200 + i] == f"Text {i}" for i in range(12))
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None, "<p>a</p>", "x", "x", "x"),
