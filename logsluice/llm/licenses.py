@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -174,6 +176,9 @@ def find(index: Index, text: np.ndarray, template: int, hits: list[tuple[int, in
 
     Hits (word of the text, word of the template) on diagonals within the band of
     each other, and no farther apart than the template is long, make one candidate region.
+    The best match of all regions is taken; then the words left and right of it are aligned
+    again, in its region and in each that overlaps it, until nothing reaches ``least``. So
+    short notices in a row, which share a region, are found each.
     """
     words, found = index.words[template], []
     hits = sorted(hits, key=lambda h: (h[0] - h[1], h[0]))
@@ -184,17 +189,37 @@ def find(index: Index, text: np.ndarray, template: int, hits: list[tuple[int, in
             regions[-1][1] = max(regions[-1][1], at)
         else:
             regions.append([diagonal, at])
+    waiting: list[tuple] = []
+    taken: list[tuple[int, int]] = []  # sorted
+
+    def look(diagonal: int, low: int, high: int) -> None:
+        """Puts the best match among the words low .. high - 1 on the heap, if one is left there."""
+        parts = [(low, high)]
+        while parts:
+            low, high = parts.pop()
+            if high - low < least * len(words):
+                continue
+            _, matched, first, end = align(words, text[low:high], diagonal - low)
+            if matched >= least * len(words):
+                heapq.heappush(waiting, (-matched / len(words), low + first, low + end, diagonal, low, high))
+            elif matched:
+                parts += [(low, low + first), (low + end, high)]
+
     for diagonal, _ in regions:
         low = max(0, diagonal - BAND)
-        part = text[low : max(0, diagonal) + len(words) + 2 * BAND]
-        _, matched, first, end = align(words, part, diagonal - low)
-        if matched >= least * len(words):
-            found.append((matched / len(words), low + first, low + end))
-    kept: list[tuple] = []
-    for match in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-        if all(match[1] >= k[2] or match[2] <= k[1] for k in kept):
-            kept.append(match)
-    return sorted(kept, key=lambda m: m[1])
+        look(diagonal, low, min(len(text), max(0, diagonal) + len(words) + 2 * BAND))
+    while waiting:
+        coverage, first, end, diagonal, low, high = heapq.heappop(waiting)
+        near = taken[max(0, bisect_left(taken, (low, low)) - 1) : bisect_left(taken, (high, high))]
+        if all(b <= first or end <= a for a, b in near):
+            insort(taken, (first, end))
+            found.append((-coverage, first, end))
+            near = sorted([*near, (first, end)])
+        for a, b in near:
+            look(diagonal, low, min(a, high))
+            low = max(low, b)
+        look(diagonal, low, high)
+    return sorted(found, key=lambda m: m[1])
 
 
 MATCHES = (

@@ -40,6 +40,25 @@ def test_edits_and_repeats(spark):
     assert not [r for r in scan(spark, [(1, cut)]) if r["license"] == "ISC"]
 
 
+def test_short_notices_in_a_row_are_found_each(spark):
+    for name, notice in [(n, t) for n, wordings in TEMPLATES.items() for t in wordings if len(t.split()) < 12]:
+        texts, want = [], {}
+        for doc, (times, between) in enumerate([(2, ""), (3, ""), (3, "one "), (3, "one two "), (7, "one two three ")]):
+            texts.append((doc, ("x " + (notice + " " + between) * times + "y")))
+            want[doc] = [2 + i * len(notice + " " + between) for i in range(times)]
+        found = [r for r in scan(spark, texts) if r["license"] == name and r["n_words"] < 15]
+        assert {d: sorted(r["start"] for r in found if r["doc_id"] == d) for d in want} == want
+        assert all(r["coverage"] == 1.0 for r in found)
+
+
+def test_parts_beside_a_match_are_aligned_again():
+    """A notice with a word left out stands between whole ones; the best match is taken first."""
+    index = build_index({"X": ["a b c d e f g h"]})
+    text = licenses._words(["a b c d f g h a b c d e f g h a b c e f g h z"]).hashes
+    row = [(int(at), int(place)) for at in range(len(text)) for place in range(8) if text[at] == index.words[0][place]]
+    assert licenses.find(index, text, 0, row, 0.75) == [(0.875, 0, 7), (1.0, 7, 15), (0.875, 15, 22)]
+
+
 def test_candidates_lose_nothing_that_alignment_alone_finds(spark):
     """All texts of a given table, each template aligned over the whole text without index or band."""
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
