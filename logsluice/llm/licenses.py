@@ -20,7 +20,7 @@ BAND = 8
 MIN_COVERAGE = 0.75
 MATCH, MISS = 1.0, -0.5
 
-# The wording of public licenses and of notices that name them.
+# Opening excerpts of public licenses, and notices that name them.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
@@ -230,13 +230,16 @@ MATCHES = (
 def scan_licenses(
     docs: DataFrame, templates: Mapping[str, list[str]] | None = None, min_coverage: float = MIN_COVERAGE
 ) -> DataFrame:
-    """Where documents repeat the wording of a license.
+    """Where documents repeat the notice or the opening wording of a license.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Returns one row per
     match: doc_id, license, template (number of its wording), coverage (share of the
     template's words that match, in order), first_word, n_words, and start and end as
     code points of the text. Words are runs of letters and digits, A-Z lower-cased.
 
+    The templates are notices and opening excerpts, not whole licenses: coverage and span
+    refer to the excerpt, and a whole license goes on after the span's end.
+
     The templates' word runs form an inverted index that every task holds (its size is
     that of the templates). A document's winnowed fingerprints look it up; hits of a
     template near one diagonal make a candidate, which is aligned with the template in a
