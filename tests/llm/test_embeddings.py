@@ -60,6 +60,41 @@ def test_given_table_exactly(spark):
     assert got == plain(rows)
 
 
+def test_starting_graph_finds_isolated_pairs_of_a_dense_label(spark):
+    """Single vectors fill a cone, as a large label fills the sphere; pairs have no other neighbour."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x = 2.2 * rng.normal(size=64) + x
+    x[1::20] = x[::20] + 0.4 * rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pairs = {(20 * i, 20 * i + 1) for i in range(300) if x[20 * i] @ x[20 * i + 1] >= 0.98}
+    assert len(pairs) > 200
+    rows = [(i, "1", 64, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label string, dim int, vec array<double>")
+    found = {(r["a"], r["b"]) for r in embeddings.starting_graph(vectors).collect()}
+    assert len(found & pairs) >= 0.9 * len(pairs)
+
+
+def test_audit_counts_each_vector_once(spark):
+    """All links of one large group are found, and none of the 30 pairs."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(30, 16)), 2, axis=0)
+    x = np.concatenate((np.repeat(rng.normal(size=(1, 16)), 200, axis=0), x))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, "1", 16, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label string, dim int, vec array<double>")
+    labels = spark.createDataFrame([(i, 0) for i in range(200)], "vec_id long, component long")
+    assert abs(embeddings.audit(vectors, labels, 10_000) - 200 / 260) < 1e-9
+
+
+def test_missed_target_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "audit", lambda *_: 0.5)
+    monkeypatch.setattr(embeddings, "ATTEMPTS", 1)
+    table = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in made(1, [2, 2], 1)], SCHEMA)
+    with pytest.raises(RuntimeError, match="recall by vector is 0.500"):
+        near_duplicate_vectors(table)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
