@@ -103,3 +103,43 @@ def op6_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logsluice.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_byte_transducer_audit",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals FROM d),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY ALL),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(words) < 100 THEN 'A' ELSE '' END ||
+  CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END ||
+  CASE WHEN 100 * capitals > 10 * length(text) THEN 'C' ELSE '' END ||
+  CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END ||
+  CASE WHEN min(w.doc_id) OVER (PARTITION BY text) < w.doc_id THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT part, filter_order, fails, n, good, toxic, unnest([1, 2, 3, 4, 5]) AS step FROM cells, orders),
+at AS (SELECT *, filter_order[step] AS letter, contains(fails, filter_order[step]) AS hit,
+  CASE WHEN step = 1 THEN false ELSE len(list_intersect(string_split(filter_order[1:step - 1], ''), string_split(fails, ''))) > 0 END AS earlier
+  FROM steps),
+one AS (SELECT part, filter_order, step, letter,
+  sum(n) FILTER (NOT earlier AND NOT hit) AS kept, sum(n) FILTER (NOT earlier AND hit) AS removed,
+  sum(n) FILTER (earlier AND hit) AS redundant, sum(n) FILTER (fails = letter) AS unique_fails,
+  sum(good) FILTER (NOT earlier AND hit) AS good_lost, sum(toxic) FILTER (NOT earlier AND hit) AS toxic_lost
+  FROM at GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM one
+""",
+)
+def op13_byte_transducer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logsluice.llm.filteraudit import filter_interactions
+
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
