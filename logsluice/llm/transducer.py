@@ -22,7 +22,7 @@ SYMBOLS = "#$%&*|"
 
 OUTSIDE, INSIDE = 0, 1
 BEGINS, ENDS, POINT, CAPITAL, SYMBOL = 1, 2, 4, 8, 16
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 LONG_WORD = 4096
 _MODULUS = 1 << 64
 
@@ -188,7 +188,9 @@ def measure(data: np.ndarray, bounds: np.ndarray, piece: int = PIECE_BYTES) -> n
         if len(starts):
             rows = filled[np.searchsorted(heads, starts, "right") - 1]
             sizes = ends - starts
-            added = table.insert(rows, starts, sizes, mix(hashes + sizes.astype(np.uint64) * PLACES[7]))
+            # The row is part of the hash: a word of many rows would else make one long probe path.
+            told = hashes + sizes.astype(np.uint64) * PLACES[7] + rows.astype(np.uint64) * PLACES[6]
+            added = table.insert(rows, starts, sizes, mix(told))
             words += np.bincount(rows, minlength=texts)
             distinct += np.bincount(rows[added], minlength=texts)
     return counts
