@@ -26,6 +26,8 @@ SCALE = 1_000_000_000
 # Length of the first prefixes in bytes; each level doubles it.
 FIRST_PREFIX = 4
 BLOCK_BYTES = 16 << 20
+# 64-bit words of a filter of prefixes: at most this many rows are broadcast.
+WORDS = 1 << 18
 PIECE_BYTES = 4 << 20
 # Rows of one task of the comparison, and sources on each side of it.
 ROWS_A_SALT = 1 << 16
@@ -140,35 +142,94 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, prefix, documents) of each run of rows with equal block, language and prefix.
+
+    The last run of a batch waits for the next one, as it may go on there.
+    """
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        block, lang, prefix = batch.column(0).to_numpy(), *(_encoded(batch.column(i))[0] for i in (1, 2))
+        last = np.flatnonzero((block != block[-1]) | (lang != lang[-1]) | (prefix != prefix[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut or (waiting and any(waiting[-1].column(i)[-1] != batch.column(i)[0] for i in range(3))):
+            yield from _counted([*waiting, batch.slice(0, cut)])
+            waiting = []
+        waiting.append(batch.slice(cut))
+    yield from _counted(waiting)
+
+
+def _counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not sum(batch.num_rows for batch in held):
+        return
+    block, langs, prefixes, docs = (pa.concat_arrays([b.column(i) for b in held]) for i in range(4))
+    lang, prefix = _encoded(langs)[0], _encoded(prefixes)[0]
+    block = block.to_numpy()
+    changed = (block[1:] != block[:-1]) | (lang[1:] != lang[:-1]) | (prefix[1:] != prefix[:-1])
+    run = np.concatenate(([0], np.cumsum(changed)))
+    heads = np.concatenate(([0], np.flatnonzero(changed) + 1))
+    of = np.repeat(run, pc.list_value_length(docs).to_numpy())
+    distinct = np.unique(of << 32 | docs.flatten().to_numpy().astype(np.int64)) >> 32
+    yield pa.RecordBatch.from_arrays(
+        [langs.take(pa.array(heads)), prefixes.take(pa.array(heads)), pa.array(np.bincount(distinct, minlength=len(heads)))],
+        names=["lang", "prefix", "docs"],
+    )
+
+
+def _spot(key: str) -> Column:
+    """Place of a language and a key among the bits of a filter."""
+    return F.pmod(F.xxhash64("lang", key), F.lit(WORDS * 64))
+
+
+def bit_filter(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits) of a filter that holds all given keys: at most WORDS rows, whatever is in it."""
+    spot = keys.select(_spot(key).alias("spot"))
+    bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    return spot.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def passing(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows whose key may be in the filter: all that are, and by chance a few others.
+
+    The filter is broadcast; its size is bounded by WORDS. The more keys it holds
+    the more other rows pass, which costs time and changes no result.
+    """
+    spot = rows.withColumn("spot", _spot(key))
+    found = spot.join(F.broadcast(bits), F.shiftright("spot", 6) == F.col("word"))
+    return found.where("shiftright(bits, cast(spot & 63 as int)) & 1 = 1").select(*rows.columns)
+
+
 def frequent_terms(blocks: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """The rows of ``blocks`` whose term is in ``least`` or more documents of its language.
+    """(lang, term) of all terms in ``least`` or more documents of their language.
 
     A level's prefix of a term is cut from the term with an end byte, which no term
     holds; so a prefix that contains it is a complete term. A block counts each of its
     documents once for a prefix; as a document lies in one block, these counts add up.
-    Terms below a discarded prefix leave, complete terms of the others stay for good,
-    and the rest goes to the next level with prefixes twice as long, until nothing is left.
+    Where the rows of a block are read by two tasks, a prefix between them may count a
+    document twice and so stay a level longer; a complete term is one row of its block.
+
+    Prefixes below ``least`` are discarded with all terms under them, complete terms of
+    the others are kept, and the terms under the rest go on with prefixes twice as long,
+    until nothing is left. Which terms go on is asked from a bit filter of bounded size
+    where the rows are read, so that what is discarded is not shuffled.
     """
     complete, opened, length = [], blocks, FIRST_PREFIX
+    ended = F.concat(F.col("term"), F.lit(b"\x00"))
     while True:
-        ended = F.concat(F.col("term"), F.lit(b"\x00"))
-        nodes = opened.withColumn("prefix", F.substring(ended, 1, length))
-        docs = F.size(F.array_distinct(F.flatten(F.collect_list("docs"))))  # documents of one block
-        frequent = (
-            nodes.groupBy("block", "lang", "prefix")
-            .agg(docs.alias("docs"))
-            .groupBy("lang", "prefix")
-            .agg(F.sum("docs").alias("docs"))
-            .where(F.col("docs") >= least)
-            .select("lang", "prefix")
-        )
-        left = nodes.join(frequent, ["lang", "prefix"], "left_semi").drop("prefix")
-        whole = F.octet_length("term") < length
-        left = stored(left.withColumn("whole", whole), "prefixes")
-        complete.append(left.where("whole").drop("whole"))
-        opened = left.where("NOT whole").drop("whole")
-        if opened.isEmpty():
+        nodes = opened.select("block", "lang", F.substring(ended, 1, length).alias("prefix"), "docs")
+        counted = nodes.mapInArrow(_nodes, "lang string, prefix binary, docs long")
+        frequent = counted.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+        whole = F.substring("prefix", -1, 1) == F.lit(b"\x00")
+        frequent = stored(frequent.select("lang", "prefix", whole.alias("whole")), "prefixes")
+        term = F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("term")
+        complete.append(frequent.where("whole").select("lang", term))
+        extended = frequent.where("NOT whole")
+        if extended.isEmpty():
             break
+        longer = blocks.where(F.octet_length("term") >= length).withColumn("prefix", F.substring(ended, 1, length))
+        opened = passing(longer, "prefix", bit_filter(extended, "prefix"))
         length *= 2
     out = complete[0]
     for more in complete[1:]:
@@ -267,10 +328,11 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_T
     rows = pick(docs, lang="string", source="string", text="string").fillna("")
     blocks = stored(rows.mapInArrow(_blocks, BLOCK_DDL), "term-blocks")
     kept = frequent_terms(blocks, least)
-    cells = kept.select("lang", "term", F.inline(F.arrays_zip("sources", "counts")))
+    held = passing(blocks.select("lang", "term", "sources", "counts"), "term", bit_filter(kept, "term"))
+    cells = held.select("lang", "term", F.inline(F.arrays_zip("sources", "counts")))
     counts = cells.groupBy("lang", F.col("sources").alias("source"), "term").agg(F.sum("counts").alias("n"))
-    counts = stored(counts, "term-counts")
-    forget(blocks)
+    counts = stored(counts.join(kept, ["lang", "term"], "left_semi"), "term-counts")
+    forget(blocks, kept)
 
     whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("holders"))
     whole = stored(whole, "language-terms")
