@@ -24,7 +24,7 @@ TOP_TERMS = 200
 SCALE = 1_000_000_000
 
 # Length of the first prefixes in bytes; each level doubles it.
-FIRST_PREFIX = 4
+FIRST_PREFIX = 8
 BLOCK_BYTES = 16 << 20
 # 64-bit words of a filter of prefixes: at most this many rows are broadcast.
 WORDS = 1 << 18
