@@ -18,6 +18,7 @@ from logsluice.operators.triage import (
     refusal,
 )
 from logsluice.session import drop_path, scratch_path
+from logsluice.sources.commits import live_rows
 from logsluice.sources.entries import DAY, read_entries, rewrite_days
 
 CHANGE_COLUMNS = ("id", "status", "changed_at", "changed_by", "note")
@@ -59,7 +60,7 @@ def current_entries(
 
 def _days_of(spark: SparkSession, table: str, ids: Ids) -> list[date]:
     """The days that hold listed entries; no more than the table has folders."""
-    stored = spark.read.parquet(table).select("id", DAY)
+    stored = live_rows(spark, table).select("id", DAY)
     return [row[DAY] for row in listed_rows(stored, ids).select(DAY).distinct().collect()]
 
 
@@ -73,7 +74,7 @@ def fold_changes(
     """
     changes = read_changes(spark, log)
     missing = {"status_changed_at", "status_changed_by", "note"} - set(
-        spark.read.parquet(table).columns
+        live_rows(spark, table).columns
     )
     if missing:
         # Days with more columns than others could not be read as one table.

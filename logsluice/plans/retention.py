@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from logsluice.operators.stats import expired, prune_breakdown
 from logsluice.schema import as_utc
-from logsluice.session import drop_path
 from logsluice.sources.entries import rewrite_days, stored_days
 
 # Fixed value: days kept when nothing else is said.
@@ -59,16 +58,13 @@ def prune_table(
 ) -> None:
     """Takes expired entries off the stored table.
 
-    Whole days past the limit are dropped as folders; only the day the limit
-    falls into is rewritten. A prune that failed is simply run again.
+    Whole days past the limit go as folders, unread; only the day the limit falls into is
+    rewritten. Both come into effect together, and a prune that failed is simply run again.
     """
     keep = effective_days(days, enabled)
     if keep is None:
         return
     limit = as_utc(now) - timedelta(days=keep)
-    folders = stored_days(spark, path)
-    for day, folder in folders.items():
-        if day < limit.date():
-            drop_path(spark, folder)
-    if limit.date() in folders:
-        rewrite_days(spark, path, [limit.date()], lambda rows: prune(rows, now, keep))
+    days = stored_days(spark, path)
+    past = [day for day in days if day < limit.date()]
+    rewrite_days(spark, path, [limit.date()], lambda rows: prune(rows, now, keep), drop=past)

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from logsluice.operators.failures import as_failures, fallback_rows, split_valid
 from logsluice.operators.prepare import conform, prepare_entries
 from logsluice.schema import as_utc, instant, time_type
-from logsluice.session import drop_path, path_exists
+from logsluice.session import drop_path
+from logsluice.sources.commits import LOG, commit, files_below, live_rows, new_folder, read_log, settle
 
 DAY = "date"
 # Columns looked up by whole values; bloom filters let readers skip row groups.
@@ -30,7 +31,7 @@ def read_entries(
 ) -> DataFrame:
     """The table, narrowed to a time range by whole days first (partition
     pruning), then exactly (pushed to the Parquet row groups)."""
-    df = spark.read.parquet(path)
+    df = live_rows(spark, path)
     dtype = time_type(df)
     partitioned = DAY in df.columns
     if since is not None:
@@ -115,7 +116,11 @@ def write_entries(
 
 
 def stored_days(spark: SparkSession, path: str) -> dict[date, str]:
-    """The table's days and their folders, from one folder listing."""
+    """The table's days and their folders, from one folder listing.
+
+    What was committed and not carried out yet is carried out first, so that every day has its folder.
+    """
+    settle(spark, path)
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     days = {}
@@ -131,63 +136,30 @@ def rewrite_days(
     path: str,
     days: Iterable[date],
     change: Callable[[DataFrame], DataFrame],
+    drop: Iterable[date] = (),
 ) -> None:
-    """Replaces the rows of some days by what ``change`` makes of them.
+    """Replaces the rows of some days by what ``change`` makes of them, and drops other days whole.
 
-    A table cannot be overwritten while it is read, so the new rows are written beside it
-    first, then a list of the folders they replace. Only then the exchange begins. One
-    that was cut short is finished from these by the next rewrite of the table,
-    so no row is lost; run the rewrite again. One rewrite of a table runs at a time, and
-    readers may see some of its days changed and others not yet.
+    The new rows are written once, beside the table, and come in with one rename
+    (:mod:`logsluice.sources.commits`): readers see all changes or none. A crash before
+    that changes nothing, one after it loses nothing. Rows appended meanwhile stay. Of two
+    rewrites at the same time one fails with ``ConcurrentRewrite`` and can be run again.
     """
-    finish_rewrite(spark, path)
-    days = sorted(days)
-    if not days:
-        return
-    stored = spark.read.parquet(path).where(F.col(DAY).isin(days))
-    parts = [c for c in (DAY, "batch") if c in stored.columns]
-    before = _folders(stored, parts)
-    if not before:
+    settle(spark, path)
+    version, _ = read_log(spark, path)
+    folders = stored_days(spark, path)
+    changed = {f for day in sorted(days) if day in folders for f in files_below(spark, folders[day])}
+    gone = {f for day in sorted(drop) if day in folders for f in files_below(spark, folders[day])}
+    if not changed and not gone:
         return
-    beside = _beside(path)
-    change(stored).write.mode("overwrite").parquet(f"{beside}/rows")
-    told = spark.createDataFrame([(f, ",".join(parts)) for f in sorted(before)], "folder string, parts string")
-    told.coalesce(1).write.mode("overwrite").parquet(f"{beside}/replaced")
-    finish_rewrite(spark, path)
-
-
-def _beside(path: str) -> str:
-    return f"{path.rstrip('/')}-rewrite"
-
-
-def _folders(rows: DataFrame, parts: list[str]) -> set[str]:
-    # No more than the folder listing.
-    found = rows.select(*parts).distinct().collect()
-    return {"/".join(f"{c}={r[c]}" for c in parts) for r in found}
-
-
-def finish_rewrite(spark: SparkSession, path: str) -> None:
-    """Puts the rows of a prepared rewrite in place, if there is one. Can be repeated."""
-    beside = _beside(path)
-    if path_exists(spark, f"{beside}/replaced/_SUCCESS"):
-        replaced = spark.read.parquet(f"{beside}/replaced").collect()
-        parts = replaced[0]["parts"].split(",")
-        rows = spark.read.parquet(f"{beside}/rows")
-        after = _folders(rows, parts)
-        if after:
-            (
-                entry_writer(rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "occurred_at", "id"))
-                .mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(*parts)
-                .parquet(path)
-            )
-        # Folders in which nothing is left are not touched by the write.
-        for folder in sorted({r["folder"] for r in replaced} - after):
-            drop_path(spark, f"{path}/{folder}")
-        # The list goes first: without it there is nothing to finish.
-        drop_path(spark, f"{beside}/replaced")
-    drop_path(spark, beside)
+    folder = new_folder()
+    if changed:
+        rows = live_rows(spark, path, only=sorted(changed))
+        parts = [c for c in (DAY, "batch") if c in rows.columns]
+        made = change(rows).hint("rebalance", *parts).sortWithinPartitions(*parts, "occurred_at", "id")
+        entry_writer(made).partitionBy(*parts).parquet(f"{path}/{LOG}/{folder}")
+    commit(spark, path, version, folder, sorted(changed | gone))
+    settle(spark, path)
 
 
 def compact_days(spark: SparkSession, path: str, days: Iterable[date]) -> None:
@@ -195,7 +167,7 @@ def compact_days(spark: SparkSession, path: str, days: Iterable[date]) -> None:
 
     For days that no running stream will replay a micro-batch into.
     """
-    if "batch" in spark.read.parquet(path).columns:
+    if "batch" in live_rows(spark, path).columns:
         rewrite_days(spark, path, days, lambda rows: rows.withColumn("batch", F.lit("compact")))
 
 
