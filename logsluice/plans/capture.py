@@ -35,20 +35,32 @@ class CaptureRules:
 def dedupe_capture(df: DataFrame, key: str = "id") -> DataFrame:
     """A record that arrives by two ways is kept once.
 
-    On a stream the keys are remembered for the time of the watermark the frame
-    has. Rows without a key are all kept; on a stream they pass beside the state,
-    which need not remember them. A frame without the column stays as it is.
+    On a stream all keys are remembered, so no row is too late and a copy is told however
+    late it comes; a stream into a stored table needs no such memory, as
+    :func:`unseen` asks the table. Rows without a key are all kept; on a stream they pass
+    beside the state. A frame without the column stays as it is.
     """
     if key not in df.columns:
         return df
     if df.isStreaming:
-        keyed = df.where(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+        keyed = df.where(F.col(key).isNotNull()).dropDuplicates([key])
         return keyed.unionByName(df.where(F.col(key).isNull()))
     # Rows without a key are told apart by their place, in the same pass.
     place = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
     return df.withColumn("_place", place).dropDuplicates([key, "_place"]).drop("_place")
 
 
+def unseen(rows: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key is not among those stored; rows without a key all stay.
+
+    ``stored`` is narrowed to the rows' keys first: for a small batch that is a broadcast
+    of its keys, and nothing of the stored keys is shuffled.
+    """
+    asked = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    copies = stored.select(key).join(asked, key, "left_semi").distinct()
+    return rows.join(copies, key, "left_anti")
+
+
 def ignore(df: DataFrame, rules: CaptureRules) -> DataFrame:
     df = drop_deprecations(df, rules.deprecation_channels, rules.ignore_deprecations)
     return drop_null_channel(df, rules.ignore_null_channel)

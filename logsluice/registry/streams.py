@@ -51,12 +51,30 @@ def _ingest(spark, sf_dir):
     )
 
 
+@query(
+    "ingest_out_of_order",
+    """SELECT id, level, date_trunc('second', occurred_at) AS occurred_at FROM le
+    WHERE channel IS NULL OR channel <> 'deprecations'""",
+)
+def _ingest_out_of_order(spark, sf_dir):
+    """Newest records first, then older ones, then all of them a second time, a micro-batch each."""
+    path, source = scratch_path(spark, "ingested"), scratch_path(spark, "arrivals")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = spark.sql(ENTRIES_SQL, events=events).withColumn("occurred_at", to_instant(F.col("occurred_at")))
+    half = F.lit("2024-01-16 00:00:00 UTC").cast("timestamp")
+    for part in (rows.where(F.col("occurred_at") >= half), rows.where(F.col("occurred_at") < half), rows):
+        part.write.mode("append").parquet(source)
+    records = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(source)
+    ingest_stream(records, path, scratch_path(spark, "checkpoint"), NOW, mode="queue").awaitTermination()
+    return read_entries(spark, path).select("id", "level", to_wall(F.col("occurred_at")).alias("occurred_at"))
+
+
 @query("dedupe_stream", "SELECT id, level FROM le")
 def _dedupe(spark, sf_dir):
     out = scratch_path(spark, "deduped")
     rows = entries_stream(spark, sf_dir)
     twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    once = dedupe_capture(twice.withWatermark("occurred_at", "40 days"), "id")
+    once = dedupe_capture(twice, "id")
     _finish(
         once.select("id", "level").writeStream.format("parquet").option("path", out),
         scratch_path(spark, "checkpoint"),

@@ -53,6 +53,52 @@ def test_stream_keeps_rows_without_id_and_replays_them_alike(spark, tmp_path, no
         seen.append(found)
 
 
+def test_late_files_are_stored_and_copies_told(spark, tmp_path, now):
+    """Three files, each older than the one before; then all of them again, beside a new record."""
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+
+    def arrive(hours, ids):
+        spark.range(10).select(
+            F.concat(F.lit(ids), F.col("id").cast("string")).alias("id"),
+            F.lit("info").alias("level"),
+            F.lit("said").alias("message"),
+            F.lit(None).cast("string").alias("context"),
+            F.lit("app").alias("channel"),
+            F.lit(START + timedelta(hours=hours)).alias("occurred_at"),
+        ).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        records = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", "1")
+        ingest_stream(records.parquet(source), table, str(tmp_path / "check"), now, mode="queue").awaitTermination()
+        return sorted(r.id for r in read_entries(spark, table).collect())
+
+    for hours, ids in ((0, "a"), (-5, "b"), (-10, "c"), (-400, "d")):
+        arrive(hours, ids)
+    want = [f"{x}{i}" for x in "abcd" for i in range(10)]
+    assert run() == want
+    for hours, ids in ((0, "a"), (-10, "c"), (-400, "d"), (-400, "e")):
+        arrive(hours, ids)
+    assert run() == want + [f"e{i}" for i in range(10)]
+    assert not (tmp_path / "table-rejected").exists() or not list((tmp_path / "table-rejected").glob("batch=*"))
+
+
+def test_a_replayed_batch_does_not_take_itself_for_a_copy(spark, tmp_path, now):
+    from logsluice.streaming.ingest import capture_batch
+
+    table = str(tmp_path / "table")
+    rows = spark.range(20).select(
+        (F.col("id") % 15).cast("string").alias("id"),
+        F.lit("info").alias("level"),
+        F.lit("said").alias("message"),
+        F.lit(None).cast("string").alias("context"),
+        F.lit("app").alias("channel"),
+        F.when(F.col("id") % 2 == 0, F.lit(START)).alias("occurred_at"),
+    )
+    for tag in ("x-1", "x-1", "x-2"):
+        append_entries(capture_batch(rows, table, tag, now), table, now, batch=tag)
+        assert read_entries(spark, table).count() == 15
+
+
 def test_batch_dedupe_without_the_column(spark):
     rows = spark.createDataFrame([("x",), ("x",)], "message string")
     assert dedupe_capture(rows).count() == 2
@@ -186,29 +232,98 @@ def test_many_ids_take_the_same_way_as_few(spark):
     assert triage.delete_many(rows, [str(i) for i in range(3, 5000)]).count() == 3
 
 
-def test_a_rewrite_that_is_cut_short_is_finished(spark, tmp_path, monkeypatch):
-    from logsluice.sources import entries
+def more(spark, path, *ids, day=START):
+    """Rows appended to the table while something else is going on."""
+    rows = [(i, "info", "late", day, "open", "app") for i in ids]
+    df = spark.createDataFrame(rows, "id string, level string, message string, occurred_at timestamp, status string, channel string")
+    write_entries(conform(df), path)
+
+
+def held(spark, path):
+    return sorted(r.id for r in read_entries(spark, path).select("id").collect())
+
+
+# Where a rewrite stops, and whether its change has come into effect by then.
+STOPS = [("write", False), ("commit", False), ("settle", True), ("move", True), ("remove", True), ("mark", True)]
+
+
+@pytest.mark.parametrize(("stop", "done"), STOPS)
+def test_a_rewrite_stopped_anywhere_loses_and_revives_nothing(spark, tmp_path, monkeypatch, stop, done):
+    from logsluice.plans.changes import delete_stored
+    from logsluice.plans.retention import prune_table
+    from logsluice.sources import commits, entries
 
     path = stored(spark, str(tmp_path / "t"))
     days = sorted(entries.stored_days(spark, path))
-    want = {r.id for r in read_entries(spark, path).where("id < '15'").collect()}
-    real = entries.drop_path
-
-    def broken(session, target):
-        if "date=" in target or target.endswith("replaced"):
-            raise OSError("executor lost")
-        real(session, target)
-
-    monkeypatch.setattr(entries, "drop_path", broken)
-    with pytest.raises(OSError, match="lost"):
-        entries.rewrite_days(spark, path, days, lambda rows: rows.where("id < '15'"))
-    monkeypatch.setattr(entries, "drop_path", real)
-    # As if the crash had come in the middle: a folder is gone from the table.
-    real(spark, f"{path}/date={days[0]}")
-    entries.rewrite_days(spark, path, [], lambda rows: rows)
-    assert {r.id for r in read_entries(spark, path).collect()} == want
-    entries.rewrite_days(spark, path, days, lambda rows: rows.where("id < '15'"))
-    assert {r.id for r in read_entries(spark, path).collect()} == want
+
+    def lost(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        if stop == "write":
+            m.setattr(entries, "commit", lost)
+        elif stop == "commit":
+            m.setattr(commits.json, "dumps", lost)
+        elif stop == "settle":
+            real, calls = commits.settle, []
+            m.setattr(entries, "settle", lambda *a: real(*a) if len(calls) < 2 and not calls.append(1) else lost())
+        elif stop == "move":
+            real_plain, calls = commits._plain, []
+            m.setattr(commits, "_plain", lambda s, n: real_plain(s, n) if len(calls) < 2 and not calls.append(1) else lost())
+        elif stop == "remove":
+            m.setattr(commits, "_drop_empty", lost)
+        elif stop == "mark":
+            m.setattr(commits, "drop_path", lost)
+        with pytest.raises(OSError, match="lost"):
+            entries.rewrite_days(spark, path, days, lambda rows: rows.where("id < '15' OR id = '39'"))
+    before = [f"{i:02}" for i in range(40)]
+    after = [i for i in before if i < "15" or i == "39"]
+    assert held(spark, path) == (after if done else before)
+    more(spark, path, "late", day=START + timedelta(hours=39))
+    assert held(spark, path) == sorted([*(after if done else before), "late"])
+    prune_table(spark, path, START + timedelta(hours=14, days=7), days=7)
+    left = [i for i in (after if done else before) if i >= "14"] + ["late"]
+    assert held(spark, path) == left
+    delete_stored(spark, path, ["39"])
+    commits.sweep(spark, path)
+    assert held(spark, path) == [i for i in left if i != "39"]
+    assert not [f for f in (tmp_path / "t" / "_commits").iterdir() if f.name.startswith("v-")]
+
+
+def test_rows_appended_during_a_rewrite_stay(spark, tmp_path, monkeypatch):
+    from logsluice.sources import commits, entries
+
+    path = stored(spark, str(tmp_path / "t"))
+
+    def change(rows):
+        more(spark, path, "during")
+        # Another rewrite comes first, and its files stay for now: this one must not undo it.
+        if not seen:
+            seen.append(1)
+            with monkeypatch.context() as m:
+                m.setattr(entries, "settle", lambda *a: None)
+                entries.rewrite_days(spark, path, [START.date()], lambda r: r.where("id <> '03'"))
+        return rows.where("id <> '01'")
+
+    seen = []
+    with pytest.raises(commits.ConcurrentRewrite):
+        entries.rewrite_days(spark, path, [START.date()], change)
+    assert "03" not in held(spark, path) and {"01", "during"} <= set(held(spark, path))
+    entries.rewrite_days(spark, path, [START.date()], change)
+    got = held(spark, path)
+    assert got.count("during") == 2 and not {"01", "03"} & set(got) and len(got) == 40
+
+
+def test_a_pending_change_is_read_with_day_pruning(spark, tmp_path, monkeypatch):
+    from logsluice.sources import entries
+
+    path = stored(spark, str(tmp_path / "t"))
+    real, calls = entries.settle, []
+    monkeypatch.setattr(entries, "settle", lambda *a: None if calls else calls.append(real(*a)))
+    entries.rewrite_days(spark, path, [START.date()], lambda rows: rows.where("id <> '01'"))
+    found = read_entries(spark, path, since=START + timedelta(days=1))
+    assert "date" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert found.count() == 16 and len(held(spark, path)) == 39
 
 
 def test_many_batches_become_one_folder_a_day(spark, tmp_path, now):

@@ -201,7 +201,6 @@ def test_ingest_stream_over_several_batches(spark, rows, tmp_path, now):
         broken.coalesce(1).write.mode("append").parquet(source)
         stream = ingest_stream(
             spark.readStream.schema(broken.schema).parquet(source), path, checkpoint, now, "queue",
-            delay="40 days",
         )
         stream.awaitTermination()
     got = read_entries(spark, path)
