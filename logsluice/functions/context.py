@@ -1,8 +1,8 @@
 """The semi-structured ``context`` column, held as JSON text.
 
-Top-level work uses ``map<string, variant>``. Only what recurses to any depth
-(``clean_context``, ``redact_json``) goes through one Arrow-batched pass, and
-only for the rows that need it.
+What is looked up is looked up by built-in functions. Edits (``merge_context``,
+``drop_internal_keys``, ``clean_context``, ``redact_json``) go through one Arrow-batched
+pass, only for the rows that need it, and copy what they do not change.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logsluice.functions.members import merged, without_prefixes
 from logsluice.functions.url import REDACTED, SENSITIVE_KEYS
 
 INTERNAL_PREFIXES = ("__", "_internal")
@@ -32,7 +33,6 @@ TOO_DEEP = "[Max depth exceeded]"
 TOO_DEEP_MARK = {"_truncated": "Max depth exceeded"}
 CUT_MARK = "... [truncated]"
 
-_TOP_LEVEL = "map<string,variant>"
 _FRAMES = "array<struct<file:string,line:bigint,function:string,class:string,type:string>>"
 _EXCEPTION = (
     "exception struct<class:string,message:string,file:string,line:int,"
@@ -40,11 +40,6 @@ _EXCEPTION = (
 )
 
 
-def _top_level(context: Column) -> Column:
-    """The object's members as a map; null for anything that is no object."""
-    return F.from_json(F.when(F.ltrim(context).startswith("{"), context), _TOP_LEVEL)
-
-
 def context_value(context: Column, path: str) -> Column:
     """A value by dotted or bracketed path, such as ``user.roles[0]``."""
     steps = path.removeprefix("root").lstrip(".")
@@ -54,20 +49,14 @@ def context_value(context: Column, path: str) -> Column:
 
 
 def drop_internal_keys(context: Column, prefixes: Sequence[str] = INTERNAL_PREFIXES) -> Column:
-    """Without the top-level members whose key starts with one of ``prefixes``."""
-
-    def internal(key: Column) -> Column:
-        hit = F.lit(False)
-        for prefix in prefixes:
-            hit = hit | F.startswith(key, F.lit(prefix))
-        return hit
+    """Without the top-level members whose key starts with one of ``prefixes``.
 
-    mentioned = F.lit(False)
+    All other members stay as they are written: numbers of any length, repeated keys, escapes.
+    """
+    mentioned = F.contains(context, F.lit("\\u"))
     for prefix in prefixes:
         mentioned = mentioned | F.contains(context, F.lit('"' + prefix))
-    members = _top_level(F.when(mentioned, context))
-    kept = F.to_json(F.map_filter(members, lambda key, _: ~internal(key)))
-    return F.coalesce(kept, context)
+    return _apply(lambda text: without_prefixes(text, tuple(prefixes)), context, mentioned)
 
 
 def slim_trace(trace: Column, frames: int = TRACE_FRAMES) -> Column:
@@ -103,21 +92,21 @@ def merge_context(context: Column, extra: Column, error: Column | None = None) -
     """Context plus extra members; an extra member replaces one of the same key.
 
     Where making the extras failed (``error`` not null), the row keeps its own
-    context and tells the error in a marker member.
+    context and tells the error in a marker member. Members that stay are copied as
+    they are written; what is no object has no members.
     """
-    empty = F.from_json(F.lit("{}"), _TOP_LEVEL)
-    own = F.coalesce(_top_level(context), empty)
+    added = extra
     if error is not None:
         told = F.to_json(F.create_map(F.lit(CALLBACK_ERROR), error))
-        marker = F.from_json(told, _TOP_LEVEL)
-        added = F.when(error.isNotNull(), marker).otherwise(F.coalesce(_top_level(extra), empty))
-        nothing_to_add = extra.isNull() & error.isNull()
-    else:
-        added = F.coalesce(_top_level(extra), empty)
-        nothing_to_add = extra.isNull()
-    replaced = F.transform_values(own, lambda k, v: F.coalesce(F.try_element_at(added, k), v))
-    new = F.map_filter(added, lambda k, _: ~F.map_contains_key(own, k))
-    return F.when(nothing_to_add, context).otherwise(F.to_json(F.map_concat(replaced, new)))
+        added = F.when(error.isNotNull(), told).otherwise(extra)
+
+    @F.pandas_udf("string")
+    def both(texts: pd.Series, extras: pd.Series) -> pd.Series:
+        return pd.Series([None if e is None else merged(t, e) for t, e in zip(texts, extras, strict=True)], dtype=object)
+
+    # Rows without anything to add go in as null.
+    joined = both(F.when(added.isNotNull(), F.coalesce(context, F.lit(""))), added)
+    return F.when(added.isNotNull(), joined).otherwise(context)
 
 
 # --- recursive shaping: a small per-value helper run in Arrow batches ---------

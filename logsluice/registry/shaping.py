@@ -316,6 +316,44 @@ def _merge(le):
     return le.select("id", ctx.merge_context(F.col("context"), extra, error).alias("context"))
 
 
+# Contexts that a map or a number type would change: repeated keys, long and padded numbers, half a character.
+_AS_WRITTEN = r'"n":12345678901234567890123456789012345678901234567890,"f":1.10,"n":0,"s":"\ud83d"'
+
+
+@entries_query(
+    "merge_as_written",
+    r"""SELECT id, CASE WHEN level = 'error' THEN '{' || '%s' || ',"__p":[1, 2],"tenant":"' || id || '"}'
+      WHEN level = 'info' THEN '{' || '%s' || '}' WHEN level = 'debug' THEN '{"n":true,"f":1.10,"s":"\ud83d"}'
+      ELSE context END AS context FROM le"""
+    % (_AS_WRITTEN, _AS_WRITTEN),
+)
+def _merge_as_written(le):
+    given = F.concat(F.lit("{" + _AS_WRITTEN), F.when(F.col("level") != "debug", ',"__p":[1, 2]').otherwise(""), F.lit("}"))
+    context = F.when(F.col("level").isin("error", "info", "debug"), given).otherwise(F.col("context"))
+    extra = F.when(F.col("level") == "error", F.concat(F.lit('{"tenant": "'), "id", F.lit('"}'))).when(
+        F.col("level") == "debug", F.lit('{"n": true}')
+    )
+    merged = ctx.merge_context(context, extra)
+    return le.select("id", F.when(F.col("level") == "info", ctx.drop_internal_keys(merged)).otherwise(merged).alias("context"))
+
+
+@entries_query(
+    "capture_enriched_as_written",
+    r"""SELECT id, '{' || '%s' || ',"tenant":' || CAST(length(message) AS VARCHAR) || '}' AS context FROM le
+    WHERE channel IS NULL OR channel <> 'deprecations'"""
+    % _AS_WRITTEN,
+)
+def _capture_as_written(le):
+    from logsluice.plans.capture import CaptureRules, capture
+    from logsluice.registry.base import NOW
+
+    def enrich(rows):
+        return rows.withColumn("extra_context", F.concat(F.lit('{"tenant":'), F.length("message").cast("string"), F.lit("}")))
+
+    given = le.withColumn("context", F.lit("{" + _AS_WRITTEN + "}"))
+    return capture(given, NOW, CaptureRules(enrich=enrich)).select("id", "context")
+
+
 @entries_query(
     "clean_context",
     """SELECT id, CASE WHEN level = 'debug' THEN context ELSE

@@ -190,6 +190,23 @@ def test_merge_context(spark):
     assert json.loads(merged('{"a":1}', None, 'E: "q"')) == {"a": 1, "_callback_error": 'E: "q"'}
 
 
+def test_edits_copy_what_they_do_not_change(spark):
+    def merged(context, extra):
+        return one(spark, ctx.merge_context(text(context), text(extra)))
+
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    long = "1" * 5000
+    assert merged('{"a":1,"a":2}', '{"b":3}') == '{"a":1,"a":2,"b":3}'
+    assert merged('{"a":1,"b":0,"a":2}', '{"a":9,"c":1.50,"c":1.60}') == '{"a":9,"b":0,"c":1.60}'
+    assert merged(f'{{"n":{long},"f": 1.10 , "e":1E+2}}', '{"x":[1, 2]}') == f'{{"n":{long},"f":1.10,"e":1E+2,"x":[1, 2]}}'
+    assert merged('{"s":"\\ud83d","\\u0061":1}', '{"a":"}{,\\""}') == '{"s":"\\ud83d","a":"}{,\\""}'
+    assert merged(deep, '{"z":1}') == deep[:-1] + ',"z":1}'
+    assert merged("no json", "neither") == "{}" and merged('{"a":NaN}', '{"b":1}') == '{"b":1}'
+    dropped = ctx.drop_internal_keys(text('{"__a":{"x":[1,{"y":2}]},"n":1.10,"n":1e5,"\\u005f_b":3,"_internal_c":"}","k": { } }'))
+    assert one(spark, dropped) == '{"n":1.10,"n":1e5,"k":{ }}'
+    assert one(spark, ctx.drop_internal_keys(text('{"x": 1, "k": "__a"}'))) == '{"x": 1, "k": "__a"}'
+
+
 def test_drop_internal_keys_and_values(spark):
     given = text('{"__a":1,"b":{"__c":2}}')
     assert one(spark, ctx.drop_internal_keys(given)) == '{"b":{"__c":2}}'
@@ -213,12 +230,12 @@ def test_attach_request(spark):
 @pytest.mark.parametrize(
     "message, channel, context, kept",
     [
-        ("client returned 503", None, None, True),
+        ("bridge toll refused with code 7", None, None, True),
         ("x", "app", '{"_internal": true}', False),
         ("Tariff winter-7 is deprecated since May", None, None, True),
         ("The second argument of trim_all is deprecated", "deprecations", None, False),
         ("a deprecation", "php-deprecations", None, False),
-        ("feature flag x is deprecated", "application", None, True),
+        ("the old ferry table is deprecated for us", "harbour", None, True),
         ("trim_all: y is deprecated in /vendor/tools.php on line 9", None, None, False),
         ("x IS DEPRECATED on line 42", None, None, True),
         ("_internal in the message", "app", "{}", True),
