@@ -32,6 +32,8 @@ STAR_ROUNDS = 8
 # Stars end with a round that joins less than this share of what the first one joined.
 LAST_SHARE = 0.02
 BLOCK = 2048
+# Shingles of one block of full sets: 32 MB.
+BLOCK_SHINGLES = 1 << 22
 
 _random = np.random.Generator(np.random.PCG64(1))
 SEEDS = _random.integers(1, 2**63, REGISTERS, dtype=np.uint64)
@@ -247,7 +249,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _across(key: tuple, rows: pa.Table) -> pa.Table:
     """Likely pairs of different components between the two sides of a block.
 
-    A pair that shares several bands is made in the first of them only.
+    A pair that shares several bands is made in the first of them only. Confirming a pair
+    moves two full sets; a block with more than a pair for two of its rows is marked (a pair of nulls)
+    instead: its rows' sets are brought to it once, and it confirms its own links.
     """
     band = np.array([key[0].as_py()], np.int64).view(np.uint64)[0]
     table = {n: rows[n].to_numpy() for n in ("rep", "component", "kind", "n", "side")}
@@ -280,7 +284,63 @@ def _across(key: tuple, rows: pa.Table) -> pa.Table:
         good = j[estimate(a, b, n_i, table["n"][j], np.minimum(ki, kj)) >= ESTIMATE]
         x, y = np.full(len(good), table["rep"][i]), table["rep"][good]
         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        if 2 * sum(map(len, found)) > rows.num_rows:
+            return pa.table([*(pa.array([k.as_py()]) for k in key), *(pa.nulls(1, pa.int64()),) * 2], schema=FOUND)
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    place = [pa.array([k.as_py()] * len(pairs), t.type) for k, t in zip(key, FOUND, strict=False)]
+    return pa.table([*place, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=FOUND)
+
+
+FOUND = pa.schema([("band", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _linked(rows: pa.Table) -> pa.Table:
+    """Confirmed links between the sides of a block: a forest over its components, at most one less than these.
+
+    A set of n shingles has a similarity of PERCENT only with sets that share one of its n - ceil(n * PERCENT %) + 1
+    rarest ones, and have it among theirs; rarity is that in the block. So only rows that
+    meet there are compared, each left row with all of them at once, on full sets.
+    """
+    held = rows["shingles"].combine_chunks()
+    n = np.array([len(x) // 8 for x in held.to_pylist()], np.int64)
+    names, token, often = np.unique(
+        np.frombuffer(b"".join(held.to_pylist()), np.uint64), return_inverse=True, return_counts=True
+    )
+    row = np.repeat(np.arange(len(n)), n)
+    by = np.lexsort((token, often[token], row))
+    token = token[by]
+    first = np.concatenate(([0], np.cumsum(n)))
+    place = np.arange(len(token)) - first[row]
+    front = (place <= n[row] - -(-n[row] * PERCENT // 100)) & (often[token] > 1)
+    left, right = (rows[side].to_numpy().astype(bool) for side in ("left", "right"))
+    posted = np.flatnonzero(front & right[row])
+    posted = posted[np.argsort(token[posted], kind="stable")]
+    post_rows, post_tokens = row[posted], token[posted]
+    _, part = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    root = np.arange(part.max(initial=-1) + 1)
+    rep, links = rows["rep"].to_numpy(), []
+    for i in np.flatnonzero(left):
+        own = token[first[i] : first[i + 1]]
+        asked = own[front[first[i] : first[i + 1]]]
+        lo, hi = np.searchsorted(post_tokens, asked), np.searchsorted(post_tokens, asked, "right")
+        met = [post_rows[a:b] for a, b in zip(lo, hi, strict=True) if a < b]
+        if not met:
+            continue
+        j = np.unique(np.concatenate(met))
+        j = j[(root[part[j]] != root[part[i]]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+        if not len(j):
+            continue
+        mine = np.zeros(len(names), bool)
+        mine[own] = True
+        ends = np.concatenate(([0], np.cumsum(n[j])))
+        inside = np.arange(ends[-1]) + np.repeat(first[j] - ends[:-1], n[j])
+        shared = np.add.reduceat(mine[token[inside]], ends[:-1], dtype=np.int64)
+        for k in j[100 * shared >= PERCENT * (n[j] + n[i] - shared)]:
+            a, b = root[part[i]], root[part[k]]
+            if a != b:
+                links.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+                root[root == max(a, b)] = min(a, b)
+    pairs = np.array(links, np.int64).reshape(-1, 2)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -293,8 +353,10 @@ def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     links = stored(links, "joined")
     pairs = links.count()
     if not pairs:
+        forget(links)
         return labels, 0
     found = components(links)
+    forget(links)
     new = labels.join(found, labels["component"] == found["node"], "left").select(
         "rep", F.coalesce(found["component"], labels["component"]).alias("component")
     )
@@ -341,8 +403,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        stars are drawn again from HUBS other members and all their likely links are confirmed, as long as that
        joins much (at most STAR_ROUNDS times). Then rows of a group that
        lie in different components are compared in blocks of registers, all that
-       is left to compare; likely pairs are confirmed. So no pair that shares a band is
-       left out: it is in one component, ruled out by the estimate, or confirmed.
+       is left to compare; likely pairs are confirmed, in the block itself where they are many. So no pair that
+       shares a band is left out: it is in one component, ruled out by the estimate or its size, or compared on full sets.
 
     At a similarity of 0.75 a pair shares one of the 32 bands with probability
     1 - 5e-6. Nulls: a text without words has size 0 and links with nothing, a null doc_id
@@ -375,7 +437,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored_sets(base, nodes)
     first, stars = 0, groups
     for turn in range(STAR_ROUNDS):
-        found = stored(likely(_star_pairs(stars, labels, turn), sketches), "likely")
+        likeliest = found = stored(likely(_star_pairs(stars, labels, turn), sketches), "likely")
+        last = stars, labels
         # Later stars are drawn among the classes that had a likely partner.
         ends = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         stars = stored(stars.join(ends, "rep"), "stars")
@@ -386,12 +449,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             )
             found = both.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p"))
             found = found.select("p.a", "p.b").distinct()
-        labels, joined = _joined(labels, stored(confirmed(found.select("a", "b"), sets), "confirmed"))
+        links = stored(confirmed(found.select("a", "b"), sets), "confirmed")
+        labels, joined = _joined(labels, links)
+        forget(likeliest, links, *(old for old in last if old is not groups and old is not labels))
         first = joined if turn == 0 else first
         if turn and joined <= first * LAST_SHARE:
             break
-    left = _left_pairs(groups, labels, sketches, smallest=3 if STAR_ROUNDS > 1 else 2)
-    labels, _ = _joined(labels, stored(confirmed(left, sets), "confirmed"))
+    left = _left_links(groups, labels, sketches, sets, smallest=3 if STAR_ROUNDS > 1 else 2)
+    labels, _ = _joined(labels, left)
     found = member.join(labels, "rep", "left").select(
         F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("component_id")
     )
@@ -410,13 +475,15 @@ def stored_sets(base: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(_set_bytes, "rep long, shingles binary").dropDuplicates(["rep"]), "shingle-sets")
 
 
-def _left_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, smallest: int) -> DataFrame:
-    """Likely pairs across components in groups that the stars did not join, by pairs of blocks.
+def _left_links(groups: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, smallest: int) -> DataFrame:
+    """Confirmed links across components in groups that the stars did not join, by pairs of blocks.
 
     Of a group, only the rows outside its largest component are compared with the others, so a
     group that is joined but for a few rows costs a few comparisons a row. Both sides
     are cut into blocks of about BLOCK rows. Groups under ``smallest`` need none: a
-    pair is a star.
+    pair is a star. Blocks with few likely pairs give these to be confirmed. Those with many get their
+    rows' full sets, cut further if these hold more than BLOCK_SHINGLES, and give a forest of links; so no step
+    has more rows than twice those of the blocks, however many pairs are likely.
     """
     placed = groups.join(labels, "rep")
     parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -442,6 +509,28 @@ def _left_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, small
     left = left.withColumn("j", every("rights")).withColumn("side", F.lit(0)).select(*columns)
     right = rows.withColumn("j", F.pmod("h", "rights").cast("int"))
     right = right.withColumn("i", every("lefts")).withColumn("side", F.lit(1)).select(*columns)
+    blocks = stored(left.unionByName(right), "left-blocks")
     held = sketches.select("rep", "kind", F.col("n_shingles").alias("n"), "regs", "low")
-    blocks = left.unionByName(right).join(held, "rep")
-    return blocks.groupBy("band", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+    compared = blocks.join(held, "rep").groupBy("band", "i", "j")
+    found = stored(compared.applyInArrow(_across, "band long, i int, j int, a long, b long"), "left-pairs")
+    few = confirmed(found.where("a IS NOT NULL").select("a", "b").distinct(), sets)
+
+    key = ["band", "i", "j"]
+    full = found.where("a IS NULL").select(*key)
+    sides = (
+        blocks.join(full, key)
+        .groupBy(*key, "rep", "component")
+        .agg(F.max(F.col("side") == 0).alias("left"), F.max(F.col("side") == 1).alias("right"))
+    )
+    sides = stored(sides, "full-blocks")
+    cuts = sides.join(sketches.select("rep", "n_shingles"), "rep").groupBy(*key)
+    cuts = cuts.agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("cuts"))
+    cut = sides.join(cuts, key).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), "cuts").cast("int"))
+    lefts = cut.where("left").select("*", F.col("own").alias("u"), every("cuts").alias("v"), F.lit(True).alias("l"), F.lit(False).alias("r"))
+    rights = cut.where("right").select("*", every("cuts").alias("u"), F.col("own").alias("v"), F.lit(False).alias("l"), F.lit(True).alias("r"))
+    key += ["u", "v"]
+    whole = lefts.unionByName(rights).groupBy(*key, "rep", "component").agg(F.max("l").alias("left"), F.max("r").alias("right"))
+    many = whole.join(sets, "rep").groupBy(*key).applyInArrow(_linked, "a long, b long")
+    links = stored(few.unionByName(many), "left-links")
+    forget(wide, blocks, found, sides)
+    return links

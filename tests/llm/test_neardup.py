@@ -82,11 +82,64 @@ def test_a_row_without_the_band_of_its_group_is_an_error():
     types = {"kind": pa.array([7, 7], pa.int32()), "side": pa.array([0, 1], pa.int32()), "low": pa.nulls(2, pa.binary())}
     table = pa.table(rows | types)
     band = int(neardup.bands(registers[:1], 7)[0][0:1].view(np.int64)[0])
-    assert neardup._across((pa.scalar(band),), table).to_pylist() == [{"a": 1, "b": 2}]
+    place = (pa.scalar(0), pa.scalar(0))
+    mark = {"band": band, "i": 0, "j": 0, "a": None, "b": None}
+    more = pa.concat_tables([table] + [table.slice(1).set_column(0, "rep", pa.array([k])) for k in (3, 4, 5)])
+    assert neardup._across((pa.scalar(band), *place), more).to_pylist() == [mark]
+    alone = pa.concat_tables([table, table.slice(1, 1).set_column(1, "component", pa.array([1]))])
+    assert neardup._across((pa.scalar(band), *place), alone).to_pylist() == [mark | {"a": 1, "b": 2}]
     with pytest.raises(ValueError, match="row 1 "):
-        neardup._across((pa.scalar(band ^ 1),), table)
+        neardup._across((pa.scalar(band ^ 1), *place), table)
 
 
+def test_links_of_a_block_are_those_of_all_pairs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for turn in range(30):
+        base = rng.integers(1, 2**63, 40, dtype=np.uint64)
+        sets = []
+        for _ in range(25):
+            keep = base[rng.random(40) < rng.choice([0.6, 0.85, 0.95])]
+            own = rng.integers(1, 2**63, int(rng.integers(0, 9)), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate((keep, own, base[:1]))))
+        component = rng.integers(0, 18, 25)
+        left, right = rng.random(25) < 0.7, rng.random(25) < 0.7
+        table = pa.table({
+            "rep": np.arange(25), "component": component, "left": left, "right": right,
+            "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+        got = neardup._linked(table).to_pylist()
+        linked = {
+            (min(i, j), max(i, j))
+            for i in np.flatnonzero(left)
+            for j in np.flatnonzero(right)
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
+        }
+        assert {(r["a"], r["b"]) for r in got} <= linked and len(got) <= len(set(component.tolist())) - 1
+
+        def groups(pairs):
+            root = {int(c): int(c) for c in component}
+            for a, b in sorted(pairs):
+                x, y = root[int(component[a])], root[int(component[b])]
+                root = {c: min(x, y) if r in (x, y) else r for c, r in root.items()}
+            return root
+
+        assert groups({(r["a"], r["b"]) for r in got}) == groups(linked)
+
+
+def test_a_group_of_many_likely_pairs_that_are_no_links(spark, monkeypatch):
+    """Copies with so many edits of their own that most pairs lie between 0.55 and 0.75."""
+    monkeypatch.setattr(neardup, "BLOCK", 60)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 4000)
+    rng, texts, base = random.Random(8), {}, sentence(3, 150).split()
+    for i in range(250):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 4, 5, 5, 6, 6])):
+            words[rng.randrange(len(words))] = f"z{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(near_duplicates(docs).collect(), texts)
+
 def test_odd_rows(odd, nothing):
     found = near_duplicates(odd).collect()
     assert len(found) == 13
