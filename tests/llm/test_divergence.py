@@ -51,7 +51,7 @@ def check(docs, rows, **more):
 @pytest.fixture
 def tight(monkeypatch):
     """Small blocks, pieces, slices and tiles, so that every cut is made."""
-    for name, value in (("BLOCK_BYTES", 700), ("PIECE_BYTES", 50), ("ROWS_A_SALT", 40), ("TILE", 2), ("CELLS", 30)):
+    for name, value in (("BLOCK_BYTES", 700), ("PIECE_BYTES", 50), ("ROWS_A_SALT", 40), ("TILE", 2), ("CELLS", 30), ("WORDS", 1)):
         monkeypatch.setattr(divergence, name, value)
 
 
