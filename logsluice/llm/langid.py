@@ -39,6 +39,8 @@ SCRIPTS = [
     (0xD7B0, "other"),
     (0xF900, "han"),
     (0xFB00, "other"),
+    (0x20000, "han"),
+    (0x32400, "other"),
 ]
 NAMES = sorted({name for _, name in SCRIPTS if name != "none"})
 STARTS = np.array([start for start, _ in SCRIPTS])
@@ -54,29 +56,38 @@ RARE_SCRIPT = 0.02
 BLOCK = 64
 OUTSIDE = -50.0
 
-# Letters are ASCII letters and everything beyond ASCII: the rest separates words.
+# Words are letters with their marks; every other character separates them. Marks without a
+# letter before them and separators beyond ASCII are blanked first, so that here all bytes
+# beyond ASCII belong to words and a word's first character is a letter.
+SEPARATORS = r"[^\p{L}\p{M}\x00-\x7F]+"
+LOOSE_MARKS = r"(^|[^\p{L}\p{M}])\p{M}+"
 INNER = np.zeros(256, bool)
 INNER[97:123] = True
 INNER[128:] = True
 
 
 def _lower(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    """Lower-case texts in which only letters and their marks are left beyond ASCII."""
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    if pc.all(pc.string_is_ascii(lower)).as_py() is not False:
+        return lower
+    spaced = pc.replace_substring_regex(lower, SEPARATORS, " ")
+    return pc.replace_substring_regex(spaced, LOOSE_MARKS, "\\1 ")
 
 
 def _scripts(words: Words) -> np.ndarray:
-    """The script of each word by its first character; -1 where that is no letter."""
+    """The script of each word by its first letter; -1 where letters of all scripts may stand."""
     lead = words.data[words.starts].astype(np.int64)
     last = len(words.data) - 1
-    follow = [words.data[np.minimum(words.starts + i, last)].astype(np.int64) & 63 for i in (1, 2)]
-    points = np.where(
-        lead < 0x80,
-        lead,
-        np.where(
-            lead < 0xE0,
+    follow = [words.data[np.minimum(words.starts + i, last)].astype(np.int64) & 63 for i in (1, 2, 3)]
+    points = np.select(
+        [lead < 0x80, lead < 0xE0, lead < 0xF0],
+        [
+            lead,
             ((lead & 31) << 6) | follow[0],
-            np.where(lead < 0xF0, ((lead & 15) << 12) | (follow[0] << 6) | follow[1], 0xFB00),
-        ),
+            ((lead & 15) << 12) | (follow[0] << 6) | follow[1],
+        ],
+        ((lead & 7) << 18) | (follow[0] << 12) | (follow[1] << 6) | follow[2],
     )
     return CODES[np.searchsorted(STARTS, points, "right") - 1]
 
@@ -130,7 +141,6 @@ class Model:
         barred = ~self.allowed[scripts] & known[:, None]
         # A script that no learned language uses leaves all of them as candidates.
         barred[barred.all(axis=1)] = False
-        score[~known] = 0.0
         score = score - score.max(axis=1, keepdims=True)
         score[barred] = OUTSIDE
         return score.astype(np.float32)[back]
@@ -254,11 +264,10 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     return Model(langs, np.ascontiguousarray(logs.T.astype(np.float32)), np.ascontiguousarray((share > RARE_SCRIPT).T))
 
 
-def label(part: Slice, model: Model, switch: float = SWITCH) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words of a slice, their labels, and whether each has letters of a known kind."""
+def label(part: Slice, model: Model, switch: float = SWITCH) -> tuple[Words, np.ndarray]:
+    """The words of a slice and their labels."""
     words = words_of(part, INNER)
-    labels = viterbi(model.word_scores(words), words.rows, switch)
-    return words, labels, _scripts(words) >= 0
+    return words, viterbi(model.word_scores(words), words.rows, switch)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -267,8 +276,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Returns doc_id, lang_pred, score and spans: runs of words with one label, as first
     word, number of words and language. ``lang_pred`` is the language with the most
     bytes of words, ties going to the first in order; ``score`` is its share of them.
+    Words are runs of letters with their marks, whatever punctuation stands around them; a
+    word whose script no learned language is written in keeps all languages as candidates.
     A text that is null or has no letter is ``und`` with score 0 and no spans, and so
-    is every text without a model. Only the text decides.
+    is every text without a model; every other text gets a learned language. Only the
+    text decides.
     """
     base = pick(docs, doc_id="long", text="string")
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -298,9 +310,9 @@ def _decide(texts: pa.Array, lettered: pa.Array, model: Model, switch: float = S
     kinds = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
     for part in text_slices(_lower(texts), limit):
         rows = part.hi - part.lo
-        words, labels, known = label(part, model, switch)
+        words, labels = label(part, model, switch)
         of = words.row_of()
-        weight = np.where(known, words.ends - words.starts, 0)
+        weight = words.ends - words.starts
         mass = np.bincount(of * len(names) + labels, weight, rows * len(names)).reshape(rows, -1)
         sums = mass.sum(axis=1)
         good = lettered.slice(part.lo, rows).to_numpy(zero_copy_only=False) & (sums > 0)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import regex
 
 from samples import odd_rows
 from logsluice.llm import langid
@@ -65,6 +66,34 @@ def test_scripts_narrow_the_candidates(spark):
     assert got[3] in ("ru", "en") and got[4] in ("ru", "en")  # a script no one taught
 
 
+def test_punctuation_beyond_ascii_is_no_part_of_words(spark):
+    rows = [(i, f"hello and wait {i}", "en") for i in range(9)] + [(i, f"слово и дом {i}", "ru") for i in range(9, 18)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["hello and wait", "“hello” —and …wait", "«слово» — дом…", "\u0301hello", "x", "々", "ⁿ", "𠀀", "ﬁ", "ℓ"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(frame, model).collect()}
+    assert all(r["lang_pred"] in ("en", "ru") and r["score"] > 0 and r["spans"] for r in got.values())
+    assert (got[1]["lang_pred"], got[1]["score"], got[1]["spans"]) == ("en", got[0]["score"], got[0]["spans"])
+    assert got[2]["lang_pred"] == "ru" and got[3]["lang_pred"] == "en"
+    nothing = [(i, t) for i, t in enumerate(["—", "…“”", "\u0301", "12 ³ ½", "§ ☃ 😀", "١٢"])]
+    found = langid.identify(spark.createDataFrame(nothing, "doc_id long, text string"), model).collect()
+    assert {(r["lang_pred"], r["score"]) for r in found} == {("und", 0.0)}
+
+
+def test_every_text_with_a_letter_gets_a_language(spark):
+    """Word by word against a plain version: which words there are, and their best label alone."""
+    rng = np.random.default_rng(5)
+    signs = list("ab дж é \u0301\u0300 “”—…'.,-1²々ⁿ漢𠀀אب\u200c\u00ad😀")
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 12)))) for _ in range(400)]
+    rows = [(i, "aab ba", "en") for i in range(5)] + [(i, "джд ж", "ru") for i in range(5)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(frame, model).collect():
+        words = regex.findall(r"\p{L}[\p{L}\p{M}]*", texts[r["doc_id"]])
+        assert (r["lang_pred"] == "und") == (not words)
+        assert sum(s["words"] for s in r["spans"]) == len(words)
+
+
 def test_odd_rows(odd, nothing):
     found = identify_documents(odd).collect()
     assert len(found) == 13
