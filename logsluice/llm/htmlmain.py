@@ -29,57 +29,110 @@ BLOCKS = frozenset(
     "caption blockquote pre figure figcaption address details summary hr body html hgroup center".split()
 )
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
-# Parts of class, id and role names of what is not main text.
+# Words of class, id and role names for what is not main text, ...
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside complementary widget "
-    "header masthead footer contentinfo copyright comment comments commentlist disqus reply replies respond "
-    "share sharing social related recommended pagination pager toolbar skip search login signup".split()
+    "header masthead footer contentinfo copyright share sharing social related recommended pagination pager "
+    "toolbar skip search login signup".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+# ... and words that may stand beside them. A name with any other word (no-sidebar,
+# article-share-wrap) is not taken for boilerplate.
+BESIDE = frozenset(
+    "the site page main top bottom left right primary secondary global inner outer user reader "
+    "box bar list item items area block section container wrapper wrap content slot unit links link icons buttons "
+    "button form group panel row col column inline sticky fixed cc u js posts articles stories thread policy".split()
+)
+# An element named as boilerplate stays if it holds this share of the page's text.
+MOST = 0.5
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>=]+|=)*)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 NAME = re.compile(r"[a-z]+")
-HIDDEN = re.compile(
-    r"(?i)\s(?:hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)"
-)
+HIDING = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 SPLIT_NAME = re.compile(r"(?<=[a-z])(?=[A-Z])")
+KEPT, NAMED, GONE = range(3)
+
+
+class Named:
+    """An element that its name tells to be boilerplate: how much text it holds, and what speaks against it."""
+
+    __slots__ = ("around", "chars", "comments", "heading", "article", "gone")
+
+    def __init__(self, around: Named | None, comments: bool) -> None:
+        self.around, self.comments = around, comments
+        self.chars, self.heading, self.article, self.gone = 0, False, False, False
+
+
+def _decide(named: list[Named], total: int) -> None:
+    """Comments always go; other elements not with the main heading, an article or most of the text.
+
+    ``named`` is in page order, so elements come after the one around them.
+    """
+    for element in reversed(named):
+        outer = element.around
+        if outer:
+            outer.chars += element.chars
+            outer.heading |= element.heading
+            outer.article |= element.article
+    for element in named:
+        holds = element.heading or element.article or element.chars > total * MOST
+        element.gone = element.comments or not holds or element.around is not None and element.around.gone
 
 
 class Element:
-    """An open element: its text so far, and the pieces of text below it."""
+    """An open element: its text so far, the pieces of text below it, the named element it is in."""
 
-    __slots__ = ("tag", "dropped", "main", "digest", "pieces", "inside")
+    __slots__ = ("tag", "dropped", "main", "digest", "pieces", "inside", "named")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, inside: bool) -> None:
-        self.tag, self.dropped, self.main, self.inside = tag, dropped, main, inside
+    def __init__(self, tag: str, dropped: bool, main: bool, inside: bool, named: Named | None) -> None:
+        self.tag, self.dropped, self.main, self.inside, self.named = tag, dropped, main, inside, named
         self.digest = xxhash.xxh3_64(tag.encode())
         self.pieces: list[int] = []
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _names(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names is made of these words and of words beside them alone."""
+    for name in value.split():
+        parts = NAME.findall(SPLIT_NAME.sub(" ", name).lower())
+        if not words.isdisjoint(parts) and all(part in words or part in BESIDE for part in parts):
+            return True
+    return False
+
+
+def _verdict(tag: str, attributes: str) -> tuple[int, bool]:
+    """Whether an element is kept, named as boilerplate or gone; and whether it holds comments."""
     if tag in DROPPED:
-        return True
+        return GONE, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
+        return KEPT, False
+    named = comments = False
     for name, value in ATTRIBUTE.findall(attributes):
-        if name.lower() == "aria-label":
-            continue
-        for part in NAME.findall(SPLIT_NAME.sub(" ", value).lower()):
-            if part in BOILERPLATE:
-                return True
-    return False
+        name = name.lower()
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return GONE, False
+        if name == "style" and HIDING.search(value):
+            return GONE, False
+        if name in ("class", "id", "role"):
+            comments |= _names(value, COMMENTS)
+            named |= _names(value, BOILERPLATE)
+    return (NAMED if named or comments else KEPT), comments
 
 
 class Page:
     """One pass over a page: its text pieces, and the hashes of its element subtrees.
 
+    An element whose name says boilerplate is left out at the end, when it is known what
+    it holds and how much that is of the page.
+
     A subtree's hash covers its tags and texts, not its attributes. ``blocks`` are
     (subtrees, text, main): the hashes of the block elements a piece of text lies in,
     innermost last. Only container elements can be templates where the page marks
@@ -89,10 +142,14 @@ class Page:
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[list[int], str, bool]] = []
         self.subtrees: list[tuple[int, bool]] = []
-        self._stack = [Element("", False, False, False)]
+        self._stack = [Element("", False, False, False, None)]
         self._texts: list[str] = []
         self._of: list[list[int]] = []
         self._main: list[bool] = []
+        self._all_named: list[Named] = []
+        self._named: list[Named | None] = []
+        self._articles: list[Named | None] = []
+        self._held: list[tuple[int, bool, Named | None]] = []
         self._buffer: list[str] = []
         self.has_main = False
         self._read(source)
@@ -122,8 +179,12 @@ class Page:
         while len(self._stack) > 1:
             self._pop()
         self._flush()
-        for text, of, main in zip(self._texts, self._of, self._main, strict=True):
-            self.blocks.append((of, text, main))
+        _decide(self._all_named, sum(map(len, self._texts)))
+        self.has_main = any(not (named and named.gone) for named in self._articles)
+        self.subtrees = [(value, text) for value, text, named in self._held if not (named and named.gone)]
+        for text, of, main, named in zip(self._texts, self._of, self._main, self._named, strict=True):
+            if not (named and named.gone):
+                self.blocks.append((of, text, main))
 
     def _text(self, raw: str) -> None:
         if not self._stack[-1].dropped:
@@ -145,22 +206,36 @@ class Page:
         self._texts.append(text)
         self._of.append([])
         self._main.append(top.inside)
+        self._named.append(top.named)
+        if top.named:
+            top.named.chars += len(text)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br" or tag == "hr":
             self._buffer.append(" ")
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             return
-        dropped = self._stack[-1].dropped or _boilerplate(tag, attributes)
-        if tag in BLOCKS or dropped:
+        top = self._stack[-1]
+        verdict, comments = (GONE, False) if top.dropped else _verdict(tag, attributes)
+        if tag in BLOCKS or verdict != KEPT:
             self._flush()
             if tag in BLOCKS:
                 self._imply(tag)
-        elif not dropped:
+                top = self._stack[-1]
+        else:
             return  # inline elements neither part texts nor make subtrees
+        dropped = top.dropped or verdict == GONE
+        named = top.named
+        if verdict == NAMED:
+            named = Named(top.named, comments)
+            self._all_named.append(named)
         main = tag in ("article", "main") and not dropped
-        self.has_main |= main
-        self._stack.append(Element(tag, dropped, main, self._stack[-1].inside or main))
+        if named and not dropped:
+            named.heading |= tag == "h1"
+            named.article |= main
+        if main:
+            self._articles.append(named)
+        self._stack.append(Element(tag, dropped, main, top.inside or main, named))
 
     def _imply(self, tag: str) -> None:
         """A block tag ends an open p; li, dt, dd, td, th, tr and option end their own kind."""
@@ -189,7 +264,7 @@ class Page:
             self._of[i].append(value)
         text_block = element.tag in TEXT_BLOCKS
         if element.pieces and not element.main and element.tag not in ("html", "body"):
-            self.subtrees.append((value, text_block))
+            self._held.append((value, text_block, element.named))
 
     def candidates(self) -> list[int]:
         """Hashes of the subtrees that may be templates, each once."""
@@ -262,8 +337,10 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
 
     Needs ``page_id``, ``url`` and ``html``; other columns are ignored. Returns page_id,
     url, text and n_chars. Left out are elements that are never main text (nav, header,
-    footer, aside, form, script, style, ...), elements whose class, id or role
-    names them so (menus, adverts, notices, comments, ...), hidden ones, everything
+    footer, aside, form, script, style, ...), hidden ones, elements that a name in class, id or
+    role tells to be boilerplate with all its words (menus, adverts, notices; not "no-sidebar")
+    and that hold neither a main heading (h1), an article nor most of the page's text, those
+    so named as reader comments whatever they hold, everything
     beside the article where one is marked, and site templates: subtrees of
     container elements that recur on at least ``min_pages`` different pages and
     ``min_share`` of the different pages of the host; copies of a page, those with the same

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -46,6 +48,19 @@ def test_given_pages(spark):
         ("<p>a</p><form><p>b<input></p></form><div hidden>c</div><div style='display:none'>d</div>", "a"),
         ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
         ("<p title='a > b'>t</p>", "t"),
+        ("<p title=it's>one</p><p title=isn't>two</p>", "one two"),
+        ("<p title=a\"b>one</p><p data-x = 'a>b' y=\"c>d\">two</p><p \"q>r</p>", "one two r"),
+        ("<p title='open>one</p>", "one"),
+        ('<div id="page" class="no-sidebar"><p>body</p></div><div class="sidebar">s</div>', "body"),
+        ('<div class="content has-sidebar"><p>body</p></div><p>more</p><p>and more</p>', "body more and more"),
+        ('<article><p>a</p><div class="article-share-wrap"><p>b</p></div></article>', "a b"),
+        ('<article><p>a</p><div class="share-links"><p>b</p></div></article>', "a"),
+        ('<div class="header"><h1>Title</h1></div><p>x</p><div class="top-banner">no</div><p>long text</p>', "Title x long text"),
+        ('<div class="side"><p>most of the text of a page</p></div><p>rest</p>', "most of the text of a page rest"),
+        ('<div class="menu"><article><p>a</p></article></div><p>out</p>', "a"),
+        ('<p>a</p><div id="comments"><article><h1>no</h1><p>not a word of this at all</p></article></div>', "a"),
+        ('<p data-id="ad" title="x class=ad">kept</p><p>a</p>', "kept a"),
+        ("<p>one</p><div class=cookie-banner><p>x</p><div><p>y</p></div></div><p>two three four</p>", "one two three four"),
         ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
         ("<article><h1>Title &am</h1><p>x</p></article>", "Title &am x"),
         ("<p>cut off <b", "cut off"),
@@ -92,6 +107,41 @@ def test_copies_of_a_page_are_one_page(spark, page):
     assert all(got[200 + i] == f"Text {i}" for i in range(12))
 
 
+def test_templates_equal_a_plain_count(spark):
+    """Pages made of known trees: which subtrees recur is counted on the trees themselves."""
+    rng = random.Random(3)
+    boxes = [[f"box {i}", [f"inner {i}"]] for i in range(6)]
+
+    def grown(depth):
+        if rng.random() < 0.4:
+            return rng.choice(boxes)
+        return [f"w{rng.randrange(10**9)}", *(grown(depth - 1) for _ in range(rng.randrange(3) if depth else 0))]
+
+    def source(node):
+        return node if isinstance(node, str) else "<div>" + "".join(map(source, node)) + "</div>"
+
+    def below(node):
+        return [repr(node), *(x for child in node if not isinstance(child, str) for x in below(child))]
+
+    def kept(node, bad):
+        if isinstance(node, str):
+            return [node]
+        return [] if repr(node) in bad else [x for child in node for x in kept(child, bad)]
+
+    pages = [(h, [grown(2) for _ in range(4)]) for h in range(3) for _ in range(40)]
+    pages += rng.choices(pages, k=40)  # copies count once
+    rows = [(i, f"http://h{h}/{i}", "".join(map(source, p)), "x", "x", "x") for i, (h, p) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    removed = 0
+    for i, (host, page) in enumerate(pages):
+        different = {repr(p): p for h, p in pages if h == host}.values()
+        counts = Counter(x for p in different for x in {x for node in p for x in below(node)})
+        bad = {x for x, n in counts.items() if n >= 5 and n >= 0.2 * len(different)}
+        assert got[i] == " ".join(x for node in page for x in kept(node, bad))
+        removed += got[i] != " ".join(x for node in page for x in kept(node, set()))
+    assert removed > 20
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None, "<p>a</p>", "x", "x", "x"),
