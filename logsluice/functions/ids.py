@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +13,22 @@ from pyspark.sql import functions as F
 # letters at the same places (no i, l, o, u).
 _CONV_DIGITS = "ijklmnopqrstuv"
 _ULID_DIGITS = "jkmnpqrstvwxyz"
+# The form of a ULID, whose first ten digits are milliseconds.
+_ULID = re.compile(r"[0-7][0-9a-hjkmnp-tv-z]{25}", re.IGNORECASE)
+_DIGITS = "0123456789abcdefghjkmnpqrstvwxyz"
+
+
+def ulid_time(entry_id: str) -> datetime | None:
+    """The moment that a ULID tells; ``None`` for other ids and for moments no calendar has."""
+    if not _ULID.fullmatch(entry_id):
+        return None
+    millis = 0
+    for digit in entry_id[:10].lower():
+        millis = millis * 32 + _DIGITS.index(digit)
+    try:
+        return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=millis)
+    except OverflowError:
+        return None
 
 
 def _base32(number: Column, base: int, width: int) -> Column:

@@ -24,6 +24,10 @@ RETRYABLE = ("08", "40")
 # many rows is spread over as many tasks as it has slices.
 SLICE_SECONDS = 60
 _BEFORE_ALL = -(2**63)
+# A slice of more rows is split by quantiles of its order, into parts of about
+# this many rows; a split looks through at most about this many bounds.
+HOT_ROWS = 50_000
+MOST_BOUNDS = 256
 # Slices of one TTL each that one task looks through for pauses.
 STRETCH = 10_000
 
@@ -35,13 +39,16 @@ def occurrences(
     scope: Sequence[str] = (),
     slice_seconds: int = SLICE_SECONDS,
     before: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds ``occurrence``: the row's running number within its key.
 
     ``order[0]`` is a timestamp; the others make the order total. Counting
     restarts in each ``scope``. Rows are counted per key and time slice first
     (combined before the shuffle); the exclusive running sum over the slices,
-    one row each, says where a slice starts. ``before`` holds earlier counts
+    one row each, says where a slice starts. A slice of more than ``hot_rows`` rows, many
+    failures of one instant say, is split at quantiles of the whole order, so that
+    the parts keep the order and none is hot. ``before`` holds earlier counts
     per key as ``(key..., n)``.
     """
     micros = epoch_micros(F.col(order[0]), df.schema[order[0]].dataType)
@@ -54,27 +61,57 @@ def occurrences(
             "_slice": F.coalesce(F.floor(micros / (slice_seconds * 1_000_000)), F.lit(0)).cast("bigint"),
         }
     )
-    counts = sliced.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sliced = _split_hot(sliced, order, hot_rows)
+    counts = sliced.groupBy("_key", "_slice", "_part").agg(F.count(F.lit(1)).alias("_n"))
     if before is not None:
         counts = counts.unionByName(
             before.select(
-                whole_key.alias("_key"), F.lit(_BEFORE_ALL).alias("_slice"), F.col("n").alias("_n")
+                whole_key.alias("_key"),
+                F.lit(_BEFORE_ALL).alias("_slice"),
+                F.lit(0).alias("_part"),
+                F.col("n").alias("_n"),
             )
         )
-    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(
+    earlier = Window.partitionBy("_key").orderBy("_slice", "_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = counts.select(
-        "_key", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+        "_key", "_slice", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
     )
-    in_slice = Window.partitionBy("_key", "_slice").orderBy(*order)
+    in_part = Window.partitionBy("_key", "_slice", "_part").orderBy(*order)
     return (
-        sliced.join(starts, ["_key", "_slice"])
-        .withColumn("occurrence", F.col("_start") + F.row_number().over(in_slice))
+        sliced.join(starts, ["_key", "_slice", "_part"])
+        .withColumn("occurrence", F.col("_start") + F.row_number().over(in_part))
         .select(*df.columns, "occurrence")
     )
 
 
+def _split_hot(sliced: DataFrame, order: Sequence[str], hot_rows: int) -> DataFrame:
+    """Adds ``_part``: 0, or in a slice of more than ``hot_rows`` rows how many bounds a row has reached.
+
+    Bounds are places in the order, drawn by their hash at a rate that gives parts of
+    about half of ``hot_rows`` rows, and at most about ``MOST_BOUNDS`` of them. Equal rows
+    reach the same bounds and so does a row that is read again.
+    """
+    place = F.struct(*order)
+    sizes = sliced.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > hot_rows)
+    draw = F.shiftrightunsigned(F.xxhash64(*order), 11) / F.lit(float(2**53))
+    rate = F.least(F.lit(2.0 / hot_rows), F.lit(float(MOST_BOUNDS)) / F.col("_rows"))
+    bounds = (
+        sliced.join(hot, ["_key", "_slice"])
+        .where(draw < rate)
+        .groupBy("_key", "_slice")
+        .agg(F.collect_set(place).alias("_bounds"))
+    )
+    reached = F.size(F.filter("_bounds", lambda bound: bound <= place))
+    return (
+        sliced.join(bounds, ["_key", "_slice"], "left")
+        .withColumn("_part", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(reached))
+        .drop("_bounds")
+    )
+
+
 def keep_beat(occurrence: Column, every: int = EVERY) -> Column:
     return (occurrence == 1) | (occurrence % every == 0)
 

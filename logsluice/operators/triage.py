@@ -92,8 +92,12 @@ def refusal(changes: DataFrame, overrides: dict | None = None) -> Column:
 
 
 def _newest(changes: DataFrame) -> DataFrame:
-    """One row per id: the newest given value of each column, in a struct that is null if none was given."""
-    order = F.struct("changed_at", "status")
+    """One row per id: the newest given value of each column, in a struct that is null if none was given.
+
+    Changes of one moment come in the order of their values, so that all columns take the
+    same one of them, however the log is partitioned.
+    """
+    order = F.struct("changed_at", "status", "changed_by", "note")
 
     def newest(column: str) -> Column:
         given = F.col(column).isNotNull()

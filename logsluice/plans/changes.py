@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsluice.functions.ids import ulid_time
 from logsluice.operators import filters
 from logsluice.operators.triage import (
     GIVEN,
@@ -58,6 +59,25 @@ def current_entries(
     )
 
 
+def find_stored(spark: SparkSession, table: str, entry_id: str, log: str | None = None) -> DataFrame:
+    """The stored entry with this id, as the change log has it now; an empty frame when there is none.
+
+    An id that tells its time is looked for on that day first, in one folder; any other id,
+    and one that is not there, in the whole table, where files without it are skipped by
+    their filters on ``id``.
+    """
+    moment = ulid_time(entry_id)
+    stored = live_rows(spark, table)
+    rows = stored.where(F.col("id") == entry_id)
+    if moment is not None and DAY in stored.columns:
+        near = rows.where(F.col(DAY) == F.lit(moment.date()))
+        rows = rows if near.isEmpty() else near
+    rows = rows.drop(DAY, "batch").limit(1)
+    if log is None:
+        return rows
+    return apply_changes(rows, read_changes(spark, log).where(F.col("id") == entry_id))
+
+
 def _days_of(spark: SparkSession, table: str, ids: Ids) -> list[date]:
     """The days that hold listed entries; no more than the table has folders."""
     stored = live_rows(spark, table).select("id", DAY)

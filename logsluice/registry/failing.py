@@ -37,6 +37,19 @@ def failures_of(le):
     )
 
 
+@entries_query(
+    "heartbeat_one_instant",
+    _FAILURES
+    + """SELECT id, line, occurrence FROM (SELECT id, line, row_number() OVER (PARTITION BY line ORDER BY id) AS occurrence FROM fa)
+    WHERE occurrence = 1 OR occurrence % 10 = 0""",
+)
+def _one_instant(le):
+    """All failures at one instant and under one key: a single slice, split by the order of their ids."""
+    failed = failures_of(le).withColumn("at", F.lit(NOW))
+    beats = fl.heartbeat(failed, key=["line"], order=["at", "id"], every=10, hot_rows=500)
+    return beats.select("id", "line", "occurrence")
+
+
 _NUMBERED = _FAILURES + """, n AS (SELECT *, row_number() OVER (PARTITION BY class, file, line ORDER BY "at", id) AS occurrence FROM fa)
 """
 

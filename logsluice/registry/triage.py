@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from logsluice.operators import triage
 from logsluice.operators.status import status_dimension, valid_changes
 from logsluice.plans import retention
-from logsluice.plans.changes import current_entries, delete_stored, fold_changes, record_changes
+from logsluice.plans.changes import (
+    current_entries,
+    delete_stored,
+    find_stored,
+    fold_changes,
+    record_changes,
+)
 from logsluice.registry.base import NOW, entries, entries_query, query
 from logsluice.registry.listing import stored_entries
 from logsluice.session import scratch_path
@@ -235,3 +241,39 @@ def _delete_stored(spark, sf_dir):
     path = stored_entries(spark, sf_dir, "deleted")
     delete_stored(spark, path, entries(spark, sf_dir).where("level = 'info'").select("id"))
     return read_entries(spark, path).select("id", "level")
+
+
+@query(
+    "latest_of_equal_times",
+    """SELECT id, arg_max(status, k) AS status, arg_max(changed_by, k) AS changed_by FROM (
+      SELECT trace_id AS id, status, concat('u', CAST(user_id AS VARCHAR(20))) AS changed_by,
+        {'a': status, 'b': concat('u', CAST(user_id AS VARCHAR(20)))} AS k
+      FROM le WHERE trace_id IS NOT NULL AND user_id IS NOT NULL) GROUP BY id""",
+)
+def _equal_times(spark, sf_dir):
+    """Every trace gets the changes of all its entries at one moment: the greatest is taken whole."""
+    rows = entries(spark, sf_dir).where("trace_id IS NOT NULL AND user_id IS NOT NULL")
+    changed = rows.select(
+        F.col("trace_id").alias("id"),
+        "status",
+        F.lit(NOW).alias("changed_at"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("changed_by"),
+        F.lit(None).cast("string").alias("note"),
+    )
+    return triage.latest_status(changed).select("id", "status", "changed_by")
+
+
+@query(
+    "find_stored",
+    _CHANGES
+    + """SELECT id, message, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'resolved' ELSE status END AS status,
+      CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN concat('note ', level) END AS note
+    FROM le WHERE id = (SELECT max(id) FROM le WHERE level = 'error' AND CAST(id AS BIGINT) % 9 = 0)""",
+)
+def _find_stored(spark, sf_dir):
+    """The last error with a note, as the stored table and the change log have it."""
+    path, log = stored_entries(spark, sf_dir, "looked-up"), scratch_path(spark, "changes")
+    record_changes(changes(entries(spark, sf_dir)), log)
+    wanted = read_entries(spark, path).where("level = 'error' AND CAST(id AS BIGINT) % 9 = 0")
+    entry_id = wanted.agg(F.max("id")).first()[0]
+    return find_stored(spark, path, entry_id, log).select("id", "message", "status", "note")

@@ -5,8 +5,10 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from logsluice.functions.ids import ulid, ulid_time
 from logsluice.operators import failures as fl
 from logsluice.operators import triage
+from logsluice.plans.changes import find_stored, record_changes
 from logsluice.plans.retention import effective_days, prune, prune_preview, prune_table
 from logsluice.session import scratch_path
 from logsluice.sources.entries import append_entries, jdbc_options, read_entries
@@ -297,6 +299,67 @@ def test_a_hot_key_is_spread_over_tasks(spark):
     assert sorted(r.occurrence for r in numbered.collect()) == list(range(1, 2001))
 
 
+def test_one_hot_instant_is_spread_over_tasks(spark):
+    """Failures of one key and one instant, some without a text: parts keep the order of numbers."""
+    df = spark.range(0, 40_000, 1, 8).select(
+        "id",
+        F.lit("E").alias("class"),
+        F.lit("f.php").alias("file"),
+        F.lit(1).alias("line"),
+        F.when(F.col("id") % 1000 > 0, F.sha2(F.col("id").cast("string"), 256)).alias("error"),
+        F.lit(T0).alias("at"),
+    )
+    order = ["at", "error", "id"]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        numbered = fl.occurrences(df, order=order, hot_rows=1000)
+        rows = numbered.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    tasks = [sum(r.task == t for r in rows) for t in {r.task for r in rows}]
+    assert len(tasks) == 8 and max(tasks) < 15_000
+    want = sorted(rows, key=lambda r: (r.error is not None, r.error or "", r.id))
+    assert [r.occurrence for r in want] == list(range(1, 40_001))
+    before = spark.createDataFrame([("E", "f.php", 1, 5)], "class string, file string, line int, n long")
+    later = fl.occurrences(df, order=order, before=before, hot_rows=1000)
+    assert later.agg(F.min("occurrence"), F.max("occurrence"), F.count_distinct("occurrence")).first()[:] == (6, 40_005, 40_000)
+
+
+def test_changes_of_one_moment_are_taken_whole(spark, now):
+    data = [("1", "resolved", now, by, note) for by, note in [("a", "z"), ("c", "x"), ("b", None), (None, "y")]]
+    frame = spark.createDataFrame(data, "id string, status string, changed_at timestamp, changed_by string, note string")
+    for parts in (1, 2, 4):
+        (row,) = triage.latest_status(frame.repartition(parts)).collect()
+        assert (row.status, row.changed_by, row.note) == ("resolved", "c", "x")
+
+
+def test_a_stored_entry_is_found_on_the_day_its_id_tells(spark, now):
+    def millis(day):
+        return F.lit(int((T0 + timedelta(days=day)).timestamp() * 1000))
+
+    path, log = scratch_path(spark, "by-id"), scratch_path(spark, "by-id-log")
+    ids = [spark.range(1).select(ulid(millis(day), [F.lit(day)])).first()[0] for day in range(4)]
+    data = [(i, "error", f"m{n}", T0 + timedelta(days=n)) for n, i in enumerate(ids)]
+    data += [("other", "info", "m9", T0), (ids[3].replace(ids[3][-1], "0"), "info", "moved", T0)]
+    frame = spark.createDataFrame(data, "id string, level string, message string, occurred_at timestamp")
+    append_entries(frame, path, now)
+    assert ulid_time(ids[2]) == T0 + timedelta(days=2)
+    assert ulid_time("other") is None and ulid_time("7" + "z" * 25) is None and ulid_time("8" + "0" * 25) is None
+    for entry_id, _, message, _ in data:
+        assert [r.message for r in find_stored(spark, path, entry_id).collect()] == [message]
+    assert {f.split("date=")[1][:10] for f in find_stored(spark, path, ids[2]).inputFiles()} >= {"2024-01-03"}
+    assert "2024-01-03" in find_stored(spark, path, ids[2])._jdf.queryExecution().executedPlan().toString()
+    assert find_stored(spark, path, "absent").count() == 0
+    changed = [(ids[1], "resolved", now, "me", "seen")]
+    record_changes(
+        spark.createDataFrame(changed, "id string, status string, changed_at timestamp, changed_by string, note string"), log
+    )
+    (row,) = find_stored(spark, path, ids[1], log).collect()
+    assert (row.status, row.note, row.message) == ("resolved", "seen", "m1")
+    assert [r.status for r in find_stored(spark, path, ids[0], log).collect()] == ["open"]
+
+
 def test_user_ids_beyond_bigint_match_nothing(rows):
     from logsluice.operators.filters import user_id
 
