@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +15,49 @@ from logsluice.operators.failures import EVERY, FAILURE_KEY, keep_beat, occurren
 from logsluice.session import drop_path
 from logsluice.streaming.identity import stream_id
 
+# So many runs of counters of one level are merged into one of the next.
+FAN = 8
+
+Run = tuple[int, int]
+
+
+def live_runs(batch: int) -> list[Run]:
+    """The runs, as (level, first batch), that hold the counts of all batches before ``batch``.
+
+    A run of level n is that of ``FAN ** n`` batches; the digits of the number tell how many
+    there are of each level.
+    """
+    runs, first = [], 0
+    level = 0
+    while FAN ** (level + 1) <= batch:
+        level += 1
+    for level in range(level, -1, -1):
+        while first + FAN**level <= batch:
+            runs.append((level, first))
+            first += FAN**level
+    return runs
+
+
+def merged_at(batch: int) -> list[Run]:
+    """The runs that are merged once ``batch`` has written its own, ``FAN`` of each level, lowest level first."""
+    merged = []
+    level = 0
+    while batch >= 0 and (batch + 1) % FAN ** (level + 1) == 0:
+        start = batch + 1 - FAN ** (level + 1)
+        merged += [(level, start + i * FAN**level) for i in range(FAN)]
+        level += 1
+    return merged
+
+
+def _run_path(counters: str, level: int, first: int) -> str:
+    return f"{counters}/level={level}/first={first}"
+
+
+def _counters(spark: SparkSession, counters: str, runs: Sequence[Run], schema: T.StructType) -> DataFrame:
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(_run_path(counters, *run) for run in runs))
+
 
 def heartbeat_stream(
     failures: DataFrame,
@@ -26,12 +71,15 @@ def heartbeat_stream(
 ) -> StreamingQuery:
     """Writes the first and every ``every``-th failure of each key to ``out``.
 
-    The state is one counter per key, written as a small table for every
-    micro-batch. Numbering a micro-batch is the batch operator on top of the
-    counters, so a key with very many rows is spread over tasks, which a state
-    function called once per key could not do. A replayed micro-batch starts
-    from the counters of the one before it and overwrites its own output. A new
-    checkpoint is a new stream: it counts from the start and writes beside.
+    The state is runs of counters, one per key. A micro-batch writes a run of its own keys
+    alone; ``FAN`` runs of one level are merged into one of the next, so a counter is written
+    once per level and what a batch writes follows the keys it holds. Which runs there are
+    follows from the batch's number, and no run is removed before the batch that merged it
+    is committed: a replayed micro-batch reads the runs it read before and overwrites its own.
+    Of the counters before, only those of the batch's keys go into the numbering, which is
+    the batch operator; so a key with very many rows is spread over tasks, which a state
+    function called once per key could not do. A new checkpoint is a new stream: it counts
+    from the start and writes beside.
     """
     schema = failures.select(*key).schema.add("n", T.LongType())
 
@@ -41,19 +89,22 @@ def heartbeat_stream(
         counters = f"{state}/stream={stream}"
         rows.persist()
         try:
-            if batch == 0:
-                before = spark.createDataFrame([], schema)
-            else:
-                before = spark.read.schema(schema).parquet(f"{counters}/batch={batch - 1}")
-            numbered = occurrences(rows, key, order, before=before)
+            for level, first in merged_at(batch - 1):
+                drop_path(spark, _run_path(counters, level, first))
+            here = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+            before = _counters(spark, counters, live_runs(batch), schema)
+            same_key = reduce(and_, (F.col(f"known.{c}").eqNullSafe(F.col(f"here.{c}")) for c in key))
+            known = before.alias("known").join(here.alias("here"), same_key, "left_semi")
+            numbered = occurrences(rows, key, order, before=known)
             numbered.where(keep_beat(F.col("occurrence"), every)).write.mode(
                 "overwrite"
             ).parquet(f"{out}/stream={stream}/batch={batch}")
-            here = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-            after = before.unionByName(here).groupBy(*key).agg(F.sum("n").alias("n"))
-            after.write.mode("overwrite").parquet(f"{counters}/batch={batch}")
-            # A replay needs the counters before it, nothing older.
-            drop_path(spark, f"{counters}/batch={batch - 2}")
+            here.write.mode("overwrite").parquet(_run_path(counters, 0, batch))
+            merges = merged_at(batch)
+            for level, first in merges[::FAN]:
+                runs = [run for run in merges if run[0] == level]
+                total = _counters(spark, counters, runs, schema).groupBy(*key).agg(F.sum("n").alias("n"))
+                total.write.mode("overwrite").parquet(_run_path(counters, level + 1, first))
         finally:
             rows.unpersist()
 
