@@ -215,6 +215,23 @@ def _list_table(spark, sf_dir):
     return page.rows.select(*_ROW_COLUMNS)
 
 
+@query(
+    "list_stored_meta",
+    f"""SELECT least(count(*), 1000) AS count, count(*) > 1000 AS has_next_count, count(*) > 25 AS has_next,
+      CASE WHEN count(*) > 25 THEN max(id) FILTER (WHERE place = 25) END AS last_id, 25 AS per_page
+    FROM (SELECT id, row_number() OVER (ORDER BY occurred_at DESC, id DESC) AS place FROM le
+      WHERE {_BEFORE} AND level IN ('error','info') AND status='open')""",
+)
+def _list_table_meta(spark, sf_dir):
+    """The footer of the first stored page after a cursor, with the id its next cursor stands at."""
+    path = stored_entries(spark, sf_dir, "footers")
+    meta = list_table(spark, path, per_page=25, cursor=_CURSOR, levels=["error", "info"]).meta
+    told = F.unbase64("next_cursor").cast("string")
+    return meta.select(
+        "count", "has_next_count", "has_next", F.get_json_object(told, "$.id").alias("last_id"), "per_page"
+    )
+
+
 @query(
     "newest_page",
     f"SELECT {_ROW} FROM le WHERE {_BEFORE} AND level='error' AND status='open' AND channel='stack' "

@@ -226,6 +226,82 @@ def test_heartbeat_stream_counts_on(spark, tmp_path):
     assert got == sorted((r["class"], r.occurrence, r.id) for r in want) and len(got) == 6
 
 
+def test_runs_of_counters_cover_every_batch_once_and_survive_replays():
+    from logsluice.streaming.heartbeat import FAN, live_runs, merged_at
+
+    there = set()
+    for batch in range(600):
+        runs = live_runs(batch)
+        covered = [b for level, first in runs for b in range(first, first + FAN**level)]
+        assert covered == list(range(batch)) and len(runs) <= 7 * 4
+        for _ in range(2):  # The second time is a replay after a crash at the end.
+            there -= set(merged_at(batch - 1))
+            assert there >= set(runs)
+            there.add((0, batch))
+            merged = merged_at(batch)
+            for level, first in merged[::FAN]:
+                assert there >= {run for run in merged if run[0] == level}
+                there.add((level + 1, first))
+    assert len(there) < 40
+
+
+def test_heartbeat_stream_merges_counters_and_replays_a_batch(spark, tmp_path):
+    source, out, state, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state", "cp"))
+    df = failures(spark, 300, key=lambda i: f"k{i // 40}" if i % 2 else None)
+
+    def run():
+        rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(source)
+        heartbeat_stream(rows, out, state, checkpoint, order=["at", "id"], every=20).awaitTermination()
+
+    def beats():
+        return sorted((str(r["class"]), r.occurrence, r.id) for r in spark.read.parquet(out).collect())
+
+    for part in range(8):
+        df.where(f"id >= {part * 30} AND id < {part * 30 + 30}").coalesce(1).write.mode("append").parquet(source)
+    run()
+    first = beats()
+    # The merging batch was not committed: it runs again.
+    (tmp_path / "cp" / "commits" / "7").unlink()
+    (tmp_path / "cp" / "commits" / ".7.crc").unlink(missing_ok=True)
+    run()
+    assert beats() == first
+    for part in (8, 9):
+        df.where(f"id >= {part * 30} AND id < {part * 30 + 30}").coalesce(1).write.mode("append").parquet(source)
+        run()
+    want = fl.heartbeat(df, order=["at", "id"], every=20).collect()
+    assert beats() == sorted((str(r["class"]), r.occurrence, r.id) for r in want)
+    runs = sorted(p.relative_to(state).parts[1:] for p in (tmp_path / "state").glob("*/*/*"))
+    assert runs == [("level=0", "first=8"), ("level=0", "first=9"), ("level=1", "first=0")]
+    # A batch writes a counter for each of its own keys (two and null), not for all nine.
+    assert spark.read.parquet(f"{next((tmp_path / 'state').iterdir())}/level=0/first=9").count() == 3
+
+
+def test_list_table_scans_a_day_once_and_reads_the_page_by_id(spark, rows):
+    from logsluice.operators.paging import page_meta, read_cursor
+    from logsluice.plans.listing import list_table
+
+    path = scratch_path(spark, "pages")
+    append_entries(rows, path, T0)
+    stored = read_entries(spark, path)
+    cursor, seen = None, []
+    while True:
+        listing = list_table(spark, path, per_page=2, cursor=cursor)
+        want, got = page_meta(stored, 2, cursor).first(), listing.meta.first()
+        assert got.asDict() | {"next_cursor": read_cursor(got.next_cursor)} == want.asDict() | {
+            "next_cursor": read_cursor(want.next_cursor)
+        }
+        seen += [r.id for r in listing.rows.collect()]
+        if not got.has_next:
+            break
+        assert len({f.split("date=")[1][:10] for f in listing.rows.inputFiles()}) <= 6
+        cursor = got.next_cursor
+    assert seen == [r.id for r in stored.orderBy(F.desc("occurred_at"), F.desc("id")).collect()]
+    empty = list_table(spark, path, levels="no such level")
+    assert empty.rows.collect() == [] and empty.meta.first().asDict() == {
+        "has_next": False, "next_cursor": None, "per_page": 50, "count": 0, "has_next_count": False,
+    }
+
+
 def test_follow_files_takes_new_files_once(spark, tmp_path, now):
     folder, table, checkpoint = tmp_path / "logs", str(tmp_path / "t"), str(tmp_path / "cp")
     folder.mkdir()
