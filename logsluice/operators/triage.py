@@ -91,19 +91,39 @@ def refusal(changes: DataFrame, overrides: dict | None = None) -> Column:
     )
 
 
+def _when_given(changes: DataFrame, column: str) -> Column:
+    """The place of a change in the order of changes, null where it gives the column no value."""
+    given = F.col(column).isNotNull()
+    if GIVEN.get(column) in changes.columns:
+        given = given | F.coalesce(F.col(GIVEN[column]), F.lit(False))
+    return F.when(given, F.struct("changed_at", "status", "changed_by", "note"))
+
+
+def winning_changes(changes: DataFrame) -> DataFrame:
+    """The changes, whole, that set each entry's newest values: at most three for an id.
+
+    With any further changes they give what all changes together would.
+    """
+    whole = F.struct(*changes.columns)
+    winners = changes.groupBy("id").agg(
+        F.array_distinct(
+            F.array_compact(
+                F.array(*(F.max_by(whole, _when_given(changes, c)) for c in ("status", "changed_by", "note")))
+            )
+        ).alias("won")
+    )
+    return winners.select(F.inline("won"))
+
+
 def _newest(changes: DataFrame) -> DataFrame:
     """One row per id: the newest given value of each column, in a struct that is null if none was given.
 
     Changes of one moment come in the order of their values, so that all columns take the
     same one of them, however the log is partitioned.
     """
-    order = F.struct("changed_at", "status", "changed_by", "note")
 
     def newest(column: str) -> Column:
-        given = F.col(column).isNotNull()
-        if GIVEN.get(column) in changes.columns:
-            given = given | F.coalesce(F.col(GIVEN[column]), F.lit(False))
-        return F.max_by(F.struct(F.col(column).alias("value")), F.when(given, order)).alias(column)
+        return F.max_by(F.struct(F.col(column).alias("value")), _when_given(changes, column)).alias(column)
 
     return changes.groupBy("id").agg(
         newest("status"),

@@ -223,6 +223,33 @@ def _fold(spark, sf_dir):
     return read_entries(spark, path).select(*_COLUMNS)
 
 
+@query(
+    "fold_late_changes",
+    """SELECT id, CASE WHEN n % 3 = 0 THEN 'resolved' ELSE status END AS status,
+      CASE WHEN n % 3 = 0 THEN occurred_at + INTERVAL 2 HOUR END AS status_changed_at,
+      CASE WHEN n % 3 = 0 THEN coalesce(channel, CASE WHEN n % 6 = 0 THEN 'late' END) END AS status_changed_by,
+      CASE WHEN n % 9 = 0 THEN concat('note ', level) WHEN n % 6 = 0 THEN 'older' END AS note
+    FROM (SELECT *, CAST(id AS BIGINT) AS n FROM le)""",
+)
+def _fold_late(spark, sf_dir):
+    """Changes are folded in; then older ones of every second entry come, which give only what the others did not."""
+    path, log = stored_entries(spark, sf_dir, "folded"), scratch_path(spark, "changes")
+    made = changes(entries(spark, sf_dir))
+    record_changes(made, log)
+    fold_changes(spark, path, log)
+    older = made.where("CAST(id AS BIGINT) % 6 = 0").withColumns(
+        {
+            "status": F.lit("ignored"),
+            "changed_at": F.expr("changed_at - INTERVAL 4 HOURS"),
+            "changed_by": F.lit("late"),
+            "note": F.lit("older"),
+        }
+    )
+    record_changes(older, log)
+    fold_changes(spark, path, log)
+    return current_entries(spark, path, log).select(*_COLUMNS)
+
+
 @query(
     "current_entries",
     _CHANGES

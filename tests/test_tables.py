@@ -226,6 +226,50 @@ def test_heartbeat_stream_counts_on(spark, tmp_path):
     assert got == sorted((r["class"], r.occurrence, r.id) for r in want) and len(got) == 6
 
 
+def test_folds_take_changes_off_the_log(spark, rows, now, monkeypatch):
+    from logsluice.plans import changes as pc
+
+    path, log = scratch_path(spark, "folds"), scratch_path(spark, "date=1 of changes")
+    append_entries(rows, path, T0)
+    schema = "id string, status string, changed_at timestamp, changed_by string, note string, note_given boolean"
+    made = [
+        ("1", "resolved", now, "a", "first", None),
+        ("1", None, now + timedelta(hours=2), None, None, True),
+        ("1", "ignored", now + timedelta(hours=1), None, None, None),
+        ("1", "open", now - timedelta(hours=1), "late", "older note", None),
+        ("2", None, now, None, "only", None),
+        ("1", None, now + timedelta(hours=1), "b", "cleared later", None),
+    ]
+    everything = spark.createDataFrame(made, schema)
+    want = sorted(map(str, triage.apply_changes(read_entries(spark, path), everything).collect()))
+    monkeypatch.setattr(pc, "MANY_FILES", 2)
+    dropped = pc._drop_files
+    for number, change in enumerate(made):
+        record_changes(spark.createDataFrame([change], schema), log)
+        if number == 2:
+            continue  # Two changes in one fold.
+        if number == 3:  # Stopped before it removes what it folded.
+            monkeypatch.setattr(pc, "_drop_files", lambda spark, files: None)
+        pc.fold_changes(spark, path, log)
+        monkeypatch.setattr(pc, "_drop_files", dropped)
+        here = triage.apply_changes(
+            pc.read_entries(spark, path), spark.createDataFrame(made[: number + 1], schema)
+        ).collect()
+        assert sorted(map(str, pc.current_entries(spark, path, log).collect())) == sorted(map(str, here))
+    assert pc._files(spark, log) == [] and pc.read_changes(spark, log) is None
+    stored = read_entries(spark, path)
+    assert sorted(map(str, stored.select(*triage.apply_changes(stored, everything).columns).collect())) == want
+    kept = spark.read.parquet(pc.folded_path(log))
+    assert triage.winning_changes(kept).where("id = '1'").count() <= 3
+    files = read_entries(spark, path).inputFiles()
+    pc.fold_changes(spark, path, log)
+    assert read_entries(spark, path).inputFiles() == files
+    plan = pc.current_entries(spark, path, log)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    everything.where("id = '2'").select("id", "status", "changed_at", "changed_by", "note").write.mode("append").parquet(log)
+    assert find_stored(spark, path, "2", log).first().note == "only"
+
+
 def test_runs_of_counters_cover_every_batch_once_and_survive_replays():
     from logsluice.streaming.heartbeat import FAN, live_runs, merged_at
 
