@@ -82,6 +82,26 @@ def test_late_files_are_stored_and_copies_told(spark, tmp_path, now):
     assert not (tmp_path / "table-rejected").exists() or not list((tmp_path / "table-rejected").glob("batch=*"))
 
 
+@pytest.mark.parametrize("channel", ["app", "deprecations"])
+def test_a_stream_may_begin_with_batches_that_store_nothing(spark, tmp_path, now, channel):
+    """A file without rows first, then one whose rows may all be left out, then others."""
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    rows = spark.range(10).select(
+        F.col("id").cast("string").alias("id"),
+        F.lit("info").alias("level"),
+        F.lit("said").alias("message"),
+        F.lit(None).cast("string").alias("context"),
+        F.lit(channel).alias("channel"),
+        F.lit(START).alias("occurred_at"),
+    )
+    for part in (rows.where("id < 0"), rows.where("id < 5"), rows):
+        part.coalesce(1).write.mode("append").parquet(source)
+        records = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(source)
+        ingest_stream(records, table, str(tmp_path / "check"), now, mode="queue").awaitTermination()
+    want = [str(i) for i in range(10)] if channel == "app" else []
+    assert sorted(r.id for r in read_entries(spark, table).collect()) == want
+
+
 def test_a_replayed_batch_does_not_take_itself_for_a_copy(spark, tmp_path, now):
     from logsluice.streaming.ingest import capture_batch
 
