@@ -8,7 +8,9 @@ pass, only for the rows that need it, and copy what they do not change.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
+from json.encoder import encode_basestring, encode_basestring_ascii
 
 import pandas as pd
 from pyspark.sql import Column
@@ -120,9 +122,22 @@ class _Number(str):
     """A JSON number as it is written, whatever its size or digits."""
 
 
+# NaN and Infinity are not JSON; they read as null.
+_READER = json.JSONDecoder(
+    object_pairs_hook=_Pairs, parse_float=_Number, parse_int=_Number, parse_constant=lambda _: None
+)
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def _read(text: str) -> object:
+    return _READER.decode(text)
+
+
 def _string(text: str) -> str:
     # Half of a surrogate pair, as a cut emoji leaves it, has no UTF-8 form.
-    return json.dumps(text, ensure_ascii=any("\ud800" <= c <= "\udfff" for c in text))
+    if not text.isascii() and _HALF.search(text):
+        return encode_basestring_ascii(text)
+    return encode_basestring(text)
 
 
 def _written(value: object) -> str:
@@ -186,14 +201,7 @@ def _shaper(
 
     def clean(text: str) -> str:
         try:
-            # NaN and Infinity are not JSON; they read as null.
-            root = json.loads(
-                text,
-                object_pairs_hook=_Pairs,
-                parse_float=_Number,
-                parse_int=_Number,
-                parse_constant=lambda _: None,
-            )
+            root = _read(text)
             if isinstance(root, _Pairs):
                 root = _Pairs(
                     (k, hide(k, shape(v, 1 if every_depth else 0))) for k, v in root if not k.startswith(prefixes)
@@ -258,17 +266,14 @@ def clean_context(
         clean = _shaper(keys, tuple(prefixes), False, depth, TOO_DEEP, None)
     # Most contexts hold none of the things looked for and stay as they are:
     # no more brackets than the depth allows, no exception, no internal or
-    # sensitive key, no long text.
-    brackets = F.length(context) - F.length(F.translate(context, "[{", ""))
-    needed = (
-        (brackets > depth + 1)
-        | F.contains(context, F.lit("exception"))
-        | F.contains(context, F.lit("\\u"))
+    # sensitive key, no long text. What is told without a look at the text comes first.
+    brackets = F.octet_length(context) - F.octet_length(
+        F.replace(F.replace(context, F.lit("[")), F.lit("{"))
     )
+    needed = F.octet_length(context) > HANDLER_TEXT if handler else F.lit(False)
+    needed = needed | F.contains(context, F.lit("exception")) | F.contains(context, F.lit("\\u"))
     for prefix in prefixes:
         needed = needed | F.contains(context, F.lit('"' + prefix))
     for key in keys or ():
         needed = needed | F.contains(F.lower(context), F.lit(key))
-    if handler:
-        needed = needed | (F.octet_length(context) > HANDLER_TEXT)
-    return _apply(clean, context, needed)
+    return _apply(clean, context, needed | (brackets > depth + 1))
