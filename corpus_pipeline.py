@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import stored
+from logsluice.llm.common import forget, stored
 from logsluice.llm.exactdedup import drop_exact_duplicates
 from logsluice.llm.langid import keep_identified
 from logsluice.llm.mixing import mix_rows
@@ -29,9 +29,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; all without words stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = stored(kept, "near-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    found = near_duplicates(docs)
+    # All rows of an id are kept or dropped, and a null id is kept. The ids to drop are mostly the fewer ones,
+    # and few enough are broadcast, so that the texts stay where they are.
+    dropped = stored(found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "near-dropped")
+    forget(found)
+    return docs.join(dropped, docs["doc_id"] == dropped["__id"], "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written, read again, and removed after the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(last)
+        last = docs
     return docs

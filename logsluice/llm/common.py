@@ -68,7 +68,8 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], name:
     Rows of a group are split by the hash of their order columns into ``splits``
     parts; each part is numbered on its own and begins where the parts before it
     end. Only the part sizes (groups x splits rows) are summed in one place per
-    group. The numbering follows the part, then ``order``. ``rows`` must be
+    group; they are stored, so that Spark knows their size and need not deal the rows
+    anew to join them. The numbering follows the part, then ``order``. ``rows`` must be
     stored or cheap, as it is read twice.
     """
     part = F.pmod(F.xxhash64(*order), F.lit(splits)).cast("int")
@@ -80,6 +81,7 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], name:
         F.col("__part").alias("__p"),
         (F.sum("__n").over(window) - F.col("__n")).alias("__start"),
     )
+    starts = stored(starts, "part-starts")
     on = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)]
     inside = F.row_number().over(_window([*group, "__part"], order)) - 1
     return (

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import WHITE_SPACE, pick, shuffle_tasks, stored
+from logsluice.llm.common import WHITE_SPACE, forget, pick, shuffle_tasks, stored
 
 MAX_DEPTH = 14
 
@@ -193,9 +193,12 @@ def drop_exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     Rows that share doc_id and text leave one row, too. A null doc_id stays only
     where its whole group has null ids.
     """
-    decided = stored(exact_duplicates(docs, capacity), "exact-groups")
+    index = exact_duplicates(docs, capacity)
+    decided = stored(index, "exact-groups")
+    forget(index)
     kept = decided.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
     kept = stored(kept.withColumnsRenamed({"doc_id": "id", "text_sha256": "sha"}), "exact-kept")
+    forget(decided)
     norm = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE_SPACE, "")
     rows = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(norm, 256).alias("digest")

@@ -113,13 +113,15 @@ def _scheduled(rows: DataFrame, weights: Mapping[str | None, float] | None, alph
     pattern = spark.createDataFrame(pattern, "s2 string, phase2 int, j long, rel long, dead long, at long")
     turn = (F.col("block") - F.col("first")) / F.col("quota")
     start = F.col("slot0") + F.floor(turn) * F.col("period")
+    # Both tables were made on the driver. Without the hint their size is unknown to Spark, which then deals
+    # the rows anew for each join, with all they carry.
     return (
         numbered(rows, ["__source"], ["__order"], "__row")
         .withColumn("block", F.floor(F.col("__row") / block))
-        .join(spans, (F.col("__source") == F.col("s")) & F.col("block").between(F.col("first"), F.col("end") - 1))
+        .join(F.broadcast(spans), (F.col("__source") == F.col("s")) & F.col("block").between(F.col("first"), F.col("end") - 1))
         .withColumn("__j", (F.col("block") - F.col("first")) % F.col("quota"))
         .join(
-            pattern,
+            F.broadcast(pattern),
             (F.col("__source") == F.col("s2")) & (F.col("phase") == F.col("phase2")) & (F.col("__j") == F.col("j")),
         )
         .withColumn("release", (start + F.col("rel")).cast("long"))
@@ -179,7 +181,8 @@ def mix_rows(
     """``docs`` with all its columns, in the order of ``mix_schedule``.
 
     Partitions follow each other in that order and are sorted inside, so every
-    stretch of the files written from it has the target mix.
+    stretch of the files written from it has the target mix. Whole rows are dealt twice: to be
+    numbered, and to their place.
     """
     rows = docs.select(F.struct("*").alias("__kept"), *_keys(docs))
     placed = _scheduled(rows, weights, alpha, block_rows).select("__kept", "position")

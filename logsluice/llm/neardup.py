@@ -360,11 +360,13 @@ def _joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     new = labels.join(found, labels["component"] == found["node"], "left").select(
         "rep", F.coalesce(found["component"], labels["component"]).alias("component")
     )
-    return stored(new, "labels"), pairs
+    new = stored(new, "labels")
+    forget(found)
+    return new, pairs
 
 
-def _star_pairs(groups: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Rows of a group paired with its hubs, across components: one hub first, later HUBS of them.
+def _star_pairs(groups: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of a group paired with its hubs, across components: one hub first, later HUBS of them. And the stored hubs.
 
     Hubs are the least of each part of a group in an order that changes with the turn.
     """
@@ -379,12 +381,13 @@ def _star_pairs(groups: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     )
     hubs = hubs.where("c0 <> c1").select("band", F.explode(F.array(*(f"hub{k}" for k in range(parts)))).alias("hub"))
     hubs = stored(hubs.where("hub IS NOT NULL"), "hubs")
-    return (
+    pairs = (
         placed.join(hubs, "band")
         .where("component <> hub.component")
         .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
         .distinct()
     )
+    return pairs, hubs
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -427,17 +430,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         usable.join(reps, usable["doc_id"] == reps["rep"]).dropDuplicates(["rep"]).drop("set_a", "set_b", "doc_id"),
         "class-sketches",
     )
+    sizes = stored(rows.select("doc_id", "n_shingles"), "set-sizes")
+    forget(rows)
     keyed = sketches.select("rep", F.explode("bands").alias("band"))
-    many = stored(keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")), "bands")
-    many = many.where("hub <> far")
-    groups = stored(keyed.join(many.select("band"), "band"), "band-groups")
+    many = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"))
+    many = stored(many.where("hub <> far").select("band"), "bands")
+    groups = stored(keyed.join(many, "band"), "band-groups")
+    forget(many)
 
     nodes = groups.select("rep").distinct()
     labels = stored(nodes.select("rep", F.col("rep").alias("component")), "labels")
     sets = stored_sets(base, nodes)
     first, stars = 0, groups
     for turn in range(STAR_ROUNDS):
-        likeliest = found = stored(likely(_star_pairs(stars, labels, turn), sketches), "likely")
+        pairs, hubs = _star_pairs(stars, labels, turn)
+        likeliest = found = stored(likely(pairs, sketches), "likely")
+        forget(hubs)
         last = stars, labels
         # Later stars are drawn among the classes that had a likely partner.
         ends = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
@@ -456,14 +464,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if turn and joined <= first * LAST_SHARE:
             break
     left = _left_links(groups, labels, sketches, sets, smallest=3 if STAR_ROUNDS > 1 else 2)
-    labels, _ = _joined(labels, left)
+    last, (labels, _) = labels, _joined(labels, left)
     found = member.join(labels, "rep", "left").select(
         F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("component_id")
     )
     found = stored(found.groupBy("__id").agg(F.min("component_id").alias("component_id")), "components")
-    forget(same, member, sketches, groups, stars, sets, labels)
+    forget(same, member, sketches, groups, stars, sets, left, last, labels)
     id_of = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    return rows.join(found, rows["doc_id"] == found["__id"], "left").select(
+    return sizes.join(found, sizes["doc_id"] == found["__id"], "left").select(
         "doc_id", "n_shingles", id_of.alias("component_id"), F.col("doc_id").eqNullSafe(id_of).alias("kept")
     )
 

@@ -77,6 +77,15 @@ def test_rows_come_in_order_with_all_columns(spark, odd, nothing, tmp_path):
     assert mix_rows(nothing).count() == 0 and mix_schedule(nothing).count() == 0
 
 
+def test_whole_rows_are_dealt_twice_only(spark, tmp_path):
+    """To be numbered and to their place, as planned, before any table's size is measured."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id) AS text", "concat('s', id % 3) AS source")
+    docs.write.parquet(f"{tmp_path}/docs")
+    plan = mix_rows(spark.read.parquet(f"{tmp_path}/docs"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("BroadcastHashJoin") == 3
+
+
 def test_odd_rows_and_weights(odd):
     rows = mix_schedule(odd).collect()
     assert len(rows) == 13 and len({r["position"] for r in rows}) == 13
